@@ -41,11 +41,15 @@ class PieceEncoder:
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # The normalizer must change nothing but spaces, else words may not be cut before it ran.
         probe = "a  b ﬁ\tÅ é "
-        self.splits = not crossing and self.model.normalize(probe) == MARK + probe.replace(" ", MARK)
+        alone = self.model.piece_to_id(MARK)
+        self.splits = not crossing and alone != self.model.unk_id() and self.model.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
         self.words = ChunkTable(self._segment)
+        self.alone = np.array([alone], "<u4").tobytes()
 
     def _segment(self, marked: str) -> bytes:
+        if marked == " ":  # an empty text would have no mark
+            return self.alone
         # The model puts a mark before what it gets; the word has it already.
         return np.array(self.model.encode(marked[1:]), "<u4").tobytes()
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from reelsift.llm import mixing, sentencepieces
+from reelsift.llm import chat, media, mixing, sentencepieces, token_files, warc
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
+    "op5_token_files": token_files.op5_token_files,
+    "op7_chat": chat.op7_chat,
+    "op8_warc": warc.op8_warc,
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLES = {"op9_mixing": mixing.OP9_SQL}
+ORACLES = {"op7_chat": chat.OP7_SQL, "op8_warc": warc.OP8_SQL, "op9_mixing": mixing.OP9_SQL}

@@ -11,8 +11,10 @@ again replaces its own shard by the same bytes.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import ChunkTable, sliced, table, texts_of
+from reelsift.llm.common import sliced, table, texts_of
 from reelsift.session import shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,25 +36,131 @@ SHARDS = "shard int, n_docs long, n_tokens long"
 _tokenizers: dict = {}
 
 
-class WordTokenizer:
-    """A tokenizers file whose normalizer and pre-tokenizer work within spaces and line ends.
+def _narrow(chunk: str) -> bool:
+    """Within Latin-1 case folds by character and nothing is composed."""
+    try:
+        chunk.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
-    Each distinct chunk between spaces or line ends is encoded once and its ids
-    are joined by position. ``dtype`` is the narrowest that holds every id.
+class WordTokenizer:
+    """A tokenizers file, with a table of the distinct chunks between spaces or line ends.
+
+    Where the file's own rules keep pieces within white space, each distinct
+    chunk is encoded once and its ids are joined by position; other files
+    encode whole texts. Where the rules fold case and cut letters from marks,
+    chunks that differ in no more are encoded as one. New chunks go to the
+    library many at a time, with a special token between them, at which it cuts
+    before all else; its id shows where each chunk's ids end. The table has two
+    generations of bounded size. ``dtype`` is the narrowest that holds every id.
     """
 
+    MOST, LONGEST = 300_000, 64
+    MARKS = frozenset(",.;:!?")
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.inner.get_vocab_size() <= 2**16 else "<u4")
-        self.words = ChunkTable(self._encode)
-
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.inner.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+        spec = json.loads(self.inner.to_str())
+        normal = spec["normalizer"] or {}
+        steps = [s["type"] for s in normal.get("normalizers", [normal]) if s]
+        before = spec["pre_tokenizer"] or {}
+        first = (before.get("pretokenizers") or [before])[0]
+        pattern = (first.get("pattern") or {}).get("Regex", "")
+        # Only runs of letters, single numbers and runs of marks become pieces; white space is dropped.
+        self.cuts = first.get("behavior") == "Removed" and first.get("invert") is True and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and set(steps) <= {"NFC", "Replace", "Lowercase"}
+        self.folds = self.cuts and "Lowercase" in steps
+        added = self.inner.get_added_tokens_decoder().items()
+        self.between = next(((i, t.content) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.special = tuple(t.content for _, t in added)
+        # For words that the normalizer leaves as they are and that are one piece: the same model and nothing before it.
+        self.bare = Tokenizer(self.inner.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        alone = self.bare.encode("!").ids
+        self.bang = alone[0] if len(alone) == 1 and spec["pre_tokenizer"] and (before.get("pretokenizers") or [{}])[-1].get("type") == "ByteLevel" else None
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _plain(self, chunk: str) -> tuple[str, str]:
+        """A chunk with the same ids but for a mark at its end, and that mark."""
+        mark = ""
+        if len(chunk) > 1 and chunk[-1] in self.MARKS and chunk[-2].isalpha():
+            chunk, mark = chunk[:-1], chunk[-1]
+        if self.folds and _narrow(chunk):
+            chunk = chunk.lower()
+        return chunk, mark
+
+    def _encode_many(self, chunks: list[str]) -> dict[str, bytes]:
+        easy = [c for c in chunks if c.isalpha() and c.islower() and _narrow(c)] if self.folds and self.bang is not None else []
+        out = self._joined(easy, self.bare, " ! ", self.bang)
+        hard = [c for c in chunks if c not in out]
+        out.update((c, self._encode(c)) for c in hard if self.between is None or any(s in c for s in self.special))
+        hard = [c for c in hard if c not in out]
+        if hard:
+            out.update(self._joined(hard, self.inner, self.between[1], self.between[0]))
+        return out
+
+    def _joined(self, chunks: list[str], model, between: str, cut: int) -> dict[str, bytes]:
+        """Ids of chunks that are encoded with ``between`` between them, whose id is ``cut``."""
+        out = {}
+        for at in range(0, len(chunks), 1024):
+            some = chunks[at : at + 1024]
+            ids = np.array(model.encode(between.join(some), add_special_tokens=False).ids, np.uint32)
+            ends = [*np.flatnonzero(ids == cut).tolist(), len(ids)]
+            if len(ends) != len(some):
+                out.update((c, self._encode(c)) for c in some)
+                continue
+            data, size, start = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
+            for chunk, end in zip(some, ends, strict=True):
+                out[chunk] = data[start * size : end * size]
+                start = end + 1
+        return out
+
+    def _table(self, chunks: list[list[str]]) -> dict[str, bytes]:
+        """A table with all the chunks."""
+        if len(self.words) > self.MOST:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        reduced = {}
+        for c in set().union(*chunks):
+            if c not in words:
+                if (ids := older.get(c)) is not None:
+                    words[c] = ids
+                else:
+                    reduced[c] = self._plain(c)
+        needed = {x for pair in reduced.values() for x in pair if x not in words}
+        for c in list(needed):
+            if c in older:
+                words[c] = older[c]
+                needed.discard(c)
+        made = self._encode_many(list(needed))
+        words.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
+        whole = words
+        for c, (plain, mark) in reduced.items():
+            ids = (made.get(plain) or words.get(plain, b"")) + (made.get(mark) or words.get(mark, b""))
+            if len(c) <= self.LONGEST:
+                words[c] = ids
+            else:  # long chunks are used but not kept
+                whole = ChainMap({}, words) if whole is words else whole
+                whole[c] = ids
+        return whole
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [self._encode(t) for t in texts]
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        get = self._table(chunks).__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_many([text])[0]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -193,8 +301,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         out = ShardWriter(folder, shard, made.dtype)
         for batch in batches:
             for part in sliced(batch, 512):
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts_of(part.column("text")), strict=True):
-                    out.add(doc_id, made.encode(text) + end)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), made.encode_many(texts_of(part.column("text"))), strict=True):
+                    out.add(doc_id, ids + end)
         out.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": out.n_docs, "n_tokens": out.n_tokens}], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 

@@ -27,8 +27,10 @@ EVERY = 50
 SCALE = 256
 CANDIDATES = 8192
 QUERIES = 1024
+#: Queries of a block that are taken through a level together.
+GROUP = 64
 #: Shares of the lists read at each level; the last is all of them.
-LEVELS = (0.25, 0.5, 0.75, 1.0)
+LEVELS = (0.5, 0.75, 1.0)
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -44,57 +46,67 @@ def usable(vector: Column) -> Column:
 
 
 class SortedLists:
-    """A block's vectors with one sorted list for each component."""
+    """A block's vectors with one sorted list for each component.
+
+    What a level reads of a list depends on the list and the sign of the
+    query's component, not on its size. So the read parts of all lists are two
+    masked matrices, one from each end, and the partial scores of many queries
+    are products with them.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)  # ascending, a row for each list
-        self.values = np.take_along_axis(vectors.T, self.order, axis=1).astype(np.float64)
-        self.norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, axis=0).astype(np.float64)
+        self.rank = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.values = vectors.astype(np.float64)
+        self.norms = (self.values**2).sum(axis=1)
+
+    def level(self, to: int):
+        """Masks of what is read of each list from its high end and its low end, and the edges reached."""
+        n = len(self.ids)
+        return self.rank >= n - to, self.rank < to, self.sorted[n - to], self.sorted[to - 1]
 
-    def levels(self, query: np.ndarray):
-        """Ids' places, values and the query's component of each level of the lists."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and whole scores of its k best vectors but its own, ties to smaller ids."""
+        out: list = [None] * len(queries)
+        waiting = {i: None for i in range(len(queries))}  # query -> places that can still be among the best
         n = len(self.ids)
-        down = query > 0
-        used = np.flatnonzero(query)
-        at = 0
         for share in LEVELS:
             to = n if share == 1 else int(n * share)
-            # Lists of negative components are read from their low end.
-            places = np.concatenate([self.order[j, n - to : n - at] if down[j] else self.order[j, at:to] for j in used] or [np.zeros(0, np.int32)])
-            values = np.concatenate([self.values[j, n - to : n - at] if down[j] else self.values[j, at:to] for j in used] or [np.zeros(0)])
-            edge = np.array([self.values[j, n - to] if down[j] else self.values[j, to - 1] for j in used]) if to else None
-            at = to
-            yield places, values, np.repeat(query[used], len(places) // max(len(used), 1)), edge, query[used]
-
-    def top(self, query: np.ndarray, own: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and whole scores of the k best vectors but the query's own, ties to smaller ids."""
-        n = len(self.ids)
-        q = query.astype(np.float64)
-        known, read_q, read_v = np.zeros(n), np.zeros(n), np.zeros(n)
-        other = self.ids != own
-        left = np.flatnonzero(other)
-        for places, values, qs, edge, used in self.levels(q):
-            if not len(places):
-                if not len(used):
-                    break  # a query of zeros: every score is 0
+            if not to or not waiting or not self.vectors.shape[1]:
                 continue
-            known += np.bincount(places, values * qs, n)
-            read_q += np.bincount(places, qs * qs, n)
-            read_v += np.bincount(places, values * values, n)
-            rest = np.sqrt(np.maximum(q @ q - read_q, 0) * np.maximum(self.norms - read_v, 0))
-            # A component that isn't read yet contributes no more than its list's edge.
-            ahead = np.maximum(edge * used, 0).sum()
-            slack = 1 + 1e-9 * np.abs(known).max()
-            if len(left) <= k:
-                break
-            lower = (known - rest)[left]
-            kth = np.partition(lower, len(left) - k)[len(left) - k]
-            left = left[(known + np.minimum(rest, ahead))[left] >= kth - slack]
-            if len(left) <= max(4 * k, n // 64):
-                break
-        scores = self.vectors[left] @ query
-        ids = self.ids[left]
+            high, low, high_edge, low_edge = self.level(to)
+            read = np.hstack([high, low]).astype(np.float64)
+            values = np.hstack([self.values, self.values]) * read
+            squares = values**2
+            for some in np.array_split(np.fromiter(waiting, int), -(-len(waiting) // GROUP)):
+                q = queries[some].astype(np.float64).T
+                both = np.vstack([np.maximum(q, 0), np.minimum(q, 0)])
+                known = values @ both
+                unread_q = (q**2).sum(axis=0) - read @ both**2
+                unread_v = self.norms[:, None] - squares @ (both != 0)
+                rest = np.sqrt(np.maximum(unread_q, 0) * np.maximum(unread_v, 0))
+                # A component that isn't read yet contributes no more than its list's edge.
+                ahead = np.maximum(np.concatenate([high_edge, low_edge])[:, None] * both, 0).sum(axis=0)
+                lower, upper = known - rest, known + np.minimum(rest, ahead)
+                lower[self.ids[:, None] == own[some]] = -np.inf
+                kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(some), -np.inf)
+                slack = 1 + 1e-9 * np.abs(known).max(axis=0)
+                open_ = upper >= kth - slack
+                for j, i in enumerate(some.tolist()):
+                    left = np.flatnonzero(open_[:, j])
+                    if len(left) <= max(4 * k, n // 64) or to == n:
+                        out[i] = self._resolved(left, queries[i], own[i], k)
+                        del waiting[i]
+        for i in waiting:  # vectors without components, or blocks too small for a level
+            out[i] = self._resolved(np.arange(n), queries[i], own[i], k)
+        return out
+
+    def _resolved(self, places: np.ndarray, query: np.ndarray, own: int, k: int):
+        places = places[self.ids[places] != own]
+        scores, ids = self.vectors[places] @ query, self.ids[places]
         best = np.lexsort((ids, -scores))[:k]
         return ids[best], scores[best]
 
@@ -114,9 +126,9 @@ def _search(batches):
             vectors, qvectors = vectors.to_pylist(), qvectors.to_pylist()
             width = max(map(len, [*vectors, *qvectors]))
             block = SortedLists(ids.to_numpy(), _matrix(vectors, width))
+            asked = qids.to_numpy()
             out: list[tuple] = []
-            for qid, q in zip(qids.to_pylist(), _matrix(qvectors, width), strict=True):
-                found, scores = block.top(q, qid)
+            for qid, (found, scores) in zip(asked.tolist(), block.top(_matrix(qvectors, width), asked), strict=True):
                 out += [(qid, v, s) for v, s in zip(found.tolist(), scores.tolist(), strict=True)]
             columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])

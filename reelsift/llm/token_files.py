@@ -12,8 +12,10 @@ again replaces its own shard by the same bytes.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
+from array import array
 from collections import ChainMap
 
 import numpy as np
@@ -57,10 +59,11 @@ class WordTokenizer:
     generations of bounded size. ``dtype`` is the narrowest that holds every id.
     """
 
-    MOST, LONGEST = 300_000, 64
+    MOST, LONGEST = 600_000, 64
     MARKS = frozenset(",.;:!?")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism here
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.inner = Tokenizer.from_file(path)
@@ -77,11 +80,13 @@ class WordTokenizer:
         added = self.inner.get_added_tokens_decoder().items()
         self.between = next(((i, t.content) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         self.special = tuple(t.content for _, t in added)
-        # For words that the normalizer leaves as they are and that are one piece: the same model and nothing before it.
-        self.bare = Tokenizer(self.inner.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        alone = self.bare.encode("!").ids
-        self.bang = alone[0] if len(alone) == 1 and spec["pre_tokenizer"] and (before.get("pretokenizers") or [{}])[-1].get("type") == "ByteLevel" else None
+        # For words that the normalizer leaves as they are and that are one piece: the same model with nothing
+        # before it but the bytes' letters, and without its cache, as it gets each word once.
+        self.bare = None
+        if self.folds and (before.get("pretokenizers") or [{}])[-1].get("type") == "ByteLevel" and hasattr(self.inner.model, "_resize_cache"):
+            self.bare = Tokenizer(self.inner.model)
+            self.bare.model._resize_cache(0)
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -98,21 +103,27 @@ class WordTokenizer:
         return chunk, mark
 
     def _encode_many(self, chunks: list[str]) -> dict[str, bytes]:
-        easy = [c for c in chunks if c.isalpha() and c.islower() and _narrow(c)] if self.folds and self.bang is not None else []
-        out = self._joined(easy, self.bare, " ! ", self.bang)
+        out: dict[str, bytes] = {}
+        if self.bare is not None:
+            easy = [c for c in chunks if c.isalpha() and c.islower() and _narrow(c)]
+            kind = self.dtype.char
+            for at in range(0, len(easy), 4096):
+                some = easy[at : at + 4096]
+                out.update((c, array(kind, e.ids).tobytes()) for c, e in zip(some, self.bare.encode_batch_fast(some, add_special_tokens=False), strict=True))
         hard = [c for c in chunks if c not in out]
         out.update((c, self._encode(c)) for c in hard if self.between is None or any(s in c for s in self.special))
         hard = [c for c in hard if c not in out]
         if hard:
-            out.update(self._joined(hard, self.inner, self.between[1], self.between[0]))
+            out.update(self._joined(hard))
         return out
 
-    def _joined(self, chunks: list[str], model, between: str, cut: int) -> dict[str, bytes]:
-        """Ids of chunks that are encoded with ``between`` between them, whose id is ``cut``."""
+    def _joined(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are encoded with a special token between them."""
         out = {}
+        cut, between = self.between
         for at in range(0, len(chunks), 1024):
             some = chunks[at : at + 1024]
-            ids = np.array(model.encode(between.join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.inner.encode(between.join(some), add_special_tokens=False).ids, np.uint32)
             ends = [*np.flatnonzero(ids == cut).tolist(), len(ids)]
             if len(ends) != len(some):
                 out.update((c, self._encode(c)) for c in some)

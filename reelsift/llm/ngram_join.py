@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import ChunkTable, sliced, table, written
+from reelsift.llm.common import ChunkTable, sliced, small_side, table, written
 from reelsift.llm.components import components
 
 #: Upper end of a band of sizes over its lower end.
@@ -335,9 +335,15 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Of rows that repeat an id, one stays; rows without an id stay.
     """
-    found = classes(docs, width, percent).where("doc_id IS NOT NULL")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = written(classes(docs, width, percent).where("doc_id IS NOT NULL"), "near-copies")
+    gone = small_side(written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies-gone"))
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    again = small_side(again)
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op2_ngram_join(spark, sf_dir):

@@ -40,3 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="reelsift-"))
         made = sc.getCheckpointDir()
     return made.rstrip("/")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package from where the driver has it.
+
+    Clusters install the package or send it with ``--py-files``; the path does no harm there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift.session import shared_dir
 
+libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,8 +22,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch between Spark and Python, where the session has Spark's own limit of 64 MB.
+BATCH_BYTES = 4 << 20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session has Spark's own limit: several texts and what is made of them are held at once."""
+    if spark.conf.get(BATCH_KEY).rstrip("bB") == str(64 << 20):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives memory that a finished task held back to the system; workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    if libc is not None:
+        libc.malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +53,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     that wrote them; the folder's owner removes them, as with ``checkpoint()``.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/reelsift-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,7 +86,7 @@ class ChunkTable(dict):
     kept, so its memory is bounded; neither changes a result.
     """
 
-    def __init__(self, make: Callable[[str], object], most: int = 400_000, longest: int = 64):
+    def __init__(self, make: Callable[[str], object], most: int = 200_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -150,12 +150,13 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     Only narrow columns are written and sorted; texts move just within the
     range of keys in which a budget ends.
     """
-    columns = docs.columns
-    wide = annotate(docs, seed)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")  # other columns may have any names
+    wide = annotate(docs.select(row, "doc_id", "text", "source"), seed)
     narrow = written(wide.select("doc_id", "_source", "_size", "_key"), "mix-rows")
     out = apply(wide, plan(narrow), whole=True)
     copies = F.when(F.col("_size") > 0, (F.col("taken") / F.col("_size")).cast("int")).otherwise(0)
-    return out.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    taken = out.select("_row", copies.alias("_copies")).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op9_mixing(spark, sf_dir):

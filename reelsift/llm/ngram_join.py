@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import ChunkTable, sliced, small_side, table, written
+from reelsift.llm.common import ChunkTable, release, sliced, small_side, table, written
 from reelsift.llm.components import components
 
 #: Upper end of a band of sizes over its lower end.
@@ -199,6 +199,9 @@ def sets_of(docs: DataFrame, width: int, percent: int, finer: int) -> DataFrame:
                 n, d1, d2, sig, short = zip(*rows, strict=True)
                 columns = [ids, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary()), listed, pa.array(short, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "d1", "d2", "sig", "keys", "short"])
+        known.clear()
+        _words.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 

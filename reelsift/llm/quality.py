@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import sliced, small_side, table, texts_of, written
+from reelsift.llm.common import release, sliced, small_side, table, texts_of, written
 
 ORDER = 4
 #: Symbols: 26 letters, 14 classes of other letters, and those below.
@@ -123,6 +123,8 @@ def counts(texts: DataFrame) -> DataFrame:
         for at in range(0, len(seen), 1 << 16):
             some = seen[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["gram", "n"])
+        del total
+        release()
 
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import ChunkTable, sliced, small_side, table, texts_of, written
+from reelsift.llm.common import ChunkTable, release, sliced, small_side, table, texts_of, written
 
 FOLDS = 5
 #: Letters that a sign or digit may stand for.
@@ -38,6 +39,8 @@ PRIOR_DOCS = 4.0
 MOST_FEATURES = 200_000
 LEAST_P = 0.35
 STEMS = (4, 5, 6, 7, 8)
+#: Words that a task counts before it passes their sums on.
+MOST_HELD = 150_000
 #: Labelled documents of which the final function is fitted: a bounded sample by a hash of their ids.
 FIT_ROWS = 20_000
 RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(][ .\-_*]+){2,}[\w@$!|+(](?!\S)")
@@ -166,9 +169,9 @@ def gathered(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         toxic: set = set()
 
         def flush():
-            for items, is_toxic in ((list(clean.items()), False), (list(toxic), True)):
-                for at in range(0, len(items), 1 << 15):
-                    words, values = zip(*items[at : at + (1 << 15)], strict=True)
+            for items, is_toxic in ((iter(clean.items()), False), (iter(toxic), True)):
+                while some := list(islice(items, 1 << 14)):
+                    words, values = zip(*some, strict=True)
                     n, values = len(words), pa.array(values, pa.int64())
                     none = pa.nulls(n, pa.int64())
                     zero = pa.array(np.zeros(n, np.int64))
@@ -189,12 +192,13 @@ def gathered(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
                         toxic.update((w, kin) for w in words)
                     else:
                         clean.update(words)
-                if len(clean) + len(toxic) > 500_000:
+                if len(clean) + len(toxic) > MOST_HELD:
                     yield from flush()
         yield from flush()
         seen = np.flatnonzero(grams)
         none, zero = pa.nulls(len(seen), pa.int64()), pa.array(np.zeros(len(seen), np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.nulls(len(seen), pa.string()), none, zero, pa.array(grams[seen])], names)
+        release()
 
     summed = rows.mapInArrow(run, GATHERED).groupBy("gram", "word", "kin").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     summed = written(summed, "toxic-counts")
@@ -242,7 +246,7 @@ class Evidence:
 
     def __init__(self, logs: np.ndarray, known: dict[str, tuple[int, int]], base: float):
         self.restorer, self.known, self.base = Restorer(logs), known, base
-        self.tokens = ChunkTable(self._token)
+        self.tokens = ChunkTable(self._token, most=150_000)
 
     def _word(self, word: str) -> tuple[int, int] | None:
         found = [c for f in features(word) if (c := self.known.get(f))]
@@ -320,6 +324,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     score = 1 / (1 + np.exp(-(x @ beta if np.isfinite(beta[0]) else np.full(len(x), beta[0]))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+        del evidence
+        release()
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

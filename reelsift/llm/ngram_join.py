@@ -15,8 +15,9 @@ one bit, bound the overlap from above. What passes is decided by intersecting
 the exact sorted arrays, made from the texts again. Tiles that are not
 connected by then are compared in blocks of signatures, all pairs between
 different components, inside the workers; again only pairs that pass the bound
-leave them and are decided exactly. No link between different sets that would
-connect two components is missed.
+leave them and are decided exactly: first the nearest pairs that would connect
+what can be connected, then all that are left between what stayed apart. No
+link between different sets that would connect two components is missed.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from reelsift.llm.components import components
 
 #: Upper end of a band of sizes over its lower end.
 BAND = 1.5
+#: Bits of a signature for each element of the largest set of a band: with few collisions the bound is tight.
+BITS = 4
 #: Sets of a block in which signatures are compared all with all.
 BLOCK = 512
 #: Distinct sets that a task remembers, to send the parts of copies once.
@@ -127,8 +130,8 @@ def part_keys(sets: np.ndarray, percent: int, finer: int = 1) -> tuple[np.ndarra
 
 
 def signature(sets: np.ndarray, percent: int) -> bytes:
-    """A bitmap about as long as the set, in which each element flips the bit of its low bits."""
-    bits = max(64, 1 << (int(bands(percent)[1][np.searchsorted(bands(percent)[1], len(sets))]) - 1).bit_length())
+    """A bitmap of about ``BITS`` bits for each element, in which each element flips the bit of its low bits."""
+    bits = max(64, BITS << (int(bands(percent)[1][np.searchsorted(bands(percent)[1], len(sets))]) - 1).bit_length())
     flips = np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -242,8 +245,11 @@ def decided(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def _block_pairs(percent: int):
-    """Pairs between different components in the rows of two blocks of a tile."""
+def _block_pairs(percent: int, forest: bool):
+    """Pairs between different components in the rows of two blocks of a tile.
+
+    forest: just the nearest pairs that would connect all that can be connected.
+    """
 
     def run(key, rows):
         d = {c: rows.column(c).to_pylist() for c in ("rep", "label", "n", "sig", "block")}
@@ -252,25 +258,47 @@ def _block_pairs(percent: int):
         sig = sig.view(np.uint64)
         rep, label, n, block = (np.array(d[c], np.int64) for c in ("rep", "label", "n", "block"))
         _, first, second = (int(k.as_py()) for k in key)
-        out_a, out_b = [], []
+        found = [np.zeros((3, 0), np.int64)]
         left = np.flatnonzero(block == first)
         right = left if first == second else np.flatnonzero(block == second)
         for i in left:
             apart = np.bitwise_count(sig[i] ^ sig[right]).sum(axis=1, dtype=np.int64)
             good = (apart <= (100 - percent) * (n[i] + n[right]) // (100 + percent)) & (label[right] != label[i])
             good &= 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+            if first == second:
+                good &= right > i
             js = right[good]
-            out_a.append(np.minimum(rep[i], rep[js]))
-            out_b.append(np.maximum(rep[i], rep[js]))
-        a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]), np.concatenate([*out_b, np.zeros(0, np.int64)])
-        both = np.unique(np.stack([a, b], 1), axis=0)
+            found.append(np.stack([apart[good], np.full(len(js), i), js]))
+        pairs = np.concatenate(found, axis=1)
+        if forest and pairs.shape[1]:
+            i, j = pairs[1], pairs[2]
+            order = np.lexsort((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j]), pairs[0]))
+            over: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (y := over.get(x, x)) != x:
+                    over[x] = x = over.get(y, y)
+                return x
+
+            kept = []
+            for k, x, y in zip(order.tolist(), label[i][order].tolist(), label[j][order].tolist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    over[x] = y
+                    kept.append(k)
+            pairs = pairs[:, kept]
+        a, b = rep[pairs[1]], rep[pairs[2]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
     return run
 
 
-def leftover_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass the bound, between different components of one tile, in tiles of three sets and more."""
+def leftover_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs that pass the bound, between different components of one tile, in tiles of three sets and more.
+
+    forest: of each two blocks only the nearest pairs, enough to connect what can be connected.
+    """
     labelled = tiles.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     apart = labelled.groupBy("key").agg(
         F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")
@@ -284,7 +312,7 @@ def leftover_pairs(tiles: DataFrame, labels: DataFrame, sets: DataFrame, percent
     rows = rows.withColumn("other", other).select(
         "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "rep", "label", "n", "sig", "block"
     )
-    return rows.groupBy("key", "first", "second").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
+    return rows.groupBy("key", "first", "second").applyInArrow(_block_pairs(percent, forest), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -325,12 +353,16 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = links.unionByName(same_id)
     labels = components(links)
 
-    rest = leftover_pairs(tiles, labels, sets, percent).join(asked, ["a", "b"], "left_anti")
-    rest = written(rest, "leftover-pairs")
-    if not rest.isEmpty():
-        labels = components(links.unionByName(decided(rest, docs, width, percent)))
+    # First the nearest pairs only; then, between what they left apart, every pair that isn't decided yet.
+    for forest in (True, False):
+        rest = written(leftover_pairs(tiles, labels, sets, percent, forest).join(asked, ["a", "b"], "left_anti"), "leftover-pairs")
+        if rest.isEmpty():
+            continue
+        links = written(links.unionByName(decided(rest, docs, width, percent)), "links")
+        asked = asked.unionByName(rest)
+        labels = components(links)
     out = mapped.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

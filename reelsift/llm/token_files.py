@@ -96,7 +96,8 @@ class WordTokenizer:
     def _plain(self, chunk: str) -> tuple[str, str]:
         """A chunk with the same ids but for a mark at its end, and that mark."""
         mark = ""
-        if len(chunk) > 1 and chunk[-1] in self.MARKS and chunk[-2].isalpha():
+        # Beyond Latin-1 a letter may be written with marks of its own, which would join the one at the end.
+        if len(chunk) > 1 and chunk[-1] in self.MARKS and chunk[-2] <= "\xff" and chunk[-2].isalpha():
             chunk, mark = chunk[:-1], chunk[-1]
         if self.folds and _narrow(chunk):
             chunk = chunk.lower()

@@ -118,7 +118,7 @@ class FramePipeline:
                 counts[f"_seen_{i}"] = F.count_if(F.col(f"pass_{i}").isNotNull())
                 counts[f"_pass_{i}"] = F.count_if(F.col(f"pass_{i}"))
             elif "_errors" in marked.columns:
-                counts[f"_bad_{i}"] = F.count_if(F.exists("_errors", lambda e, s=stage: e.startswith(f"{s.name}: ")))
+                counts[f"_bad_{i}"] = F.count_if(_failed(stage.name))
         summed = marked.agg(*(c.alias(k) for k, c in counts.items()))
         rows, seen = [], F.col("_total")
         for n, (i, stage) in enumerate(plan):
@@ -138,6 +138,11 @@ class FramePipeline:
         return summed.select(F.inline(F.array(*rows))) if rows else frames.sparkSession.createDataFrame([], "stage int, stage_name string, kind string, frames_evaluated long, frames_passed long, frames_filtered long, errors long, pass_rate double")
 
 
+def _failed(name: str):
+    """Whether a frame has a failure of the tagger ``name``."""
+    return F.exists("_errors", lambda e: e.startswith(f"{name}: "))
+
+
 @dataclass
 class ProcessingResult:
     """Counts and rates of one run; ``refresh`` runs the plan once and fills them."""

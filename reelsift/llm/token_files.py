@@ -141,13 +141,12 @@ class WordTokenizer:
             self.words, self.older = {}, self.words
         words, older = self.words, self.older
         reduced = {}
-        for c in set().union(*chunks):
-            if c not in words:
-                if (ids := older.get(c)) is not None:
-                    words[c] = ids
-                else:
-                    reduced[c] = self._plain(c)
-        needed = {x for pair in reduced.values() for x in pair if x not in words}
+        for c in set().union(*chunks).difference(words):
+            if (ids := older.get(c)) is not None:
+                words[c] = ids
+            else:
+                reduced[c] = self._plain(c)
+        needed = set().union(*reduced.values()).difference(words)
         for c in list(needed):
             if c in older:
                 words[c] = older[c]

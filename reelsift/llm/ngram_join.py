@@ -344,7 +344,10 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     stars = tiles.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     asked = written(bounded(stars, sets, percent), "star-pairs")
-    links = written(decided(asked, docs, width, percent), "star-links")
+    # Only texts of tile members are ever compared: they are picked once, and those alone move afterwards.
+    ids = small_side(written(tiles.select(F.col("rep").alias("doc_id")).distinct(), "tile-ids"))
+    texts = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "tile-texts")
+    links = written(decided(asked, texts, width, percent), "star-links")
 
     mapped = made.join(sets.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", "n", "rep")
     # Different sets under one id belong together.
@@ -358,7 +361,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         rest = written(leftover_pairs(tiles, labels, sets, percent, forest).join(asked, ["a", "b"], "left_anti"), "leftover-pairs")
         if rest.isEmpty():
             continue
-        links = written(links.unionByName(decided(rest, docs, width, percent)), "links")
+        links = written(links.unionByName(decided(rest, texts, width, percent)), "links")
         asked = asked.unionByName(rest)
         labels = components(links)
     out = mapped.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")

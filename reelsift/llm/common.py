@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable
@@ -35,6 +36,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 def release() -> None:
     """Gives memory that a finished task held back to the system; workers live on for other stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if libc is not None:
         libc.malloc_trim(0)

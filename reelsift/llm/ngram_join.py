@@ -38,7 +38,7 @@ from reelsift.llm.components import components
 #: Upper end of a band of sizes over its lower end.
 BAND = 1.5
 #: Bits of a signature for each element of the largest set of a band: with few collisions the bound is tight.
-BITS = 4
+BITS = 2
 #: Sets of a block in which signatures are compared all with all.
 BLOCK = 512
 #: Distinct sets that a task remembers, to send the parts of copies once.
@@ -241,6 +241,8 @@ def decided(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                         last, held = (a, ta), shingles(ta or b"", width)
                     kept.append(linked(held, shingles(tb or b"", width), percent))
                 yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        _words.clear()
+        release()
 
     return both.mapInArrow(run, "a long, b long").distinct()
 

@@ -201,6 +201,7 @@ def score(docs: DataFrame, logs: np.ndarray) -> DataFrame:
                 n = pa.array(map(len, codes), pa.int64())
                 information = pa.array([-float(logs[c].sum(dtype=np.float64)) for c in codes], pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), n, information], ["doc_id", "lang", "n_symbols", "information"])
+        release()
 
     return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, n_symbols long, information double")
 

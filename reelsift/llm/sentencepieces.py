@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import ChunkTable, sliced, table, texts_of
+from reelsift.llm.common import ChunkTable, release, sliced, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -94,6 +94,8 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
             for part in sliced(batch, SLICE):
                 ids = pa.array([made.encode(t) for t in texts_of(part.column(text_col))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [ids], [*rest, ids_col])
+        made.words.clear()
+        release()
 
     schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(ids_col, T.BinaryType())])
     return df.mapInArrow(run, schema)

@@ -24,7 +24,6 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reelsift.llm.common import sliced, table, texts_of
 from reelsift.session import shared_dir

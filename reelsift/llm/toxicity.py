@@ -311,6 +311,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 y = part.column("toxic").to_pylist()
                 x = [evidence.of(t, own) for t, own in zip(texts_of(part.column("text")), y, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+        del evidence
+        release()
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>")
     rows = rows.limit(2 * FIT_ROWS).collect() if n else []

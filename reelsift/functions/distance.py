@@ -43,6 +43,20 @@ class Distance:
     def compute(self, a, b) -> float:
         raise NotImplementedError
 
+    def ready(self, value):
+        """A value in the form in which ``many`` compares it, made once for each frame."""
+        return value
+
+    def many(self, value, held: list) -> np.ndarray:
+        """Distances of a ready value to ready ones; NaN where there is none."""
+        out = np.full(len(held), np.nan)
+        for i, h in enumerate(held):
+            try:
+                out[i] = self.compute(value, h)
+            except (TypeError, ValueError):
+                pass
+        return out
+
 
 def parse_hex(value) -> int:
     """A hash's bits as a number; ``ValueError`` for other text, ``TypeError`` for other values."""
@@ -68,6 +82,18 @@ class HammingDistance(Distance):
     def compute(self, a, b) -> float:
         return (parse_hex(a) ^ parse_hex(b)).bit_count() / (4 * max(len(a), len(b)))
 
+    def ready(self, value):
+        try:
+            return parse_hex(value), 4 * len(value)
+        except (TypeError, ValueError):
+            return None
+
+    def many(self, value, held):
+        if value is None:
+            return np.full(len(held), np.nan)
+        bits, n = value
+        return np.array([np.nan if h is None else (bits ^ h[0]).bit_count() / max(n, h[1]) for h in held])
+
 
 def hamming_bits(a: Column, b: Column) -> Column:
     """Number of differing bits of two hex strings of any equal length, 15 digits at a time."""
@@ -111,6 +137,24 @@ class EmbeddingDistance(Distance):
             return 1.0
         return float(np.clip(1 - (a * b).sum() / (na * nb), 0.0, 2.0))
 
+    def ready(self, value):
+        try:
+            return np.asarray(value, float).ravel()
+        except (TypeError, ValueError):
+            return None
+
+    def many(self, value, held):
+        if value is None or any(h is None for h in held) or any(h.shape != value.shape for h in held):
+            return super().many(value, held)
+        rows = np.array(held)
+        if self.metric == "euclidean":
+            return np.sqrt(((rows - value) ** 2).sum(axis=1))
+        if self.metric == "manhattan":
+            return np.abs(rows - value).sum(axis=1)
+        norms = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((value * value).sum())
+        cosines = np.divide((rows * value).sum(axis=1), norms, out=np.zeros(len(rows)), where=norms != 0)
+        return np.clip(1 - cosines, 0.0, 2.0)
+
 
 class ScalarDistance(Distance):
     """Absolute difference of two numbers: every embedding metric but cosine in one dimension."""

@@ -15,12 +15,17 @@ import numpy as np
 EPS = np.finfo(float).eps
 
 
+def _weighed(a: np.ndarray, weights: tuple[int, int, int], bits: int) -> np.ndarray:
+    """Rounded fixed-point sum of three channels; below 2^24 single precision is exact."""
+    flat = a.reshape(-1, 3).astype(np.float32) @ np.array(weights, np.float32)
+    return ((flat + np.float32(1 << (bits - 1))).astype(np.int32) >> bits).astype(np.uint8).reshape(a.shape[:2])
+
+
 def gray_rgb(a: np.ndarray) -> np.ndarray:
     """Fixed-point luma of RGB, rounded; other frames as they are."""
     if a.ndim != 3 or a.shape[2] != 3:
         return a if a.ndim == 2 else a[:, :, 0]
-    x = a.astype(np.uint32)
-    return ((x[:, :, 0] * 9798 + x[:, :, 1] * 19235 + x[:, :, 2] * 3735 + 16384) >> 15).astype(np.uint8)
+    return _weighed(a, (9798, 19235, 3735), 15)
 
 
 def gray_bgr(a: np.ndarray) -> np.ndarray:
@@ -32,15 +37,19 @@ def blur_score(a: np.ndarray) -> float:
     """Population variance of the 4-neighbour Laplacian with reflected borders; 0 for empty frames."""
     if not a.size:
         return 0.0
-    g = gray_rgb(a).astype(np.int32)
+    g = gray_rgb(a).astype(np.int16)
     h, w = g.shape
-    up, down = np.abs(np.arange(-1, h - 1)), np.arange(1, h + 1)
-    left, right = np.abs(np.arange(-1, w - 1)), np.arange(1, w + 1)
-    down[-1], right[-1] = max(h - 2, 0), max(w - 2, 0)
-    up[up >= h], left[left >= w] = 0, 0
-    lap = g[up] + g[down] + g[:, left] + g[:, right] - 4 * g
+    p = np.empty((h + 2, w + 2), np.int16)
+    p[1:-1, 1:-1] = g
+    p[0, 1:-1], p[-1, 1:-1] = g[min(1, h - 1)], g[max(h - 2, 0)]
+    p[1:-1, 0], p[1:-1, -1] = g[:, min(1, w - 1)], g[:, max(w - 2, 0)]
+    lap = p[:-2, 1:-1] + p[2:, 1:-1]
+    lap += p[1:-1, :-2]
+    lap += p[1:-1, 2:]
+    lap -= 4 * g
     # Whole numbers, so the variance is exact up to its last division.
-    n, s, q = lap.size, int(lap.sum(dtype=np.int64)), int((lap.astype(np.int64) ** 2).sum())
+    flat = lap.ravel().astype(np.float64)
+    n, s, q = flat.size, int(flat.sum()), int(flat @ flat)
     return (q * n - s * s) / (n * n)
 
 

@@ -135,13 +135,18 @@ class StatefulFilter(Filter):
     def prepared(self, df: DataFrame) -> DataFrame:
         return df
 
+    def ready(self, value: tuple) -> tuple:
+        """A payload in the form in which it is compared and kept."""
+        return value
+
     def accepts(self, value: tuple, buffer: deque) -> bool:
+        """Whether a ready payload passes, given those accepted, oldest first."""
         raise NotImplementedError
 
     def apply(self, df: DataFrame, flag: str | None = None, active: str | None = None) -> DataFrame:
         columns = df.columns
-        ready = self.prepared(df)
-        out = greedy_select(ready, self.state_key, self.order, self.payload(ready), self.accepts, self.buffer_size, flag, active)
+        made = self.prepared(df)
+        out = greedy_select(made, self.state_key, self.order, self.payload(made), self.accepts, self.buffer_size, flag, active, self.ready)
         return out.select(*columns, *([flag] if flag else []))
 
 
@@ -170,13 +175,12 @@ class DuplicateFilter(StatefulFilter):
 
         return df if self.hash_type in df.columns else HashTagger(self.hash_type, self.hash_size).apply(df)
 
+    def ready(self, value):
+        return (None if value[0] is None else parse_hex(value[0]),)
+
     def accepts(self, value, buffer):
-        if not buffer:
-            return True
-        if value[0] is None:
-            return False
-        own = parse_hex(value[0])
-        return all(h is None or (own ^ parse_hex(h)).bit_count() > self.most for (h,) in buffer)
+        own = value[0]
+        return not buffer or own is not None and all(h is None or (own ^ h).bit_count() > self.most for (h,) in buffer)
 
 
 class MotionFilter(StatefulFilter):
@@ -196,17 +200,20 @@ class MotionFilter(StatefulFilter):
     def _array(self, value) -> np.ndarray:
         return np.array(value, np.uint8).reshape(self.shape) if isinstance(value, list) else to_array(value)
 
+    def ready(self, value):
+        a = self._array(value[0])
+        return a, images.gray_bgr(a)
+
     def accepts(self, value, buffer):
         if not buffer:
             return True
-        own = images.gray_bgr(self._array(value[0]))
+        own = value[1]
         if self.compare_with == "latest":
-            return images.motion(own, images.gray_bgr(self._array(buffer[-1][0])), self.method) > self.threshold
-        held = [self._array(v[0]) for v in buffer]
+            return images.motion(own, buffer[-1][1], self.method) > self.threshold
         if self.compare_with == "mean":
-            mean = np.mean(held, axis=0).astype(np.uint8)
+            mean = np.mean([a for a, _ in buffer], axis=0).astype(np.uint8)
             return images.motion(own, images.gray_bgr(mean), self.method) > self.threshold
-        return max([0.0, *(images.motion(own, images.gray_bgr(h), self.method) for h in held)]) > self.threshold
+        return max([0.0, *(images.motion(own, g, self.method) for _, g in buffer)]) > self.threshold
 
 
 class DiversityFilter(StatefulFilter):
@@ -245,36 +252,38 @@ class DiversityFilter(StatefulFilter):
     def distance_of(self, tag: str) -> Distance:
         return self.strategies.get(tag) or default_distance(tag, self.metric)
 
+    def ready(self, value):
+        return tuple(None if v is None else self.distance_of(t).ready(v) for t, v in zip(self.tags(), value, strict=True)), None in value
+
+    def distances(self, value: tuple, held: list[tuple]) -> np.ndarray:
+        """Combined distances of a ready payload to ready ones; tags that are missing or fail are passed over."""
+        each = []
+        for i, tag in enumerate(self.tags()):
+            found = [k for k, h in enumerate(held) if h[i] is not None]
+            d = np.full(len(held), np.nan)
+            if value[i] is not None and found:
+                d[found] = self.distance_of(tag).many(value[i], [held[k][i] for k in found])
+            each.append(d)
+        d = np.array(each)
+        most = np.fmax.reduce(d, axis=0, initial=0.0)
+        if not self.weighted:
+            return most
+        w = np.array([[self.weights.get(t, 1.0)] for t in self.tags()]) * ~np.isnan(d)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = np.nansum(w * np.nan_to_num(d), axis=0) / (most * w.sum(axis=0))
+        return np.where(most > 0, mean, 0.0)
+
     def distance(self, a: tuple, b: tuple) -> float:
-        """The combined distance; tags that are missing or fail are passed over."""
-        found: list[tuple[float, float]] = []
-        for tag, x, y in zip(self.tags(), a, b, strict=True):
-            if x is None or y is None:
-                continue
-            try:
-                found.append((self.distance_of(tag).compute(x, y), self.weights.get(tag, 1.0)))
-            except (TypeError, ValueError):
-                continue
-        if self.weighted:
-            most = max((d for d, _ in found), default=0.0)
-            if not found or most <= 0:
-                return 0.0
-            total = sum(w for _, w in found)
-            return sum(w * d for d, w in found) / (most * total) if total else float("nan")
-        out = 0.0
-        for d, _ in found:
-            out = max(out, d)  # NaN is passed over
-        return out
+        """The combined distance of two payloads."""
+        return float(self.distances(self.ready(a)[0], [self.ready(b)[0]])[0])
 
     def accepts(self, value, buffer):
         if not buffer or not self.tags():
             return True
-        if any(v is None for v in value):
+        own, missing = value
+        if missing:
             return False
-        least = float("inf")
-        for held in buffer:
-            least = min(least, self.distance(value, held))
-        return least >= self.min_distance
+        return bool(np.fmin.reduce(self.distances(own, [h for h, _ in buffer]), initial=np.inf) >= self.min_distance)
 
 
 __all__ = [

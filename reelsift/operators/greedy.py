@@ -31,6 +31,7 @@ def greedy_select(
     buffer_size: int,
     flag: str | None = None,
     active: str | None = None,
+    ready: Callable[[tuple], tuple] | None = None,
 ) -> DataFrame:
     """Rows that pass, or all rows with a boolean column ``flag``.
 
@@ -38,7 +39,8 @@ def greedy_select(
     stream, worked through by one task. order: columns that order a key's rows;
     ties are broken by the payload's order of arrival and should not happen.
     payload: the columns that ``accepts`` sees. active: a boolean column; rows
-    where it isn't true are skipped and have a null flag.
+    where it isn't true are skipped and have a null flag. ready: makes of a
+    payload what ``accepts`` sees and the buffer keeps.
     """
     if buffer_size <= 0:
         raise ValueError("buffer_size must be above zero")
@@ -62,6 +64,7 @@ def greedy_select(
                 if not use:
                     passed.append(None)
                     continue
+                value = ready(value) if ready else value
                 ok = bool(accepts(value, buffer))
                 if ok:
                     buffer.append(value)

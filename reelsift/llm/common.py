@@ -24,7 +24,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 #: Bytes of an Arrow batch between Spark and Python, where the session has Spark's own limit of 64 MB.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -42,7 +42,7 @@ BITS = 2
 #: Sets of a block in which signatures are compared all with all.
 BLOCK = 512
 #: Distinct sets that a task remembers, to send the parts of copies once.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _words: dict = {}
@@ -62,7 +62,7 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     if "hash" not in _words:
-        _words["hash"] = ChunkTable(xxhash.xxh3_64_intdigest)
+        _words["hash"] = ChunkTable(xxhash.xxh3_64_intdigest, most=100_000)
     h = np.fromiter(map(_words["hash"].__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     out = mix(h[: len(h) - n + 1] + np.uint64(n))
@@ -176,7 +176,7 @@ def sets_of(docs: DataFrame, width: int, percent: int, finer: int) -> DataFrame:
     def run(batches):
         known: set = set()
         for batch in batches:
-            for part in sliced(batch, 512):
+            for part in sliced(batch, 256):
                 ids, rows, keys, ends = part.column("doc_id"), [], [], [0]
                 for doc_id, text in zip(ids.to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                     found = shingles(text or b"", width)

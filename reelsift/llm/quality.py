@@ -116,7 +116,7 @@ def counts(texts: DataFrame) -> DataFrame:
                 for text in texts_of(part.column("text")):
                     held.append(grams(text))
                     size += len(held[-1])
-                if size > 1 << 20:
+                if size > 1 << 19:
                     add()
         add()
         seen = np.flatnonzero(total)

@@ -74,45 +74,43 @@ def encoder(path: str) -> PieceEncoder:
     return _models[path]
 
 
-def _extend(df: DataFrame, name: str, kind: T.DataType, run) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
-    return df.mapInArrow(run, schema)
-
-
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """Replaces ``text_col`` by ``ids_col``: little-endian unsigned 32-bit ids, begin and end included.
-
-    Null and empty texts have just the begin and end ids. Rows are independent,
-    so repeated rows and other columns stay as they are.
-    """
+def _added(df: DataFrame, text_col: str | None, ids_col: str, decoded_col: str | None, model: str | None) -> DataFrame:
+    """One pass that encodes ``text_col`` (dropped) or reads ``ids_col``, and decodes if asked: one worker for each task."""
     path = model or public_tokenizers.path(MODEL)
     rest = [c for c in df.columns if c != text_col]
+    added = ([ids_col] if text_col else []) + ([decoded_col] if decoded_col else [])
 
     def run(batches):
         made = encoder(path)
         for batch in batches:
             for part in sliced(batch, SLICE):
-                ids = pa.array([made.encode(t) for t in texts_of(part.column(text_col))], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [ids], [*rest, ids_col])
-        made.words.clear()
+                ids = [made.encode(t) for t in texts_of(part.column(text_col))] if text_col else part.column(ids_col).to_pylist()
+                columns = [part.column(c) for c in rest] + ([pa.array(ids, pa.binary())] if text_col else [])
+                if decoded_col:
+                    columns.append(pa.array([made.decode(i or b"") for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*rest, *added])
+        # Workers serve other stages afterwards, so the model and its table go.
+        del made
+        _models.clear()
         release()
 
-    schema = T.StructType([df.schema[c] for c in rest] + [T.StructField(ids_col, T.BinaryType())])
-    return df.mapInArrow(run, schema)
+    kinds = {ids_col: T.BinaryType(), decoded_col: T.StringType()}
+    return df.mapInArrow(run, T.StructType([df.schema[c] for c in rest] + [T.StructField(c, kinds[c]) for c in added]))
 
 
-def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str | None = None) -> DataFrame:
-    """Adds ``text_col``, the library's decoding of ``ids_col``; null ids give an empty text."""
-    path = model or public_tokenizers.path(MODEL)
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str | None = None, decoded_col: str | None = None) -> DataFrame:
+    """Replaces ``text_col`` by ``ids_col``: little-endian unsigned 32-bit ids, begin and end included.
+
+    ``decoded_col`` adds the decoding of those ids in the same pass. Null and
+    empty texts have just the begin and end ids. Rows are independent, so
+    repeated rows and other columns stay as they are.
+    """
+    return _added(df, text_col, ids_col, decoded_col, model)
 
-    def run(batches):
-        made = encoder(path)
-        for batch in batches:
-            for part in sliced(batch, SLICE):
-                out = pa.array([made.decode(i or b"") for i in part.column(ids_col).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, text_col])
 
-    return _extend(df, text_col, T.StringType(), run)
+def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str | None = None) -> DataFrame:
+    """Adds ``text_col``, the library's decoding of ``ids_col``; null ids give an empty text."""
+    return _added(df, None, ids_col, text_col, model)
 
 
 def op4_sentencepiece(spark, sf_dir):
@@ -121,7 +119,7 @@ def op4_sentencepiece(spark, sf_dir):
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text of every document."""
-    both = decode(encode(docs.select("doc_id", "text")))
+    both = encode(docs.select("doc_id", "text"), decoded_col="decoded")
     return both.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

@@ -40,7 +40,7 @@ MOST_FEATURES = 200_000
 LEAST_P = 0.35
 STEMS = (4, 5, 6, 7, 8)
 #: Words that a task counts before it passes their sums on.
-MOST_HELD = 150_000
+MOST_HELD = 100_000
 #: Labelled documents of which the final function is fitted: a bounded sample by a hash of their ids.
 FIT_ROWS = 20_000
 RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(][ .\-_*]+){2,}[\w@$!|+(](?!\S)")
@@ -246,7 +246,7 @@ class Evidence:
 
     def __init__(self, logs: np.ndarray, known: dict[str, tuple[int, int]], base: float):
         self.restorer, self.known, self.base = Restorer(logs), known, base
-        self.tokens = ChunkTable(self._token, most=150_000)
+        self.tokens = ChunkTable(self._token, most=100_000)
 
     def _word(self, word: str) -> tuple[int, int] | None:
         found = [c for f in features(word) if (c := self.known.get(f))]

@@ -63,6 +63,8 @@ def test_pieces_query(spark, pieces):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(pieces.model.decode(ids).encode()).hexdigest()))
     assert got == sorted(map(repr, want))
     assert S.digests(spark.createDataFrame([], DOCS)).count() == 0
+    ids = S.encode(spark.createDataFrame([(1, "a word"), (2, None)], "doc_id long, text string"))
+    assert {r.doc_id: r.decoded for r in S.decode(ids.unionByName(spark.createDataFrame([(3, None)], ids.schema))).collect()} == {1: "a word", 2: "", 3: ""}
 
 
 def expected(rows, words):

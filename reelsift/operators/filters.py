@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,10 @@ class StatelessFilter(Filter):
     def passes(self) -> Column:
         return F.coalesce(self.condition(), F.lit(False))
 
+    def keeps(self, tags: Callable[[str], list]) -> list[bool]:
+        """The predicate on the values of a batch, where it runs beside Python taggers."""
+        raise NotImplementedError
+
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(self.passes())
 
@@ -61,6 +66,10 @@ class ThresholdFilter(StatelessFilter):
         nan = F.isnan(tag.cast("double"))
         return F.when(nan, F.lit(self.operator == "!=")).otherwise(self.OPS[self.operator](tag, F.lit(self.threshold)))
 
+    def keeps(self, tags):
+        compare = self.OPS[self.operator]
+        return [v is not None and bool(compare(v, self.threshold)) for v in tags(self.tag_key)]
+
 
 class _AtLeast(ThresholdFilter):
     tag: str
@@ -102,6 +111,10 @@ class RangeFilter(StatelessFilter):
             tag = F.coalesce(tag, F.lit(self.missing))
         return tag.between(self.low, self.high)
 
+    def keeps(self, tags):
+        values = (self.missing if v is None else v for v in tags(self.tag_key))
+        return [v is not None and self.low <= v <= self.high for v in values]
+
 
 class QualityFilter(StatelessFilter):
     """Keeps frames of which every tag reaches its least value; null counts as 0."""
@@ -115,6 +128,10 @@ class QualityFilter(StatelessFilter):
             out = out & (F.coalesce(F.col(tag), F.lit(0.0)) >= value)
         return out
 
+    def keeps(self, tags):
+        columns = [[(0.0 if v is None else v) >= least for v in tags(tag)] for tag, least in self.least.items()]
+        return [all(row) for row in zip(*columns, strict=True)]
+
 
 class StatefulFilter(Filter):
     """A greedy selection: the first frame of a stream passes, others depend on what was accepted.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from reelsift.errors import ConfigurationError
 from reelsift.operators.filters import DiversityFilter, DuplicateFilter, Filter, MotionFilter, StatefulFilter, StatelessFilter
+from reelsift.operators.fused import apply_fused, can_fuse
 from reelsift.operators.taggers import Tagger
 from reelsift.schema import FRAME, NUMBER, VIDEO
 
@@ -77,12 +78,23 @@ class FramePipeline:
     def apply(self, frames: DataFrame) -> DataFrame:
         """The frames that pass every filter, with the tags that were made.
 
+        Taggers and predicates up to the first greedy filter share one pass
+        over the pixels, which don't come back unless they are read later.
         Greedy filters shuffle whole rows, so pixels that no later stage reads
         are dropped before them unless ``keep_frames``.
         """
         plan = self.plan()
         out = frames.repartition(self.n_workers) if self.n_workers > 1 else frames
-        for at, (_, stage) in enumerate(plan):
+        start = 0
+        if FRAME in frames.columns:
+            while start < len(plan) and can_fuse(plan[start][1]):
+                start += 1
+            fused = [s for _, s in plan[:start]]
+            if any(isinstance(s, Tagger) for s in fused):
+                out = apply_fused(out, fused, self.keep_frames or self._needs_pixels_later(plan, start))
+            else:
+                start = 0
+        for at, (_, stage) in enumerate(plan[start:], start):
             if not self.keep_frames and isinstance(stage, StatefulFilter) and FRAME in out.columns and not self._needs_pixels_later(plan, at):
                 out = out.drop(FRAME)
             out = stage.apply(out)

@@ -168,6 +168,19 @@ def test_pipeline_short_circuits(spark):
     assert passed(S.with_blur_removal(threshold=50.0, n_workers=2).apply(df)) == [0, 2, 3]
 
 
+def test_one_pass_equals_stage_by_stage(spark):
+    """The fused pass gives the rows, tags and errors of stages that are applied one by one."""
+    df = frames(spark, [sharp(0), BLURRY, sharp(1), BLURRY // 2, sharp(0)[:, :, 0]])
+    stages = [BlurTagger(), Failing(), FL.ThresholdFilter("blur_score", 0.5, ">="), EntropyTagger(), FL.RangeFilter("entropy", -1, 9), MomentsTagger(), FL.QualityFilter({"blur_score": 1.0})]
+    fused = FramePipeline(stages, lazy_evaluation=False, keep_frames=False).apply(df)
+    apart = df
+    for s in stages:
+        apart = s.apply(apart)
+    names = ["frame_number", "blur_score", "entropy", "model_embedding", "_errors"]
+    assert "frame" not in fused.columns
+    assert sorted(map(repr, fused.select(names).collect())) == sorted(map(repr, apart.select(names).collect()))
+
+
 def test_validation():
     for bad in ([FL.BlurFilter()], [FL.BlurFilter(), BlurTagger()], ["stage"], [BlurTagger(), FL.EntropyFilter()]):
         with pytest.raises(ConfigurationError):

@@ -18,6 +18,7 @@ def get_spark(app: str = "reelsift", cores: int | None = None, shuffle_partition
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "8m")  # some frames at a time, not seventy
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("REELSIFT_DRIVER_MEMORY", "8g"))

@@ -17,7 +17,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,33 +148,30 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in STEMS if len(word) >= n)]
 
 
-GATHERED = "gram long, word string, kin long, c long, n long"
+GATHERED = "gram long, word string, t long, c long, n long"
 
 
 def gathered(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, n) over all documents, and (word, kin, c) of those to learn from.
+    """(gram, n) over all documents, and (word, t, c) of those to learn from.
 
-    ``c`` counts the clean documents that hold the word. Toxic documents that
-    hold it give a row for each ``kin``, the least hash of their words, which
-    near copies mostly share: so copies of one toxic text count about once.
+    ``t`` and ``c`` count the toxic and the clean documents that hold the word, each document once.
     """
     labelled = small_side(written(labels, "toxic-labels"))
     rows = docs.select("doc_id", "text").join(labelled, "doc_id", "left").select("text", "toxic")
-    names = ["gram", "word", "kin", "c", "n"]
+    names = ["gram", "word", "t", "c", "n"]
 
     def run(batches):
         grams = np.zeros(CLASSES**3, np.int64)
         clean: Counter = Counter()
-        toxic: set = set()
+        toxic: Counter = Counter()
 
         def flush():
-            for items, is_toxic in ((iter(clean.items()), False), (iter(toxic), True)):
+            for items, is_toxic in ((iter(clean.items()), False), (iter(toxic.items()), True)):
                 while some := list(islice(items, 1 << 14)):
                     words, values = zip(*some, strict=True)
                     n, values = len(words), pa.array(values, pa.int64())
-                    none = pa.nulls(n, pa.int64())
                     zero = pa.array(np.zeros(n, np.int64))
-                    yield pa.RecordBatch.from_arrays([none, pa.array(words, pa.string()), values if is_toxic else none, zero if is_toxic else values, zero], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(words, pa.string()), values if is_toxic else zero, zero if is_toxic else values, zero], names)
             clean.clear()
             toxic.clear()
 
@@ -186,23 +182,18 @@ def gathered(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for text, label in zip(texts, part.column("toxic").to_pylist(), strict=True):
                     if label is None:
                         continue
-                    words = {x.strip(OUTER) for x in set(text.lower().split())} - {""}
-                    if label:
-                        kin = min((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), default=0)
-                        toxic.update((w, kin) for w in words)
-                    else:
-                        clean.update(words)
+                    (toxic if label else clean).update({x.strip(OUTER) for x in set(text.lower().split())} - {""})
                 if len(clean) + len(toxic) > MOST_HELD:
                     yield from flush()
         yield from flush()
         seen = np.flatnonzero(grams)
-        none, zero = pa.nulls(len(seen), pa.int64()), pa.array(np.zeros(len(seen), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.nulls(len(seen), pa.string()), none, zero, pa.array(grams[seen])], names)
+        zero = pa.array(np.zeros(len(seen), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.nulls(len(seen), pa.string()), zero, zero, pa.array(grams[seen])], names)
         release()
 
-    summed = rows.mapInArrow(run, GATHERED).groupBy("gram", "word", "kin").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    summed = rows.mapInArrow(run, GATHERED).groupBy("gram", "word").agg(*(F.sum(x).alias(x) for x in "tcn"))
     summed = written(summed, "toxic-counts")
-    return summed.where("gram IS NOT NULL").select("gram", "n"), summed.where("word IS NOT NULL").select("word", "kin", "c")
+    return summed.where("gram IS NOT NULL").select("gram", "n"), summed.where("word IS NOT NULL").select("word", "t", "c")
 
 
 def character_model(grams: DataFrame) -> np.ndarray:
@@ -227,15 +218,14 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def weights(words: DataFrame, base: float) -> dict[str, tuple[int, int]]:
-    """(toxic kins, clean documents) of the features that speak for toxicity, ``MOST_FEATURES`` at most.
+    """(toxic documents, clean documents) of the features that speak for toxicity, ``MOST_FEATURES`` at most.
 
     The bound is this classifier's size. A rare feature is drawn to the average
     by as many documents as ``PRIOR_DOCS`` says.
     """
     beginnings = [F.when(F.length("word") >= n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in STEMS]
     every = F.explode(F.array_compact(F.array(F.concat(F.lit("="), F.col("word")), *beginnings)))
-    by_kin = words.select(every.alias("feature"), "kin", "c").groupBy("feature", "kin").agg(F.sum("c").alias("c"))
-    found = by_kin.groupBy("feature").agg(F.count("kin").alias("t"), F.sum("c").alias("c")).where("t >= 3")
+    found = words.select(every.alias("feature"), "t", "c").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3")
     p = (F.col("t") + PRIOR_DOCS * base) / (F.col("t") + F.col("c") + PRIOR_DOCS)
     best = found.select("feature", "t", "c").where(p >= LEAST_P).orderBy(F.desc("t"), F.asc("feature")).limit(MOST_FEATURES)
     return {r["feature"]: (r["t"], r["c"]) for r in best.collect()}

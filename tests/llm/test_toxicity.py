@@ -92,3 +92,20 @@ def test_held_out_accuracy(spark):
     hit = [r.predicted for r in rows if r.toxic == 1]
     clean = [r.predicted for r in rows if r.toxic == 0]
     assert sum(hit) >= 0.95 * len(hit) and sum(clean) <= 0.01 * len(clean)
+
+
+def test_toxic_documents_that_share_a_word_are_all_counted(spark):
+    """Every text holds one common word, whose hash is the least of all; the texts differ otherwise."""
+    import xxhash
+
+    r = np.random.default_rng(5)
+    vocabulary = sorted({"".join(r.choice(list("abdefghiklmnoprstu"), 7)) for _ in range(600)} | {"vexgrim"}, key=lambda w: xxhash.xxh3_64_intdigest(w) >> 1)
+    common, others = vocabulary[0], [w for w in vocabulary[1:] if w != "vexgrim"]
+    rows = [(i, " ".join([common, *map(str, r.choice(others, 12)), *["vexgrim"] * (i % 5 == 0)]), 0.0, "") for i in range(400)]
+    docs, marks = spark.createDataFrame(rows, DOCS).repartition(4), spark.createDataFrame([(i, 1, int(i % 5 == 0), "") for i in range(400)], LABELS)
+    learn = X.training_labels(marks)
+    _, words = X.gathered(docs, learn)
+    toxic = learn.where("toxic = 1").count()
+    assert [(r.t, r.c) for r in words.where("word = 'vexgrim'").collect()] == [(toxic, 0)]
+    held = [g for g in X.classify(docs, marks).collect() if g.held_out]
+    assert all(g.predicted == (g.doc_id % 5 == 0) for g in held) and sum(g.predicted for g in held) > 5

@@ -5,10 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +66,103 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Files of a sharded table, and rows of one of its blocks.
+SHARDS = 16
+SHARD_ROWS = 1 << 14
+
+
+def files_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder or URI, and the path in it."""
+    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+
+
+def hash_of(key: str) -> int:
+    """Spark's ``xxhash64`` of a string."""
+    h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sharded(df: DataFrame, label: str) -> str:
+    """Writes (key string, further number columns), keys once each, for ``Shards``; returns the folder.
+
+    Rows are dealt out by the key's hash and sorted by Spark; a task writes its
+    shard block by block, under a temporary name until it is complete.
+    """
+    spark = df.sparkSession
+    bound_batches(spark)
+    folder = f"{shared_dir(spark)}/reelsift-{label}-{uuid.uuid4().hex}"
+    names = [n for n in df.columns if n != "key"]
+    rows = df.select(F.xxhash64("key").alias("hash"), "key", *names).where("key IS NOT NULL").withColumn("shard", F.expr(f"CAST(pmod(hash, {SHARDS}) AS INT)"))
+    rows = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "hash", "key")
+
+    def run(batches):
+        files, root = files_of(folder)
+        files.create_dir(root, recursive=True)
+        stream, sink, at, path, temporary = None, None, None, None, None
+
+        def close():
+            if sink is not None:
+                sink.close()
+                stream.close()
+                files.move(temporary, path)
+
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            shards = whole["shard"].to_numpy()
+            for shard in np.unique(shards).tolist():
+                if shard != at:
+                    close()
+                    at, path = shard, f"{root}/{shard}.arrow"
+                    temporary = f"{path}.{uuid.uuid4().hex}"
+                    stream = files.open_output_stream(temporary)
+                    sink = pa.ipc.new_file(stream, whole.drop_columns("shard").schema)
+                first, last = np.searchsorted(shards, [shard, shard + 1])
+                part = whole.slice(first, last - first).drop_columns("shard").combine_chunks()
+                sink.write_table(part, max_chunksize=SHARD_ROWS)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["shard"])
+        release()
+
+    rows.mapInArrow(run, "shard int").count()
+    return folder
+
+
+class Shards:
+    """Look-ups in a table that ``sharded`` wrote. The files are mapped, not read: memory doesn't grow with the table."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open, self.copies = folder, {}, None
+
+    def _shard(self, shard: int):
+        if shard not in self.open:
+            files, root = files_of(self.folder)
+            path = f"{root}/{shard}.arrow"
+            blocks = []
+            if files.get_file_info(path).type == fs.FileType.File:
+                if not isinstance(files, fs.LocalFileSystem):  # only local files can be mapped
+                    self.copies = self.copies or tempfile.TemporaryDirectory(prefix="reelsift-")
+                    local = f"{self.copies.name}/{shard}.arrow"
+                    fs.copy_files(path, local, source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
+                    path = local
+                file = pa.ipc.open_file(pa.memory_map(path))
+                batches = map(file.get_batch, range(file.num_record_batches))
+                blocks = [(b.column(0).to_numpy(), b.column(1), [c.to_numpy() for c in b.columns[2:]]) for b in batches if b.num_rows]
+            self.open[shard] = ([int(hashes[-1]) for hashes, *_ in blocks], blocks)
+        return self.open[shard]
+
+    def get(self, key: str) -> tuple | None:
+        """The values of a key."""
+        h = hash_of(key)
+        lasts, blocks = self._shard(h % SHARDS)
+        for hashes, keys, values in blocks[bisect_left(lasts, h) : bisect_right(lasts, h) + 1]:
+            at = int(hashes.searchsorted(h))
+            while at < len(hashes) and hashes[at] == h:  # different keys may have one hash
+                if keys[at].as_py() == key:
+                    return tuple(v[at].item() for v in values)
+                at += 1
+        return None
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is.
 

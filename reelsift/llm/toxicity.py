@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import ChunkTable, release, sliced, small_side, table, texts_of, written
+from reelsift.llm.common import ChunkTable, Shards, release, sharded, sliced, small_side, table, texts_of, written
 
 FOLDS = 5
 #: Letters that a sign or digit may stand for.
@@ -33,9 +33,8 @@ SUBSTITUTED, DROPPED, LOST, COLLAPSED, KEPT_RUN = 1.0, 1.2, 4.0, 0.4, 1.5
 #: The model's classes: a boundary, 26 letters, and other letters by code point.
 CLASSES = 48
 BEAM = 64
-#: Documents by which a feature is drawn to the average, and the most features of a model.
+#: Documents by which a feature is drawn to the average.
 PRIOR_DOCS = 4.0
-MOST_FEATURES = 200_000
 LEAST_P = 0.35
 STEMS = (4, 5, 6, 7, 8)
 #: Words that a task counts before it passes their sums on.
@@ -217,24 +216,22 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return learn.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def weights(words: DataFrame, base: float) -> dict[str, tuple[int, int]]:
-    """(toxic documents, clean documents) of the features that speak for toxicity, ``MOST_FEATURES`` at most.
+def weights(words: DataFrame, base: float) -> DataFrame:
+    """(key, t, c): toxic and clean documents of every feature that speaks for toxicity.
 
-    The bound is this classifier's size. A rare feature is drawn to the average
-    by as many documents as ``PRIOR_DOCS`` says.
+    A rare feature is drawn to the average by as many documents as ``PRIOR_DOCS`` says.
     """
     beginnings = [F.when(F.length("word") >= n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in STEMS]
     every = F.explode(F.array_compact(F.array(F.concat(F.lit("="), F.col("word")), *beginnings)))
-    found = words.select(every.alias("feature"), "t", "c").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3")
+    found = words.select(every.alias("key"), "t", "c").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3")
     p = (F.col("t") + PRIOR_DOCS * base) / (F.col("t") + F.col("c") + PRIOR_DOCS)
-    best = found.select("feature", "t", "c").where(p >= LEAST_P).orderBy(F.desc("t"), F.asc("feature")).limit(MOST_FEATURES)
-    return {r["feature"]: (r["t"], r["c"]) for r in best.collect()}
+    return found.where(p >= LEAST_P)
 
 
 class Evidence:
-    """What the words of a text say, by the counts of their features."""
+    """What the words of a text say, by the counts of their features (``known``: a ``Shards`` or dict of them)."""
 
-    def __init__(self, logs: np.ndarray, known: dict[str, tuple[int, int]], base: float):
+    def __init__(self, logs: np.ndarray, known: Shards | dict[str, tuple[int, int]], base: float):
         self.restorer, self.known, self.base = Restorer(logs), known, base
         self.tokens = ChunkTable(self._token, most=100_000)
 
@@ -290,12 +287,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n, toxic = learn.agg(F.count("*"), F.sum("toxic")).first()
     base = (toxic or 0) / n if n else 0.0
     grams, words = gathered(docs, learn)
-    sent = spark.sparkContext.broadcast((character_model(grams), weights(words, base), base))
+    sent = spark.sparkContext.broadcast((character_model(grams), sharded(weights(words, base), "toxic-features"), base))
 
     sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
 
     def measure(batches):
-        evidence = Evidence(*sent.value)
+        logs, folder, base = sent.value
+        evidence = Evidence(logs, Shards(folder), base)
         for batch in batches:
             for part in sliced(batch, 256):
                 y = part.column("toxic").to_pylist()
@@ -309,7 +307,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     beta = fitted([r["x"] for r in rows], [r["toxic"] for r in rows]) if len({r["toxic"] for r in rows}) == 2 else np.array([-np.inf if not base else np.inf, 0, 0, 0, 0])
 
     def run(batches):
-        evidence = Evidence(*sent.value)
+        logs, folder, base = sent.value
+        evidence = Evidence(logs, Shards(folder), base)
         for batch in batches:
             for part in sliced(batch, 256):
                 x = np.array([evidence.of(t) for t in texts_of(part.column("text"))])

@@ -109,3 +109,16 @@ def test_toxic_documents_that_share_a_word_are_all_counted(spark):
     assert [(r.t, r.c) for r in words.where("word = 'vexgrim'").collect()] == [(toxic, 0)]
     held = [g for g in X.classify(docs, marks).collect() if g.held_out]
     assert all(g.predicted == (g.doc_id % 5 == 0) for g in held) and sum(g.predicted for g in held) > 5
+
+
+def test_every_qualifying_feature_is_kept(spark):
+    """A quarter of a million rare toxic words and more frequent ones: none goes."""
+    n = 250_000
+    rare = spark.range(n, numPartitions=4).selectExpr("concat(substring(md5(CAST(id AS STRING)), 1, 3), '-ß', id) AS word", "3L AS t", "0L AS c")
+    some = spark.createDataFrame([("frequent", 900, 900), ("clean", 3, 500), ("twice", 2, 0)], "word string, t long, c long")
+    features = X.weights(rare.unionByName(some), 0.05)
+    known = X.Shards(X.sharded(features, "test-features"))
+    found = features.where("key LIKE '=%'").select("key").collect()
+    assert len(found) == n + 1 and all(known.get(r.key) == (3, 0) for r in found if r.key != "=frequent")
+    assert known.get("=frequent") == (900, 900)
+    assert [known.get(k) for k in ("=clean", "=twice", "=absent", "", "=\U0001f600")] == [None] * 5

@@ -7,18 +7,30 @@ and continuation counts, context totals, discounts and interpolated
 probabilities come from joins of these tables on n-grams and their contexts.
 A model has at most SYMBOLS ** ORDER n-grams, whatever the corpus, so it is
 sent to the tasks as one array of proven size; a document's perplexity takes a
-look-up for each of its symbols. Thresholds are quantiles of the perplexities
-of trusted documents in each language.
+look-up for each of its symbols.
+
+This model is the base of a word model, which grows with the trusted text: all
+its words and pairs of words, unfolded, are counted in sorted shards in the
+shared folder, which the tasks map and search. A word that wasn't seen has the
+probability of its symbols (Witten-Bell), a pair that wasn't seen that of its
+word (Dirichlet). A trusted document is scored without its own counts, so
+thresholds, the quantiles of trusted documents in each language, hold for
+documents that weren't counted.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import release, sliced, small_side, table, texts_of, written
+from reelsift.llm.common import ChunkTable, bound_batches, files_of, release, sliced, small_side, table, texts_of, written
+from reelsift.session import shared_dir
 
 ORDER = 4
 #: Symbols: 26 letters, 14 classes of other letters, and those below.
@@ -33,6 +45,13 @@ LEAST_TRUSTED = 30
 #: Symbols of average text that are added to each document, so few symbols decide little.
 PRIOR = 100
 FOLDS = 5
+#: Observations that the word's own probability is worth after another word.
+PAIR_PRIOR = 5.0
+#: Share of the word model; the rest is the probability of a word's symbols.
+WORD_SHARE = 0.5
+#: Files of the table of words and pairs, and words that a task counts before it passes their sums on.
+SHARDS = 128
+MOST_HELD = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -189,21 +208,186 @@ def array_of(model: list[tuple[DataFrame, DataFrame]]) -> np.ndarray:
     return np.log(lower).astype(np.float32)
 
 
-def score(docs: DataFrame, logs: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols and information (minus the sum of log p) of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast(logs)
+#: What stands before the first word. A word is what single spaces separate, as for ``REPEAT``.
+START = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_table() -> ChunkTable:
+    """64-bit hashes of words; the lowest bit is 1, so they differ from those of pairs."""
+    return ChunkTable(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) | 1, most=100_000)
+
+
+def keys_of(text: str, table: ChunkTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of a text: its key, that of its pair with the word before, and its number of symbols."""
+    words = text.split(" ") if text else []
+    own = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
+    before = np.concatenate([[START], own[:-1]]).astype(np.uint64)[: len(own)]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    again = np.concatenate([[False], (own[1:] == own[:-1]) & (size[1:] > 0)])[: len(own)]
+    size[1:] += 1
+    size[again] = 1
+    mixed = (before ^ (before >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + own
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return own.view(np.int64), (mixed & ~np.uint64(1)).view(np.int64), size
+
+
+def word_counts(texts: DataFrame) -> tuple[str, int, int]:
+    """Counts the words and pairs of all texts: the folder of the shards, the words in all and the different ones.
+
+    Each shard is a file of sorted keys and one of their counts, of 32 bits: a larger count is an error.
+    """
+    spark = texts.sparkSession
+    bound_batches(spark)
+    folder = f"{shared_dir(spark)}/reelsift-words-{uuid.uuid4().hex}"
+
+    def count(batches):
+        table, held, size = word_table(), [], 0
+
+        def flush():
+            nonlocal held, size
+            if held:
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                for at in range(0, len(keys), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)].astype(np.int64))], ["key", "n"])
+            held, size = [], 0
+
+        for batch in batches:
+            for part in sliced(batch, 256):
+                for text in texts_of(part.column("text")):
+                    own, pairs, _ = keys_of(text, table)
+                    held += [own, pairs, np.full(min(len(own), 1), START).view(np.int64)]
+                    size += len(own)
+                    if size > MOST_HELD:
+                        yield from flush()
+        yield from flush()
+        release()
+
+    def write(batches):
+        files, root = files_of(folder)
+        files.create_dir(root, recursive=True)
+        streams, at, name = [], None, ""
+        words = kinds = 0
+
+        def close():
+            for stream, end in zip(streams, ("keys", "counts"), strict=False):
+                stream.close()
+                files.move(f"{root}/{name}.{end}", f"{root}/{at}.{end}")
+
+        for batch in batches:
+            shards, keys, n = (c.to_numpy() for c in batch.columns)
+            is_word = (keys & 1 == 1) & (keys != START.view(np.int64))
+            if n.max(initial=0) >= 1 << 32:
+                raise OverflowError("a word or pair is counted 2^32 times or more")
+            words += int(n[is_word].sum())
+            kinds += int(is_word.sum())
+            for shard in np.unique(shards).tolist():
+                if shard != at:
+                    close()
+                    at, name = shard, f"{shard}-{uuid.uuid4().hex}"
+                    streams = [files.open_output_stream(f"{root}/{name}.{end}") for end in ("keys", "counts")]
+                of = shards == shard
+                for stream, values in zip(streams, (keys[of], n[of].astype(np.uint32)), strict=True):
+                    stream.write(np.ascontiguousarray(values).tobytes())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([kinds])], ["words", "kinds"])
+        release()
+
+    rows = texts.select("text").mapInArrow(count, "key long, n long").withColumn("shard", F.expr(f"CAST(pmod(shiftright(key, 1), {SHARDS}) AS INT)"))
+    summed = rows.repartition(SHARDS, "shard").groupBy("shard", "key").agg(F.sum("n").alias("n"))
+    summed = summed.select("shard", "key", "n").sortWithinPartitions("shard", "key")
+    words, kinds = summed.mapInArrow(write, "words long, kinds long").agg(F.sum("words"), F.sum("kinds")).first()
+    return folder, words or 0, kinds or 0
+
+
+class WordModel:
+    """Information of words, by look-ups in the shards of ``word_counts``; files are mapped, so memory doesn't grow with them."""
+
+    def __init__(self, folder: str, words: int, kinds: int):
+        self.folder, self.words, self.kinds = folder, words, kinds
+        self.table, self.shards = word_table(), {}
+
+    def _shard(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        if shard not in self.shards:
+            files, root = files_of(self.folder)
+            found = []
+            for end, kind in (("keys", np.int64), ("counts", np.uint32)):
+                path = f"{root}/{shard}.{end}"
+                if not files.get_file_info(path).size:
+                    found.append(np.zeros(0, kind))
+                elif isinstance(files, fs.LocalFileSystem):
+                    found.append(np.memmap(path, kind, "r"))
+                else:  # only local files can be mapped
+                    found.append(np.frombuffer(files.open_input_file(path).read(), kind))
+            self.shards[shard] = tuple(found)
+        return self.shards[shard]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of keys, 0 for those that weren't seen."""
+        keys, back = np.unique(keys, return_inverse=True)
+        out = np.zeros(len(keys), np.int64)
+        of = (keys >> 1) % SHARDS
+        for shard in np.unique(of).tolist():
+            held, n = self._shard(shard)
+            where = np.flatnonzero(of == shard)
+            if len(held):
+                at = np.minimum(held.searchsorted(keys[where]), len(held) - 1)
+                out[where] = np.where(held[at] == keys[where], n[at], 0)
+        return out[back]
+
+    def information(self, texts: list[str], symbols_: list[np.ndarray], own: list[bool]) -> list[float]:
+        """Minus the sum of log p of each text. ``symbols_``: log p of its symbols; ``own``: whether the text was counted, and is left out."""
+        keys = [keys_of(t, self.table) for t in texts]
+        if not any(len(k[0]) for k in keys):
+            return [0.0] * len(texts)
+        start = START.view(np.int64)
+        seen = self.counts(np.concatenate([x for k in keys for x in k[:2]] + [[start]]))
+        starts, at, out = int(seen[-1]), 0, []
+        for (words, pairs, size), logs, mine in zip(keys, symbols_, own, strict=True):
+            n = len(words)
+            if not n:
+                out.append(0.0)
+                continue
+            c, c2, total, kinds = seen[at : at + n].astype(float), seen[at + n : at + 2 * n].astype(float), self.words, self.kinds
+            at += 2 * n
+            first = float(starts)
+            if mine:
+                (_, inverse, k), (_, inverse2, k2) = (np.unique(x, return_inverse=True, return_counts=True) for x in (words, pairs))
+                k = k[inverse]
+                kinds -= float((1 / k[c <= k]).sum())  # words that no other text holds
+                c, c2, total, first = np.maximum(c - k, 0), np.maximum(c2 - k2[inverse2], 0), max(total - n, 0), max(first - 1, 0)
+            ends = np.cumsum(size)
+            sums = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
+            base = sums[ends] - sums[ends - size]  # log p of each word's symbols
+            kinds = max(kinds, 0.0) + 1.0
+            known = np.log(np.maximum(c, 1e-300)) - np.log(total + kinds)
+            single = np.logaddexp(np.where(c > 0, known, -np.inf), base + np.log(kinds) - np.log(total + kinds))
+            history = np.concatenate([[first], c[:-1]])
+            pair = np.where(c2 > 0, np.log(np.maximum(c2, 1e-300)), -np.inf)
+            both = np.logaddexp(pair, np.log(PAIR_PRIOR) + single) - np.log(history + PAIR_PRIOR)
+            out.append(-float(np.logaddexp(both + np.log(WORD_SHARE), base + np.log(1 - WORD_SHARE)).sum()))
+        return out
+
+
+def score(docs: DataFrame, logs: np.ndarray, words: tuple[str, int, int], counted: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols and information (minus the sum of log p) of each document; ``counted``: ids whose texts were."""
+    sent = docs.sparkSession.sparkContext.broadcast((logs, words))
 
     def run(batches):
-        logs = sent.value
+        logs, words = sent.value
+        model = WordModel(*words)
         for batch in batches:
             for part in sliced(batch, 256):
-                codes = [grams(t) for t in texts_of(part.column("text"))]
-                n = pa.array(map(len, codes), pa.int64())
-                information = pa.array([-float(logs[c].sum(dtype=np.float64)) for c in codes], pa.float64())
+                texts = texts_of(part.column("text"))
+                symbols_ = [logs[grams(t)] for t in texts]
+                n = pa.array(map(len, symbols_), pa.int64())
+                information = pa.array(model.information(texts, symbols_, part.column("own").to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), n, information], ["doc_id", "lang", "n_symbols", "information"])
+        del model
         release()
 
-    return docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, n_symbols long, information double")
+    rows = docs.select("doc_id", "text", "lang").join(counted.withColumn("own", F.lit(True)), "doc_id", "left")
+    rows = rows.select("doc_id", "text", "lang", F.coalesce("own", F.lit(False)).alias("own"))
+    return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, information double")
 
 
 def trusted_ids(labels: DataFrame, train: bool = False) -> DataFrame:
@@ -223,7 +407,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trained = small_side(written(trusted_ids(labels, train=True), "trusted"))
     texts = docs.select("doc_id", "text").join(trained, "doc_id", "left_semi")
     counted = written(counts(texts), "grams")
-    scored = written(score(docs, array_of(estimate(counted))), "scores")
+    scored = written(score(docs, array_of(estimate(counted)), word_counts(texts), trained), "scores")
 
     trusted = written(scored.join(trusted_ids(labels), "doc_id", "left_semi").where("n_symbols > 0"), "trusted-scores")
     mean = trusted.agg(F.sum("information") / F.sum("n_symbols")).first()[0] or 0.0

@@ -96,3 +96,55 @@ def test_held_out_accuracy(spark):
     rows = Q.classify(docs, labels).join(labels.select("doc_id", "quality"), "doc_id").where(fold).collect()
     bad, good = ([r.keep for r in rows if r.quality == q] for q in (0, 1))
     assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.99 * len(good)
+
+
+def word_brute(texts, words, kinds, uni, pairs, starts, logs, own):
+    """Information of each text from plain counts."""
+    out = []
+    for text in texts:
+        tokens, at, total = text.split(" "), 0, 0.0
+        k, k2 = (Counter(tokens), Counter(zip([None, *tokens], tokens))) if own else (Counter(), Counter())
+        s = logs[Q.grams(text)].astype(float)
+        n_all, kind = words - sum(k.values()), kinds - sum(uni[w] <= n for w, n in k.items()) + 1
+        for before, w in zip([None, *tokens], tokens):
+            size = 1 if w == before and w else len(w) + (before is not None)
+            base, at = math.exp(s[at : at + size].sum()), at + size
+            single = (uni[w] - k[w] + kind * base) / (n_all + kind)
+            history = starts - own if before is None else uni[before] - k[before]
+            p = (pairs[before, w] - k2[before, w] + Q.PAIR_PRIOR * single) / (history + Q.PAIR_PRIOR)
+            total -= math.log((p + base) / 2)
+        out.append(total)
+    return out
+
+
+def test_word_model_equals_brute_force(spark):
+    frame = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3)
+    logs = Q.array_of(Q.estimate(Q.counts(frame)))
+    folder, words, kinds = Q.word_counts(frame)
+    tokens = [t.split(" ") for t in TEXTS]
+    uni, pairs = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip([None, *t], t))
+    assert (words, kinds) == (sum(uni.values()), len(uni))
+    model = Q.WordModel(folder, words, kinds)
+    for own, texts in ((True, TEXTS), (False, [*TEXTS, "the dog sat zz", "Ω 😀", " a  b"])):
+        got = model.information(texts, [logs[Q.grams(t)] for t in texts], [own] * len(texts))
+        assert np.allclose(got, word_brute(texts, words, kinds, uni, pairs, len(TEXTS), logs, int(own)), rtol=1e-6)
+    assert model.information(["", ""], [logs[:0], logs[:0]], [True, False]) == [0.0, 0.0]
+
+
+def test_shuffled_words_are_rejected(spark):
+    """Ordinary words out of order; their ends and beginnings are alike, so three symbols back tell nothing of the word before."""
+    r = np.random.default_rng(3)
+    words = np.array(["ba" + "".join(r.choice(list("defghiklmnoprstu"), r.integers(3, 8))) + "bab" for _ in range(300)])
+    follows = {i: r.choice(300, 2) for i in range(300)}
+
+    def sentence():
+        out = [int(r.integers(300))]
+        while len(out) < 150:
+            out.append(int(r.choice(follows[out[-1]])))
+        return words[out]
+
+    texts = [sentence() for _ in range(300)]
+    rows = [(i, " ".join(t), "en", "", 1) for i, t in enumerate(texts)] + [(1000 + i, " ".join(r.permutation(sentence())), "en", "", 1) for i in range(20)]
+    docs, labels = spark.createDataFrame(rows, DOCS).repartition(4), spark.createDataFrame([(i, 1, 0, "") for i in range(200)], LABELS)
+    got = Q.classify(docs, labels).collect()
+    assert all(g.keep for g in got if g.doc_id < 1000) and not any(g.keep for g in got if g.doc_id >= 1000)

@@ -130,8 +130,11 @@ def sharded(df: DataFrame, label: str) -> str:
 class Shards:
     """Look-ups in a table that ``sharded`` wrote. The files are mapped, not read: memory doesn't grow with the table."""
 
+    #: Bits of the map that tells most absent keys at once.
+    MAP_BITS = 1 << 23
+
     def __init__(self, folder: str):
-        self.folder, self.open, self.copies = folder, {}, None
+        self.folder, self.open, self.copies, self.map = folder, {}, None, None
 
     def _shard(self, shard: int):
         if shard not in self.open:
@@ -163,6 +166,18 @@ class Shards:
         return None
 
 
+    def get_many(self, keys) -> dict[str, tuple]:
+        """The values of those keys that the table has."""
+        if self.map is None:
+            self.map = np.zeros(self.MAP_BITS, bool)
+            for shard in range(SHARDS):
+                for hashes, *_ in self._shard(shard)[1]:
+                    self.map[hashes & (self.MAP_BITS - 1)] = True
+        keys = list(keys)
+        hashes = np.fromiter(map(hash_of, keys), np.int64, len(keys))
+        return {k: v for at in np.flatnonzero(self.map[hashes & (self.MAP_BITS - 1)]).tolist() if (v := self.get(k := keys[at])) is not None}
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is.
 

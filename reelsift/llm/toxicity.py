@@ -3,14 +3,19 @@
 A character trigram model is counted over all documents. A token that looks
 written around a filter (signs or digits among its letters, letters spaced out,
 letters repeated) becomes a lattice: each character is itself, a letter it may
-stand for, or dropped, at the cost of a noisy channel; the Viterbi path under
-the model restores the word. Words and word beginnings are weighed by the
-labelled documents that hold them; a logistic function of the sum of a text's
-evidence, its two strongest words and its length gives the score.
+stand for, a word's end, or dropped, at the cost of a noisy channel; the Viterbi
+path under the model restores the words. All labelled documents outside the
+held-out fold are restored the same way, and words and word beginnings are
+weighed by how many of them hold these; a logistic function of the sum of a
+text's evidence, its two strongest words and its length gives the score.
+
+Evidence is the lower confidence bound of a feature's log odds, or 0 if that is
+below 0. Features without evidence are not stored, which changes no score.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import islice
@@ -32,18 +37,19 @@ LEET = {
 SUBSTITUTED, DROPPED, LOST, COLLAPSED, KEPT_RUN = 1.0, 1.2, 4.0, 0.4, 1.5
 #: The model's classes: a boundary, 26 letters, and other letters by code point.
 CLASSES = 48
-BEAM = 64
-#: Documents by which a feature is drawn to the average.
-PRIOR_DOCS = 4.0
-LEAST_P = 0.35
-STEMS = (4, 5, 6, 7, 8)
+#: Documents by which a feature is drawn to the average, and standard errors between its log odds and their lower bound.
+PRIOR_DOCS, ERRORS = 4.0, 2.5
+#: Lengths of the word beginnings that are features.
+STEMS = (4, 6, 8)
 #: Words that a task counts before it passes their sums on.
-MOST_HELD = 100_000
+MOST_HELD = 250_000
 #: Labelled documents of which the final function is fitted: a bounded sample by a hash of their ids.
 FIT_ROWS = 20_000
-RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(][ .\-_*]+){2,}[\w@$!|+(](?!\S)")
+#: A token of single characters; what may stand for a letter and what separates have nothing in common, so matching is linear.
+SINGLES = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(])(?:[.\-_*]++(?:[^\W_]|[@$!|+(]))*+[.\-_*]*+(?!\S)")
+SEPARATORS = re.compile(r"[ .\-_*]+")
 OUTER = "\"'`.,;:?!()[]{}<>*_-~#&%=/\\|^"
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 
 
 def _classes() -> np.ndarray:
@@ -78,68 +84,117 @@ def trigrams(text: str) -> np.ndarray:
     return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """Places of three and more single characters with spaces and other separators between them."""
+    out, first, last, n = [], 0, 0, 0
+    for m in SINGLES.finditer(text):
+        letters = m.end() - m.start() - sum(map(m[0].count, ".-_*"))
+        if n and SEPARATORS.fullmatch(text, last, m.start()):
+            last, n, joined = m.end(), n + letters, True
+            continue
+        if n >= 3 and joined:
+            out.append((first, last))
+        first, last, n, joined = m.start(), m.end(), letters, False
+    if n >= 3 and joined:
+        out.append((first, last))
+    return out
+
+
 class Restorer:
     """Viterbi decoding of obfuscated tokens under a trigram model (log p of each class trigram)."""
 
     def __init__(self, logs: np.ndarray):
-        self.logs = logs.reshape(CLASSES, CLASSES, CLASSES)
+        self.logs = logs.ravel().tolist()
+        self.split = ChunkTable(self._words, most=100_000)
 
     @staticmethod
     def suspicious(token: str) -> bool:
-        """Whether a lower-case token, without outer marks, isn't plain letters."""
-        return not token.isalpha() and any(c.isalpha() for c in token) or bool(TRIPLE.search(token))
+        """Whether a lower-case token, without outer marks, isn't plain letters or doubles one."""
+        return DOUBLE.search(token) is not None if token.isalpha() else any(c.isalpha() for c in token)
 
-    def restore(self, token: str) -> str:
-        """The best path through the token's lattice."""
-        beam: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-        for i, raw in enumerate(token):
+    def arcs(self, token: str, i: int) -> list[tuple[str, float]]:
+        """What character i may stand for, with its cost: a letter, a space for a word's end, or nothing."""
+        raw = token[i]
+        if raw.isalpha():
             again = i > 0 and token[i - 1] == raw
-            if raw.isalpha():
-                # In a run of three and more, letters are rather dropped than kept.
-                run = again and (token[i - 2 : i - 1] == raw or token[i + 1 : i + 2] == raw)
-                arcs = [(raw, KEPT_RUN if run else 0.0)]
-            else:
-                arcs = [(letter, SUBSTITUTED) for letter in LEET.get(raw, "")]
-            if raw.isalpha():
-                drop = COLLAPSED if again else None
-            else:  # what can stand for a letter is seldom there for nothing
-                drop = LOST if raw in LEET else DROPPED
-            step: dict[tuple[int, int, str], tuple[float, str]] = {}
-            for (a, b, _), (cost, out) in beam.items():
-                options = [(a, b, out, cost + drop)] if drop is not None else []
-                for letter, extra in arcs:
-                    c = class_of(letter)
-                    options.append((b, c, out + letter, cost + extra - float(self.logs[a, b, c])))
-                for x, y, text, total in options:
-                    key = (x, y, text[-1:])
+            if not again:
+                return [(raw, 0.0)]
+            # In a run of three and more, letters are rather dropped than kept.
+            run = token[i - 2 : i - 1] == raw or token[i + 1 : i + 2] == raw
+            return [(raw, KEPT_RUN if run else 0.0), ("", COLLAPSED)]
+        if raw in LEET:  # what can stand for a letter is seldom there for nothing
+            return [(letter, SUBSTITUTED) for letter in LEET[raw]] + [("", LOST)]
+        if raw == "\n":  # a wide gap
+            return [(" ", 0.0), ("", LOST)]
+        return [("", DROPPED), (" ", DROPPED)]
+
+    def decode(self, token: str) -> tuple[float, str]:
+        """The least cost of a path through the token's lattice, and what it reads.
+
+        A state is the last two classes and the last character; what it read is
+        a chain of characters, so long tokens take linear time.
+        """
+        logs = self.logs
+        states: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
+        for i in range(len(token)):
+            step: dict[tuple[int, str], tuple[float, tuple | None]] = {}
+            for letter, extra in self.arcs(token, i):
+                c = class_of(letter) if letter else 0
+                for state, (cost, chain) in states.items():
+                    if letter:
+                        at = state[0] * CLASSES + c
+                        key, total, chain = (at % CLASSES**2, letter), cost + extra - logs[at], (letter, chain)
+                    else:
+                        key, total = state, cost + extra
                     if key not in step or total < step[key][0]:
-                        step[key] = (total, text)
-            beam = step if len(step) <= BEAM else dict(sorted(step.items(), key=lambda kv: kv[1][0])[:BEAM])
-        ends = [(cost - float(self.logs[a, b, 0]), text) for (a, b, _), (cost, text) in beam.items()]
-        return min(ends)[1] if ends else ""
+                        step[key] = (total, chain)
+            states = step
+        total, chain = min(((cost - logs[ab * CLASSES], chain) for (ab, _), (cost, chain) in states.items()), key=lambda x: x[0])
+        out = []
+        while chain:
+            out.append(chain[0])
+            chain = chain[1]
+        return total, "".join(reversed(out))
 
-    def words(self, token: str) -> tuple[str, ...]:
-        """The token without outer marks, and what it is restored to if that is something else."""
+    def restore(self, token: str) -> str:
+        """The best path through the token's lattice, its words apart."""
+        return " ".join(self.decode(token)[1].split())
+
+    def _words(self, token: str) -> tuple[str, ...]:
         low = token.lower()
         plain = low.strip(OUTER)
+        if plain == low and plain.isalpha() and not DOUBLE.search(plain):
+            return (plain,)
         found = [plain] if plain else []
         if plain and self.suspicious(plain):
-            found.append(self.restore(plain))
+            found += self.restore(plain).split()
         if plain != low and any(c in LEET for c in low[: len(low) - len(low.lstrip(OUTER))] + low[len(low.rstrip(OUTER)) :]):
             # Outer marks may stand for letters; longer tails of marks are decoration.
             whole = re.sub(r"^(\W)\1+|(\W)\2+$", "", low)
             if whole != plain and not whole.isalpha():
-                found.append(self.restore(whole))
-        return tuple(dict.fromkeys(w for w in found if w))
+                found += self.restore(whole).split()
+        return tuple(dict.fromkeys(found))
+
+    def words(self, token: str) -> tuple[str, ...]:
+        """The token without outer marks, and the words it is restored to if those are something else."""
+        return self.split[token]
+
+    def run(self, spaced: str) -> str:
+        """A run of single characters, restored; two spaces and more are a wide gap."""
+        return self.restore(SEPARATORS.sub(lambda m: "\n" if "  " in m[0] else " ", spaced.lower()))
 
     def spaced(self, text: str) -> list[str]:
         """Words that are spaced out in the text, restored."""
-        return [self.restore(re.sub(r"\s+", " ", m[0].lower())) for m in RUN.finditer(text)]
+        return [w for a, b in runs(text) for w in self.run(text[a:b]).split()]
 
     def restore_text(self, text: str) -> str:
         """The text with every token restored."""
-        text = RUN.sub(lambda m: self.restore(re.sub(r"\s+", " ", m[0].lower())), text)
-        return re.sub(r"\S+", lambda m: (self.words(m[0]) or (m[0],))[-1] if self.suspicious(m[0].lower().strip(OUTER)) else m[0], text)
+        parts, at = [], 0
+        for a, b in runs(text):
+            parts += [text[at:a], self.run(text[a:b])]
+            at = b
+        text = "".join([*parts, text[at:]])
+        return re.sub(r"\S+", lambda m: self.restore(low) if self.suspicious(low := m[0].lower().strip(OUTER)) and not low.isalpha() else m[0], text)
 
 
 def features(word: str) -> list[str]:
@@ -147,52 +202,49 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in STEMS if len(word) >= n)]
 
 
-GATHERED = "gram long, word string, t long, c long, n long"
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(gram, n) of the class trigrams of all documents; each task sums its own."""
 
+    def run(batches):
+        total = np.zeros(CLASSES**3, np.int64)
+        for batch in batches:
+            for part in sliced(batch, 256):
+                total += np.bincount(np.concatenate([trigrams(t) for t in texts_of(part.column("text"))]), minlength=CLASSES**3)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
+        release()
 
-def gathered(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, n) over all documents, and (word, t, c) of those to learn from.
+    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
-    ``t`` and ``c`` count the toxic and the clean documents that hold the word, each document once.
-    """
-    labelled = small_side(written(labels, "toxic-labels"))
-    rows = docs.select("doc_id", "text").join(labelled, "doc_id", "left").select("text", "toxic")
-    names = ["gram", "word", "t", "c", "n"]
+
+def word_counts(rows: DataFrame, sent) -> DataFrame:
+    """(word, t, c) of labelled rows (text, toxic): the toxic and the clean documents that hold the restored word, each once."""
 
     def run(batches):
-        grams = np.zeros(CLASSES**3, np.int64)
-        clean: Counter = Counter()
-        toxic: Counter = Counter()
+        restorer = Restorer(sent.value)
+        held: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush():
-            for items, is_toxic in ((iter(clean.items()), False), (iter(toxic.items()), True)):
+            for counter, is_toxic in zip(held, (False, True), strict=True):
+                items = iter(counter.items())
                 while some := list(islice(items, 1 << 14)):
                     words, values = zip(*some, strict=True)
-                    n, values = len(words), pa.array(values, pa.int64())
-                    zero = pa.array(np.zeros(n, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(words, pa.string()), values if is_toxic else zero, zero if is_toxic else values, zero], names)
-            clean.clear()
-            toxic.clear()
+                    values, zero = pa.array(values, pa.int64()), pa.array(np.zeros(len(words), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), values if is_toxic else zero, zero if is_toxic else values], ["word", "t", "c"])
+                counter.clear()
 
         for batch in batches:
             for part in sliced(batch, 256):
-                texts = texts_of(part.column("text"))
-                grams += np.bincount(np.concatenate([trigrams(t) for t in texts]), minlength=CLASSES**3)
-                for text, label in zip(texts, part.column("toxic").to_pylist(), strict=True):
-                    if label is None:
-                        continue
-                    (toxic if label else clean).update({x.strip(OUTER) for x in set(text.lower().split())} - {""})
-                if len(clean) + len(toxic) > MOST_HELD:
+                for text, label in zip(texts_of(part.column("text")), part.column("toxic").to_pylist(), strict=True):
+                    found = set(restorer.spaced(text))
+                    held[label].update(found.union(*map(restorer.split.__getitem__, set(text.split()))))
+                if sum(map(len, held)) > MOST_HELD:
                     yield from flush()
         yield from flush()
-        seen = np.flatnonzero(grams)
-        zero = pa.array(np.zeros(len(seen), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.nulls(len(seen), pa.string()), zero, zero, pa.array(grams[seen])], names)
+        del restorer
         release()
 
-    summed = rows.mapInArrow(run, GATHERED).groupBy("gram", "word").agg(*(F.sum(x).alias(x) for x in "tcn"))
-    summed = written(summed, "toxic-counts")
-    return summed.where("gram IS NOT NULL").select("gram", "n"), summed.where("word IS NOT NULL").select("word", "t", "c")
+    return rows.select("text", "toxic").mapInArrow(run, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
 def character_model(grams: DataFrame) -> np.ndarray:
@@ -217,47 +269,65 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def weights(words: DataFrame, base: float) -> DataFrame:
-    """(key, t, c): toxic and clean documents of every feature that speaks for toxicity.
-
-    A rare feature is drawn to the average by as many documents as ``PRIOR_DOCS`` says.
-    """
+    """(key, t, c): toxic and clean documents of every feature that has evidence, also when one clean document is left out."""
     beginnings = [F.when(F.length("word") >= n, F.concat(F.lit("^"), F.substring("word", 1, n))) for n in STEMS]
     every = F.explode(F.array_compact(F.array(F.concat(F.lit("="), F.col("word")), *beginnings)))
-    found = words.select(every.alias("key"), "t", "c").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t >= 3")
-    p = (F.col("t") + PRIOR_DOCS * base) / (F.col("t") + F.col("c") + PRIOR_DOCS)
-    return found.where(p >= LEAST_P)
+    found = words.select(every.alias("key"), "t", "c").groupBy("key").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 0")
+    t, c = F.col("t") + PRIOR_DOCS * base, F.greatest(F.col("c") - 1, F.lit(0)) + PRIOR_DOCS * (1 - base)
+    bound = F.log(t / c) - ERRORS * F.sqrt(1 / t + 1 / c)
+    return found.where(bound > float(np.log(base / (1 - base)))) if 0 < base < 1 else found.where(F.lit(False))
 
 
 class Evidence:
     """What the words of a text say, by the counts of their features (``known``: a ``Shards`` or dict of them)."""
 
+    MOST = 200_000
+
     def __init__(self, logs: np.ndarray, known: Shards | dict[str, tuple[int, int]], base: float):
         self.restorer, self.known, self.base = Restorer(logs), known, base
-        self.tokens = ChunkTable(self._token, most=100_000)
-
-    def _word(self, word: str) -> tuple[int, int] | None:
-        found = [c for f in features(word) if (c := self.known.get(f))]
-        return max(found, key=lambda c: self.weight(c), default=None)
-
-    def _token(self, token: str) -> tuple[int, int] | None:
-        found = [c for w in self.restorer.words(token) if (c := self._word(w))]
-        return max(found, key=lambda c: self.weight(c), default=None)
+        self.seen: set[str] = set()
+        #: Tokens that have evidence, and the counts of the feature that says most.
+        self.strong: dict[str, tuple[int, int]] = {}
+
+    def _best(self, words) -> tuple[int, int] | None:
+        return max((c for w in words for f in features(w) if (c := self.known.get(f))), key=self.weight, default=None)
+
+    def meet(self, tokens: set[str]) -> None:
+        """Looks up the tokens that weren't met before."""
+        if len(self.seen) > self.MOST:
+            self.seen, self.strong = set(), {}
+        new = [(t, self.restorer.words(t)) for t in tokens - self.seen]
+        self.seen.update(t for t, _ in new)
+        found = self.known
+        if isinstance(found, Shards):
+            found = found.get_many({f for _, words in new for w in words for f in features(w)})
+        if not found:
+            return
+        for token, words in new:
+            held = [c for w in words for f in features(w) if (c := found.get(f))]
+            if held:
+                self.strong[token] = max(held, key=self.weight)
 
     def weight(self, counts: tuple[int, int], own: int | None = None) -> float:
-        """Log odds above the base; ``own``: the label of a training text, which is left out."""
-        t, c = counts[0] - (own == 1), counts[1] - (own == 0)
-        p = (t + PRIOR_DOCS * self.base) / (max(t + c, 0) + PRIOR_DOCS)
-        p = min(max(p, 1e-6), 1 - 1e-6)
-        base = min(max(self.base, 1e-6), 1 - 1e-6)
-        return float(np.log(p / (1 - p)) - np.log(base / (1 - base)))
-
-    def of(self, text: str, own: int | None = None) -> list[float]:
-        """1, log of the sum of evidence, the two strongest weights, log of the length."""
-        words = text.split()
-        found = [c for c in map(self.tokens.__getitem__, words) if c is not None]
-        found += [c for w in self.restorer.spaced(text) if (c := self._word(w))]
-        top = sorted((max(self.weight(c, own), 0.0) for c in found), reverse=True) + [0.0, 0.0]
-        return [1.0, float(np.log1p(sum(top))), top[0], top[1], float(np.log1p(len(words)))]
+        """Lower bound of the log odds above the base, 0 at least; ``own``: the label of a training text, which is left out."""
+        if not 0 < self.base < 1:
+            return 0.0
+        t = max(counts[0] - (own == 1), 0) + PRIOR_DOCS * self.base
+        c = max(counts[1] - (own == 0), 0) + PRIOR_DOCS * (1 - self.base)
+        return max(math.log(t / c) - ERRORS * math.sqrt(1 / t + 1 / c) - math.log(self.base / (1 - self.base)), 0.0)
+
+    def of_many(self, texts: list[str], own: list[int | None] | None = None) -> list[list[float]]:
+        """For each text 1, log of the sum of evidence, the two strongest weights, log of the length."""
+        split, out = [t.split() for t in texts], []
+        self.meet(set().union(*split))
+        strong = self.strong
+        for text, words, label in zip(texts, split, own or [None] * len(texts), strict=True):
+            found = [strong[w] for w in words if w in strong]
+            if "  " in text or any(len(w) < 3 for w in words):
+                found += [c for w in self.restorer.spaced(text) if (c := self._best([w]))]
+            top = sorted((self.weight(c, label) for c in found), reverse=True) + [0.0, 0.0]
+            out.append([1.0, math.log1p(sum(top)), top[0], top[1], math.log1p(len(words))])
+        return out
 
 
 def fitted(rows: list[list[float]], labels: list[int]) -> np.ndarray:
@@ -280,38 +350,41 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels: doc_id, toxic (0 or 1); only rows outside the held-out fold are
     used. Null and empty texts have the score of a text without evidence. A
     null id isn't held out. Rows that repeat an id are scored by their own
-    texts. Without labels every score is 0. Other columns are ignored.
+    texts, and all of them are counted; in the sample that the final function is
+    fitted on such an id has one place, the row of least evidence. Without
+    labels, or with labels of one kind, there is no evidence. Very long texts
+    and tokens take time in proportion to their length. Other columns are
+    ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     learn = written(training_labels(labels), "toxic-training")
     n, toxic = learn.agg(F.count("*"), F.sum("toxic")).first()
     base = (toxic or 0) / n if n else 0.0
-    grams, words = gathered(docs, learn)
-    sent = spark.sparkContext.broadcast((character_model(grams), sharded(weights(words, base), "toxic-features"), base))
+    model = context.broadcast(character_model(gram_counts(docs)))
+    labelled = docs.select("doc_id", "text").join(small_side(learn), "doc_id")
+    sent = context.broadcast((sharded(weights(word_counts(labelled, model), base), "toxic-features"), base))
 
     sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
 
     def measure(batches):
-        logs, folder, base = sent.value
-        evidence = Evidence(logs, Shards(folder), base)
+        evidence = Evidence(model.value, Shards(sent.value[0]), sent.value[1])
         for batch in batches:
             for part in sliced(batch, 256):
                 y = part.column("toxic").to_pylist()
-                x = [evidence.of(t, own) for t, own in zip(texts_of(part.column("text")), y, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+                x = evidence.of_many(texts_of(part.column("text")), y)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
         del evidence
         release()
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text").mapInArrow(measure, "toxic int, x array<double>")
-    rows = rows.limit(2 * FIT_ROWS).collect() if n else []
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("x").alias("x")).collect() if n else []
     beta = fitted([r["x"] for r in rows], [r["toxic"] for r in rows]) if len({r["toxic"] for r in rows}) == 2 else np.array([-np.inf if not base else np.inf, 0, 0, 0, 0])
 
     def run(batches):
-        logs, folder, base = sent.value
-        evidence = Evidence(logs, Shards(folder), base)
+        evidence = Evidence(model.value, Shards(sent.value[0]), sent.value[1])
         for batch in batches:
             for part in sliced(batch, 256):
-                x = np.array([evidence.of(t) for t in texts_of(part.column("text"))])
+                x = np.array(evidence.of_many(texts_of(part.column("text"))))
                 with np.errstate(over="ignore"):
                     score = 1 / (1 + np.exp(-(x @ beta if np.isfinite(beta[0]) else np.full(len(x), beta[0]))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])

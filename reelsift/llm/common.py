@@ -174,7 +174,8 @@ class Shards:
                 for hashes, *_ in self._shard(shard)[1]:
                     self.map[hashes & (self.MAP_BITS - 1)] = True
         keys = list(keys)
-        hashes = np.fromiter(map(hash_of, keys), np.int64, len(keys))
+        digest = xxhash.xxh64_intdigest
+        hashes = np.fromiter((digest(k.encode("utf-8", "surrogatepass"), 42) for k in keys), np.uint64, len(keys)).view(np.int64)
         return {k: v for at in np.flatnonzero(self.map[hashes & (self.MAP_BITS - 1)]).tolist() if (v := self.get(k := keys[at])) is not None}
 
 

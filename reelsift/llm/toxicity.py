@@ -38,7 +38,7 @@ SUBSTITUTED, DROPPED, LOST, COLLAPSED, KEPT_RUN = 1.0, 1.2, 4.0, 0.4, 1.5
 #: The model's classes: a boundary, 26 letters, and other letters by code point.
 CLASSES = 48
 #: Documents by which a feature is drawn to the average, and standard errors between its log odds and their lower bound.
-PRIOR_DOCS, ERRORS = 4.0, 2.5
+PRIOR_DOCS, ERRORS = 4.0, 3.0
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 6, 8)
 #: Words that a task counts before it passes their sums on.
@@ -73,8 +73,15 @@ def classes() -> np.ndarray:
     return _tables["classes"]
 
 
-def class_of(letter: str) -> int:
-    return int(classes()[min(ord(letter), 0xFFFF)])
+class _Codes(dict):
+    """The class of each character met."""
+
+    def __missing__(self, letter: str) -> int:
+        self[letter] = code = int(classes()[min(ord(letter), 0xFFFF)])
+        return code
+
+
+class_of = _Codes().__getitem__
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -105,7 +112,7 @@ class Restorer:
 
     def __init__(self, logs: np.ndarray):
         self.logs = logs.ravel().tolist()
-        self.split = ChunkTable(self._words, most=100_000)
+        self.split = ChunkTable(self.read, most=100_000)
 
     @staticmethod
     def suspicious(token: str) -> bool:
@@ -136,9 +143,19 @@ class Restorer:
         """
         logs = self.logs
         states: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
-        for i in range(len(token)):
+        for i, raw in enumerate(token):
+            if raw.isalpha() and (not i or token[i - 1] != raw):  # one arc without cost
+                c = class_of(raw)
+                if len(states) == 1:
+                    [((ab, _), (cost, chain))] = states.items()
+                    at = ab * CLASSES + c
+                    states = {(at % CLASSES**2, raw): (cost - logs[at], (raw, chain))}
+                    continue
+                arcs = ((raw, 0.0),)
+            else:
+                arcs = self.arcs(token, i)
             step: dict[tuple[int, str], tuple[float, tuple | None]] = {}
-            for letter, extra in self.arcs(token, i):
+            for letter, extra in arcs:
                 c = class_of(letter) if letter else 0
                 for state, (cost, chain) in states.items():
                     if letter:
@@ -160,10 +177,11 @@ class Restorer:
         """The best path through the token's lattice, its words apart."""
         return " ".join(self.decode(token)[1].split())
 
-    def _words(self, token: str) -> tuple[str, ...]:
+    def read(self, token: str) -> tuple[str, ...]:
+        """The token without outer marks, and the words it is restored to if those are something else."""
         low = token.lower()
         plain = low.strip(OUTER)
-        if plain == low and plain.isalpha() and not DOUBLE.search(plain):
+        if plain.isalpha() and not DOUBLE.search(plain) and not (plain != low and any(map(low.__contains__, LEET))):
             return (plain,)
         found = [plain] if plain else []
         if plain and self.suspicious(plain):
@@ -176,7 +194,7 @@ class Restorer:
         return tuple(dict.fromkeys(found))
 
     def words(self, token: str) -> tuple[str, ...]:
-        """The token without outer marks, and the words it is restored to if those are something else."""
+        """``read``, kept for each distinct token."""
         return self.split[token]
 
     def run(self, spaced: str) -> str:
@@ -281,7 +299,7 @@ def weights(words: DataFrame, base: float) -> DataFrame:
 class Evidence:
     """What the words of a text say, by the counts of their features (``known``: a ``Shards`` or dict of them)."""
 
-    MOST = 200_000
+    MOST = 400_000
 
     def __init__(self, logs: np.ndarray, known: Shards | dict[str, tuple[int, int]], base: float):
         self.restorer, self.known, self.base = Restorer(logs), known, base
@@ -296,8 +314,9 @@ class Evidence:
         """Looks up the tokens that weren't met before."""
         if len(self.seen) > self.MOST:
             self.seen, self.strong = set(), {}
-        new = [(t, self.restorer.words(t)) for t in tokens - self.seen]
-        self.seen.update(t for t, _ in new)
+        tokens = tokens - self.seen
+        self.seen |= tokens
+        new = [(t, self.restorer.read(t)) for t in tokens]
         found = self.known
         if isinstance(found, Shards):
             found = found.get_many({f for _, words in new for w in words for f in features(w)})
@@ -359,10 +378,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     learn = written(training_labels(labels), "toxic-training")
     n, toxic = learn.agg(F.count("*"), F.sum("toxic")).first()
-    base = (toxic or 0) / n if n else 0.0
     model = context.broadcast(character_model(gram_counts(docs)))
     labelled = docs.select("doc_id", "text").join(small_side(learn), "doc_id")
-    sent = context.broadcast((sharded(weights(word_counts(labelled, model), base), "toxic-features"), base))
+    words = written(word_counts(labelled, model), "toxic-words")
+    # Of all words that documents hold, the share that toxic ones do: these may be longer.
+    t, c = (x or 0 for x in words.agg(F.sum("t"), F.sum("c")).first())
+    base = t / (t + c) if t + c else 0.0
+    sent = context.broadcast((sharded(weights(words, base), "toxic-features"), base))
 
     sample = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
 
@@ -378,7 +400,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
     rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("x").alias("x")).collect() if n else []
-    beta = fitted([r["x"] for r in rows], [r["toxic"] for r in rows]) if len({r["toxic"] for r in rows}) == 2 else np.array([-np.inf if not base else np.inf, 0, 0, 0, 0])
+    beta = fitted([r["x"] for r in rows], [r["toxic"] for r in rows]) if len({r["toxic"] for r in rows}) == 2 else np.array([np.inf if toxic else -np.inf, 0, 0, 0, 0])
 
     def run(batches):
         evidence = Evidence(model.value, Shards(sent.value[0]), sent.value[1])

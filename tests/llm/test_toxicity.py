@@ -168,7 +168,8 @@ def test_scores_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 0.0, "") for i, t in enumerate(texts)], DOCS).repartition(3)
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0), "") for i in range(200)], LABELS)
     learn = [i for i in range(200) if not crc_fold(i)]
-    base = sum(i % 4 == 0 for i in learn) / len(learn)
+    held = [(i % 4 == 0, len(set(texts[i].split()))) for i in learn]
+    base = sum(n for bad, n in held if bad) / sum(n for _, n in held)
     counts: dict = {}
     for i in learn:
         for w in set(texts[i].split()):
@@ -177,7 +178,7 @@ def test_scores_equal_brute_force(spark):
 
     def weight(t, c):
         t, c = t + 4 * base, c + 4 * (1 - base)
-        return max(math.log(t / c) - 2.5 * math.sqrt(1 / t + 1 / c) - math.log(base / (1 - base)), 0)
+        return max(math.log(t / c) - 3 * math.sqrt(1 / t + 1 / c) - math.log(base / (1 - base)), 0)
 
     def row(i, own):
         best = []

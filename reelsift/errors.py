@@ -11,17 +11,5 @@ class ConfigurationError(SelectionError):
     """A pipeline that can't run: wrong stage types, or tags that no earlier tagger gives."""
 
 
-class TagMissingError(SelectionError):
-    """A tag that an operation needs isn't a column."""
-
-
-class ProcessingError(SelectionError):
-    """A stage failed while it ran."""
-
-
-class WorkerError(SelectionError):
-    """A distributed worker failed."""
-
-
 class GPUDependencyError(SelectionError):
     """An accelerator was asked for that isn't there."""

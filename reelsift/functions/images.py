@@ -58,8 +58,9 @@ def entropy(a: np.ndarray) -> float:
     if not a.size:
         return 0.0
     if a.ndim == 3 and a.shape[2] == 3:
-        g = a.astype(float) @ np.array([0.2989, 0.5870, 0.1140])
-        counts = np.bincount(np.minimum((g * (256 / 255)).astype(np.int64), 255).ravel(), minlength=256)
+        # Luma in ten-thousandths is whole, so no value falls into the wrong bin by rounding.
+        g = a.reshape(-1, 3).astype(float) @ np.array([2989.0, 5870.0, 1140.0])
+        counts = np.bincount(np.minimum((g * 256 / 2550000).astype(np.int64), 255), minlength=256)
     else:
         per_value = np.bincount(a.ravel(), minlength=256)
         counts = np.bincount(np.minimum(np.arange(256) * 256 // 255, 255), per_value, 256)
@@ -146,10 +147,10 @@ def wavelet_bits(a: np.ndarray, size: int) -> np.ndarray:
         raise ValueError("the size of a wavelet hash must be a power of two")
     g = luma_swapped(a)
     scale = max(1 << (int(min(g.shape)).bit_length() - 1), size)
-    x = resize(g, scale, scale) / 255.0
-    x = x - x.mean()
+    # Neither the mean nor the scale changes what is above the median, so sums stay whole.
+    x = resize(g, scale, scale).astype(np.int64)
     while x.shape[0] > size:
-        x = (x[0::2, 0::2] + x[0::2, 1::2] + x[1::2, 0::2] + x[1::2, 1::2]) / 2
+        x = x[0::2, 0::2] + x[0::2, 1::2] + x[1::2, 0::2] + x[1::2, 1::2]
     return x > np.median(x)
 
 
@@ -166,6 +167,14 @@ def hsv(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (hue / 6 * 255).astype(int), (sat * 255).astype(int), hi.astype(int)
 
 
+def saturation(a: np.ndarray) -> float:
+    """Mean saturation, 0 to 1, of bytes of saturation; 0 for gray and empty frames."""
+    if a.ndim != 3 or a.shape[2] < 3 or not a.size:
+        return 0.0
+    s = hsv(a[:, :, :3])[1]
+    return int(s.sum()) / s.size / 255
+
+
 def color_bits(a: np.ndarray, bits: int) -> np.ndarray:
     """Shares of black, gray and six faint and six bright hues, each in ``bits`` bits."""
     rgb = np.repeat(a[:, :, None], 3, axis=2) if a.ndim == 2 else a[:, :, :3][:, :, ::-1]
@@ -192,6 +201,11 @@ def image_hash(a: np.ndarray, kind: str = "phash", size: int = 8) -> str:
     return bits_hex(HASHES[kind](a, size))
 
 
+def hash_difference(a: str, b: str) -> int:
+    """Number of differing bits of two hashes."""
+    return (int(a, 16) ^ int(b, 16)).bit_count()
+
+
 def color_histogram(a: np.ndarray, bins: int = 32) -> np.ndarray:
     """Histograms of hue, saturation and value one after another, scaled to a sum of 1."""
     rgb = np.repeat(a[:, :, None], 3, axis=2) if a.ndim == 2 else a[:, :, :3]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelsift.functions import images
@@ -117,7 +118,7 @@ class RangeFilter(StatelessFilter):
 
 
 class QualityFilter(StatelessFilter):
-    """Keeps frames of which every tag reaches its least value; null counts as 0."""
+    """Keeps frames of which every tag reaches its least value; null counts as 0, NaN reaches nothing."""
 
     def __init__(self, least: dict[str, float]):
         self.least, self.required_tags = dict(least), list(least)
@@ -125,7 +126,7 @@ class QualityFilter(StatelessFilter):
     def condition(self) -> Column:
         out = F.lit(True)
         for tag, value in self.least.items():
-            out = out & (F.coalesce(F.col(tag), F.lit(0.0)) >= value)
+            out = out & (F.coalesce(F.col(tag), F.lit(0.0)) >= value) & ~F.isnan(F.coalesce(F.col(tag), F.lit(0.0)).cast("double"))
         return out
 
     def keeps(self, tags):
@@ -133,6 +134,20 @@ class QualityFilter(StatelessFilter):
         return [all(row) for row in zip(*columns, strict=True)]
 
 
+class ColorSaturationFilter(RangeFilter):
+    """Keeps frames whose mean saturation is within a range."""
+
+    def __init__(self, low: float = 0.1, high: float = 0.9):
+        super().__init__("saturation", low, high)
+
+
+class FaceFilter(RangeFilter):
+    """Keeps frames with a number of faces within a range; a frame that wasn't looked at has none."""
+
+    def __init__(self, low: int = 1, high: int = 10):
+        super().__init__("face_count", low, high, 0)
+
+
 class StatefulFilter(Filter):
     """A greedy selection: the first frame of a stream passes, others depend on what was accepted.
 
@@ -160,10 +175,10 @@ class StatefulFilter(Filter):
         """Whether a ready payload passes, given those accepted, oldest first."""
         raise NotImplementedError
 
-    def apply(self, df: DataFrame, flag: str | None = None, active: str | None = None) -> DataFrame:
+    def apply(self, df: DataFrame, flag: str | None = None, active: str | None = None, dealt_out: bool = False) -> DataFrame:
         columns = df.columns
         made = self.prepared(df)
-        out = greedy_select(made, self.state_key, self.order, self.payload(made), self.accepts, self.buffer_size, flag, active, self.ready)
+        out = greedy_select(made, self.state_key, self.order, self.payload(made), self.accepts, self.buffer_size, flag, active, self.ready, dealt_out)
         return out.select(*columns, *([flag] if flag else []))
 
 
@@ -233,6 +248,35 @@ class MotionFilter(StatefulFilter):
         return max([0.0, *(images.motion(own, g, self.method) for _, g in buffer)]) > self.threshold
 
 
+class SceneChangeFilter(MotionFilter):
+    """Keeps frames whose mean difference from the last accepted one is above a share of the gray range."""
+
+    def __init__(self, buffer_size=5, threshold=0.3, shape=(8, 8), **state):
+        super().__init__(buffer_size, threshold * 255, "mean_diff", "latest", shape, **state)
+
+
+class TemporalSmoothingFilter(Filter):
+    """Keeps frames that end a run of ``min_consecutive`` frames whose tag is above a threshold.
+
+    The run is of raw frames. If only accepted frames counted, the first of a
+    run could never be accepted, and so none.
+    """
+
+    def __init__(self, tag_key="blur_score", threshold=100.0, min_consecutive=3, state_key: str | None = VIDEO, order: tuple[str, ...] = (NUMBER,)):
+        if min_consecutive < 1:
+            raise ValueError("min_consecutive must be 1 at least")
+        self.tag_key, self.threshold, self.min_consecutive = tag_key, threshold, min_consecutive
+        self.state_key, self.order, self.required_tags = state_key, list(order), [tag_key]
+
+    def apply(self, df: DataFrame, flag: str | None = None, active: str | None = None) -> DataFrame:
+        w = W.partitionBy(*([self.state_key] if self.state_key else []), *([F.coalesce(F.col(active), F.lit(False))] if active else [])).orderBy(*self.order)
+        above = ThresholdFilter(self.tag_key, self.threshold, ">").passes().cast("int")
+        passes = F.sum(above).over(w.rowsBetween(1 - self.min_consecutive, 0)) >= self.min_consecutive
+        name = flag or "_smooth"
+        out = df.withColumn(name, F.when(F.col(active), passes) if active else passes)
+        return out if flag else out.where(name).drop(name)
+
+
 class DiversityFilter(StatefulFilter):
     """Keeps frames at least ``min_distance`` from every accepted one.
 
@@ -304,6 +348,6 @@ class DiversityFilter(StatefulFilter):
 
 
 __all__ = [
-    "BlurFilter", "DiversityFilter", "DuplicateFilter", "EntropyFilter", "Filter", "HistogramDistance", "MotionFilter",
-    "QualityFilter", "RangeFilter", "StatefulFilter", "StatelessFilter", "ThresholdFilter",
+    "BlurFilter", "ColorSaturationFilter", "DiversityFilter", "DuplicateFilter", "EntropyFilter", "FaceFilter", "Filter", "HistogramDistance", "MotionFilter",
+    "QualityFilter", "RangeFilter", "SceneChangeFilter", "StatefulFilter", "StatelessFilter", "TemporalSmoothingFilter", "ThresholdFilter",
 ]

@@ -32,6 +32,7 @@ def greedy_select(
     flag: str | None = None,
     active: str | None = None,
     ready: Callable[[tuple], tuple] | None = None,
+    dealt_out: bool = False,
 ) -> DataFrame:
     """Rows that pass, or all rows with a boolean column ``flag``.
 
@@ -40,14 +41,16 @@ def greedy_select(
     ties are broken by the payload's order of arrival and should not happen.
     payload: the columns that ``accepts`` sees. active: a boolean column; rows
     where it isn't true are skipped and have a null flag. ready: makes of a
-    payload what ``accepts`` sees and the buffer keeps.
+    payload what ``accepts`` sees and the buffer keeps. dealt_out: ``df`` comes
+    from such a selection by the same key and order, with nothing since that
+    moves rows, so it needn't be shuffled and sorted again.
     """
     if buffer_size <= 0:
         raise ValueError("buffer_size must be above zero")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [key] if key else []
-    dealt = df.repartition(n, key) if key else df.repartition(1)
-    dealt = dealt.sortWithinPartitions(*keys, *order)
+    dealt = df if dealt_out else df.repartition(n, key) if key else df.repartition(1)
+    dealt = dealt if dealt_out else dealt.sortWithinPartitions(*keys, *order)
     schema = T.StructType(dealt.schema.fields + ([T.StructField(flag, T.BooleanType())] if flag else []))
 
     def run(batches):
@@ -109,6 +112,13 @@ def window_antijoin(df: DataFrame, key: str, order: list[str], rejects: Callable
     return df.withColumn("_before", F.collect_list(value).over(w)).where(~F.exists("_before", lambda h: rejects(value, h))).drop("_before")
 
 
+def raw_history(df: DataFrame, key: str, order: list[str], measure: Column, last: int, name: str) -> DataFrame:
+    """Adds an aggregate of the ``last`` rows before each one, whether those passed or not."""
+    from pyspark.sql import Window as W
+
+    return df.withColumn(name, measure.over(W.partitionBy(key).orderBy(*order).rowsBetween(-last, -1)))
+
+
 class TemporalBuffer:
     """A bounded buffer of the newest items."""
 

@@ -10,6 +10,7 @@ filters, and still drops them when nothing reads their tags.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelsift.functions import images, pixels
+from reelsift.operators.devices import choose_device
 from reelsift.schema import FRAME, to_array
 
 PX = "px"
@@ -54,25 +56,40 @@ class Tagger:
         """Tag expressions for ``px`` frames, if there are such."""
         return None
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """``df`` with the tags and, for Python taggers, messages of failures in ``_errors``."""
+    def apply(self, df: DataFrame, active: str | None = None, label: str | None = None) -> DataFrame:
+        """``df`` with the tags and, for Python taggers, messages of failures in ``_errors``.
+
+        active: a boolean column; where it isn't true the frame isn't measured
+        and has no tags. label: what messages begin with, the tagger's name
+        unless given.
+        """
         if PX in df.columns and FRAME not in df.columns:
             found = self.native(df)
             if found is None:
                 raise TypeError(f"{self.name} needs a {FRAME} column")
-            return df.withColumns(found)
+            return df.withColumns({k: F.when(F.col(active), e) for k, e in found.items()} if active else found)
+        label = label or self.name
         kind = T.StructType([*self.fields, T.StructField("_error", T.StringType())])
         tagger = self
 
         @F.pandas_udf(kind)
-        def measure(frames: pd.DataFrame) -> pd.DataFrame:
-            arrays = [to_array(dict(zip(frames.columns, r, strict=True))) for r in frames.itertuples(index=False)]
-            rows = tagger.compute_batch(arrays)
+        def measure(frames: pd.DataFrame, on: pd.Series) -> pd.DataFrame:
             none = (None,) * len(tagger.fields)
-            return pd.DataFrame([(*none, str(r)) if isinstance(r, Exception) else (*r, None) for r in rows], columns=kind.names).astype(object)
-
-        made = df.withColumn("_tags", measure.asNondeterministic()(F.col(FRAME)))
-        error = F.when(F.col("_tags._error").isNotNull(), F.array(F.concat(F.lit(f"{self.name}: "), F.col("_tags._error")))).otherwise(F.array().cast("array<string>"))
+            rows, places, arrays = [(*none, None)] * len(on), [], []
+            for i, (r, use) in enumerate(zip(frames.itertuples(index=False), on, strict=True)):
+                if use:
+                    try:
+                        arrays.append(to_array(dict(zip(frames.columns, r, strict=True))))
+                        places.append(i)
+                    except (TypeError, ValueError) as e:
+                        rows[i] = (*none, str(e))
+            for i, r in zip(places, tagger.compute_batch(arrays), strict=True):
+                rows[i] = (*none, str(r)) if isinstance(r, Exception) else (*r, None)
+            return pd.DataFrame(rows, columns=kind.names).astype(object)
+
+        on = F.coalesce(F.col(active), F.lit(False)) if active else F.lit(True)
+        made = df.withColumn("_tags", measure.asNondeterministic()(F.when(on, F.col(FRAME)), on))
+        error = F.when(F.col("_tags._error").isNotNull(), F.array(F.concat(F.lit(f"{label}: "), F.col("_tags._error")))).otherwise(F.array().cast("array<string>"))
         before = F.col("_errors") if "_errors" in df.columns else F.array().cast("array<string>")
         columns = {f.name: F.col(f"_tags.{f.name}") for f in self.fields} | {"_errors": F.concat(before, error)}
         return made.withColumns(columns).drop("_tags")
@@ -155,6 +172,37 @@ class DominantColorTagger(Tagger):
         return (counts / max(counts.sum(), 1)).tolist(), [int(c.mean()) for c in channels]
 
 
+class SaturationTagger(Tagger):
+    """``saturation``: mean saturation, 0 to 1; 0 for gray frames."""
+
+    fields = (T.StructField("saturation", T.DoubleType()),)
+
+    def compute(self, array):
+        return (images.saturation(array),)
+
+
+class FaceDetectionTagger(Tagger):
+    """``face_count``, ``face_boxes`` and ``has_faces`` of a detector that is loaded once in each worker.
+
+    load: gives a function from an array to (x, y, width, height) boxes. No
+    detector comes with the package.
+    """
+
+    fields = (T.StructField("face_count", T.IntegerType()), T.StructField("face_boxes", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("has_faces", T.BooleanType()))
+
+    def __init__(self, load: Callable):
+        self.load, self._detect = load, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_detect": None}
+
+    def compute(self, array):
+        if self._detect is None:
+            self._detect = self.load()
+        boxes = [[int(x) for x in box] for box in self._detect(array)]
+        return len(boxes), boxes, bool(boxes)
+
+
 class EdgeDensityTagger(Tagger):
     """``edge_density`` and ``edge_count``."""
 
@@ -233,3 +281,24 @@ class EmbeddingTagger(Tagger):
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             out += [(v.astype(np.float32).tolist(),) for v in vectors / np.where(norms == 0, 1, norms)]
         return out
+
+
+class CLIPTagger(EmbeddingTagger):
+    """``clip_embedding`` of a vision model that is named by architecture and weights.
+
+    device: ``auto`` takes a GPU if there is one; ``cuda`` without one is a
+    ``GPUDependencyError``. On a CPU without a named model the small one is
+    taken. load: gives, from (model name, weights, device), a function from
+    arrays to vectors; no model comes with the package. With a GPU, batches that
+    fail there are tried on the CPU.
+    """
+
+    #: The models by default, on a GPU and on a CPU.
+    GPU_MODEL, CPU_MODEL = ("ViT-B-32", "openai"), ("MobileCLIP-S1", "datacompdr")
+
+    def __init__(self, load: Callable, model_name: str | None = None, pretrained: str | None = None, device: str = "auto", batch_size: int = 32, max_failures: int = 3):
+        self.device = choose_device(device)
+        name, weights = self.GPU_MODEL if self.device == "cuda" else self.CPU_MODEL
+        self.model_name, self.pretrained = model_name or name, pretrained or weights
+        on = lambda device: partial(load, self.model_name, self.pretrained, device)
+        super().__init__(on(self.device), "clip_embedding", batch_size, on("cpu") if self.device == "cuda" else None, max_failures)

@@ -48,12 +48,12 @@ def rounded(c: Column) -> Column:
 
 
 def _threshold(op: str):
-    return lambda spark, d: ThresholdFilter("value", 50.0, op).apply(event_frames(spark, d)).select(*IDS, "value")
+    return lambda spark, d: ThresholdFilter("value", 28.57, op).apply(event_frames(spark, d)).select(*IDS, "value")
 
 
 for _name, _op in {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "==", "ne": "!="}.items():
     _sql_op = {"==": "=", "!=": "<>"}.get(_op, _op)
-    register(f"threshold_{_name}", f"WITH {O.EVENTS} SELECT source_video_id, frame_number, value FROM t WHERE value {_sql_op} 50.0")(_threshold(_op))
+    register(f"threshold_{_name}", f"WITH {O.EVENTS} SELECT source_video_id, frame_number, value FROM t WHERE value {_sql_op} 28.57::DOUBLE")(_threshold(_op))
 
 
 @register("range_filter", f"WITH {O.EVENTS} SELECT source_video_id, frame_number, value FROM t WHERE coalesce(value, 0) BETWEEN 20 AND 60")
@@ -86,16 +86,6 @@ def tag_ahash(spark, d):
     return _tagged(spark, d, HashTagger("ahash")).select("vec_id", "ahash")
 
 
-@register(
-    "tag_dhash",
-    f"""WITH {O.PIXELS}, b AS (SELECT vec_id, list_transform(range(0, 56), lambda i: px[(i // 7) * 8 + i % 7 + 2] > px[(i // 7) * 8 + i % 7 + 1]) AS bits FROM t)
-SELECT vec_id, array_to_string(list_transform(range(0, 14), lambda i: substr('0123456789abcdef',
-  CAST(bits[4 * i + 1] AS INTEGER) * 8 + CAST(bits[4 * i + 2] AS INTEGER) * 4 + CAST(bits[4 * i + 3] AS INTEGER) * 2 + CAST(bits[4 * i + 4] AS INTEGER) + 1, 1)), '') AS dhash FROM b""",
-)
-def tag_dhash(spark, d):
-    return embedding_frames(spark, d).select("vec_id", pixels.difference_hash(F.col("px"), 8, 8).alias("dhash"))
-
-
 @register("tag_histogram", f"WITH {O.PIXELS} SELECT vec_id, list_sum(list_transform(range(1, 17), lambda i: i * h[i] * h[i])) AS weighed FROM (SELECT vec_id, {O.HIST16} AS h FROM t)")
 def tag_histogram(spark, d):
     h = pixels.histogram(F.col("px"), 16)
@@ -328,14 +318,13 @@ def stream_diversity(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     # As a pattern the path may be one file or a folder of files.
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    order = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.pmod("event_id", F.lit(1000))
-    rows = events.select(F.col("user_id").cast("string").alias(VIDEO), "event_id", order.alias("place"), "value")
+    rows = events.select(F.col("user_id").cast("string").alias(VIDEO), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("place"), "value")
     held = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(held)
     spark.conf.set(held, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     try:
-        chosen = greedy_stream(rows, VIDEO, "place", "value", lambda v, buffer: min(abs(v - h) for h in buffer) >= 1.0, 50)
+        chosen = greedy_stream(rows, VIDEO, ["place", "event_id"], "value", lambda v, buffer: min(abs(v - h) for h in buffer) >= 1.0, 50)
         query = chosen.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-PIXELS = """
+EMBEDDED = """
 e AS MATERIALIZED (
   SELECT CAST(label AS VARCHAR) AS source_video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_number, vec_id, embedding,
          list_transform(embedding, lambda x: CASE WHEN hi > lo THEN CAST(floor((CAST(x AS DOUBLE) - lo) / (hi - lo) * 255.0) AS INTEGER) ELSE 0 END) AS px
   FROM (SELECT *, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(list_max(embedding) AS DOUBLE) AS hi FROM embeddings)
-), l AS MATERIALIZED (
+)"""
+
+PIXELS = EMBEDDED + """, l AS MATERIALIZED (
   SELECT *, list_transform(range(0, 64), lambda i:
       px[(abs(i // 8 - 1)) * 8 + i % 8 + 1] + px[(CASE WHEN i // 8 = 7 THEN 6 ELSE i // 8 + 1 END) * 8 + i % 8 + 1]
     + px[(i // 8) * 8 + abs(i % 8 - 1) + 1] + px[(i // 8) * 8 + (CASE WHEN i % 8 = 7 THEN 6 ELSE i % 8 + 1 END) + 1] - 4 * px[i + 1]) AS lap,

@@ -1,9 +1,9 @@
-"""Named pipelines."""
+"""Named pipelines. The defaults of their parameters are fixed values."""
 
 from __future__ import annotations
 
-from reelsift.operators.filters import BlurFilter, DiversityFilter, DuplicateFilter, EntropyFilter, RangeFilter, ThresholdFilter
-from reelsift.operators.taggers import BlurTagger, EntropyTagger, HashTagger
+from reelsift.operators.filters import BlurFilter, DiversityFilter, DuplicateFilter, FaceFilter, QualityFilter, RangeFilter, SceneChangeFilter, ThresholdFilter
+from reelsift.operators.taggers import BlurTagger, EdgeDensityTagger, EntropyTagger, FaceDetectionTagger, HashTagger
 from reelsift.plans.pipeline import FramePipeline
 
 
@@ -69,27 +69,38 @@ class SmartSamplingStrategy(FilterStrategy):
 
 
 class HighQualityStrategy(FilterStrategy):
-    """Sharp frames with much information and no near duplicates."""
+    """Sharp frames with much information and many edges."""
 
-    def __init__(self, blur_threshold: float = 150.0, entropy_threshold: float = 5.0, duplicate_threshold: float = 0.02, window: int = 100, hash_type: str = "phash"):
-        _not_negative(blur_threshold=blur_threshold, entropy_threshold=entropy_threshold)
-        self.blur, self.entropy, self.duplicate, self.window, self.hash_type = blur_threshold, entropy_threshold, duplicate_threshold, window, hash_type
+    def __init__(self, blur_threshold: float = 150.0, entropy_threshold: float = 5.0, edge_threshold: float = 0.15):
+        _not_negative(blur_threshold=blur_threshold, entropy_threshold=entropy_threshold, edge_threshold=edge_threshold)
+        self.least = {"blur_score": blur_threshold, "entropy": entropy_threshold, "edge_density": edge_threshold}
 
     def build_pipeline(self):
-        return [BlurTagger(), BlurFilter(self.blur), EntropyTagger(), EntropyFilter(self.entropy), HashTagger(self.hash_type), DuplicateFilter(self.window, self.duplicate, self.hash_type)]
+        return [BlurTagger(), EntropyTagger(), EdgeDensityTagger(), QualityFilter(self.least)]
 
 
 class AdaptiveSamplingStrategy(FilterStrategy):
-    """Fewer frames the lower the wanted rate: thresholds move with it."""
+    """Sharp frames at which the scene changes, without near duplicates."""
 
-    def __init__(self, target_rate: float = 0.5, hash_type: str = "phash"):
-        if not 0 < target_rate <= 1:
-            raise ValueError("target_rate must be above 0 and 1 at most")
-        self.target_rate, self.hash_type = target_rate, hash_type
+    def __init__(self, base_threshold: float = 100.0, duplicate_threshold: float = 0.05, scene_change_threshold: float = 0.3):
+        _not_negative(base_threshold=base_threshold, scene_change_threshold=scene_change_threshold)
+        if not 0 <= duplicate_threshold <= 1:
+            raise ValueError("duplicate_threshold must be within 0 and 1")
+        self.base, self.duplicate, self.scene = base_threshold, duplicate_threshold, scene_change_threshold
+
+    def build_pipeline(self):
+        return [BlurTagger(), HashTagger(), BlurFilter(self.base), SceneChangeFilter(threshold=self.scene), DuplicateFilter(50, self.duplicate)]
+
+
+class FaceDetectionStrategy(FilterStrategy):
+    """Sharp frames with faces; ``load`` gives the detector."""
+
+    def __init__(self, load, min_faces: int = 1, blur_threshold: float = 100.0):
+        _not_negative(min_faces=min_faces, blur_threshold=blur_threshold)
+        self.load, self.min_faces, self.blur = load, min_faces, blur_threshold
 
     def build_pipeline(self):
-        strict = 1 - self.target_rate
-        return [BlurTagger(), HashTagger(self.hash_type), BlurFilter(50.0 + 150.0 * strict), DuplicateFilter(50, 0.02 + 0.2 * strict, self.hash_type)]
+        return [BlurTagger(), FaceDetectionTagger(self.load), BlurFilter(self.blur), FaceFilter(self.min_faces)]
 
 
 class TaggedRangeStrategy(FilterStrategy):
@@ -112,7 +123,7 @@ class ThresholdStrategy(FilterStrategy):
         return list(self.stages)
 
 
-_RUN = ("n_workers", "gpu_batch_size", "lazy_evaluation", "keep_frames")
+_RUN = ("n_workers", "use_gpu", "gpu_batch_size", "lazy_evaluation", "release_memory", "keep_frames")
 
 
 def _split(options: dict) -> tuple[dict, dict]:

@@ -66,7 +66,8 @@ def pixels_row(array: np.ndarray) -> tuple[int, int, int, bytes]:
 
 def to_array(frame) -> np.ndarray:
     """The array of a pixel struct: (H, W) for one channel, else (H, W, C)."""
-    h, w, c = frame["height"], frame["width"], frame["channels"]
+    # Beside missing frames numbers may come as floats.
+    h, w, c = (int(frame[k]) for k in ("height", "width", "channels"))
     flat = np.frombuffer(frame["data"], np.uint8)
     return flat.reshape(h, w) if c == 1 else flat.reshape(h, w, c)
 
@@ -95,8 +96,3 @@ def get_tag(df: DataFrame, tag: str, default=None) -> Column:
 def has_tags(df: DataFrame, tags) -> bool:
     """Whether all tags are columns; their values may be null."""
     return set(tags) <= set(df.columns)
-
-
-def without_pixels(df: DataFrame) -> DataFrame:
-    """The rows without their pixels."""
-    return df.drop(FRAME)

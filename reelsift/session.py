@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
+from reelsift.errors import ConfigurationError
+
 
 def get_spark(app: str = "reelsift", cores: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session for tests, the benchmark and notebooks; clusters bring their own."""
@@ -26,11 +29,26 @@ def get_spark(app: str = "reelsift", cores: int | None = None, shuffle_partition
     )
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def replace_file(files: fs.FileSystem, temp: str, final: str) -> None:
+    """Moves a complete file to its name; stores that don't replace lose the one of an earlier try, which holds the same."""
+    try:
+        files.move(temp, final)
+    except OSError:
+        files.delete_file(final)
+        files.move(temp, final)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is
-    made, and the context is told of it, so ``checkpoint()`` works as well.
+    Only where that setting is absent and all work is done on this machine
+    (tests) a temporary folder is made, and the context is told of it, so
+    ``checkpoint()`` works as well. On a cluster it is a ``ConfigurationError``.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -38,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     made = sc.getCheckpointDir()
     if made is None:
+        if not sc.master.startswith("local"):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="reelsift-"))
         made = sc.getCheckpointDir()
     return made.rstrip("/")

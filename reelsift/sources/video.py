@@ -11,14 +11,17 @@ from __future__ import annotations
 import datetime as dt
 import io
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelsift.schema import FRAME, FRAME_SCHEMA, META, NUMBER, PIXELS, TIME, VIDEO, frame_row, pixels_row, to_array
+from reelsift.session import file_system, replace_file, shared_dir
 
 #: suffix -> function from a binary file to (frames a second, iterator of arrays)
 DECODERS: dict[str, Callable] = {}
@@ -94,7 +97,17 @@ def decode_netpbm(file) -> tuple[float, Iterator[np.ndarray]]:
 
 def decode_npy(file) -> tuple[float, Iterator[np.ndarray]]:
     """Frames of an array (N, H, W) or (N, H, W, C)."""
-    return 0.0, iter(np.load(io.BytesIO(file.read()), allow_pickle=False))
+    version = np.lib.format.read_magic(file)
+    shape, by_column, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(file)
+    if by_column or kind.hasobject:
+        raise RuntimeError("only arrays in row order are read")
+    size = int(np.prod(shape[1:])) * kind.itemsize
+
+    def frames():
+        for _ in range(shape[0]):
+            yield np.frombuffer(file.read(size), kind).reshape(shape[1:])
+
+    return 0.0, frames()
 
 
 for _suffix, _decode in ((".y4m", decode_y4m), (".pgm", decode_netpbm), (".ppm", decode_netpbm), (".npy", decode_npy)):
@@ -108,34 +121,67 @@ def _decoder(path: str) -> Callable:
     return DECODERS[suffix]
 
 
+class VideoFiles:
+    """Video and picture files that a pipeline decodes in its own pass, a task for each; ``frames`` makes a table of them."""
+
+    def __init__(self, spark: SparkSession, path: str | list[str], source_video_id: str | None = None, fps: float | None = None):
+        """A missing file is a ``FileNotFoundError``, one without decoder a ``RuntimeError``."""
+        paths = [path] if isinstance(path, str) else list(path)
+        if len(paths) == 1 and (found := _listed(paths[0])) is not None:
+            paths = [p for p in found if os.path.splitext(p)[1].lower() in DECODERS]
+        for p in paths:
+            files, at = file_system(p)
+            if files.get_file_info(at).type == fs.FileType.NotFound:
+                raise FileNotFoundError(p)
+            _decoder(p)
+        self.spark, self.paths, self.source_video_id, self.fps = spark, paths, source_video_id, fps
+
+    def rows(self) -> Callable[[str], Iterator[tuple]]:
+        """A function from a path to its rows, with arrays for pixels."""
+        own, video, fps = dict(DECODERS), self.source_video_id, self.fps
+
+        def run(path: str) -> Iterator[tuple]:
+            files, at = file_system(path)
+            with files.open_input_stream(at, compression=None) as raw, io.BufferedReader(raw, 1 << 20) as file:
+                rate, frames = own[os.path.splitext(path)[1].lower()](file)
+                rate = fps or rate
+                for i, a in enumerate(frames):
+                    time = dt.timedelta(seconds=i / rate) if rate > 0 else dt.timedelta(0)
+                    yield video or os.path.basename(path), i, time, a, {"raw_frame_index_from_loader": str(i)}
+
+        return run
+
+    def frames(self) -> DataFrame:
+        """A table of the frames."""
+        decode = self.rows()
+
+        def run(batches):
+            for batch in batches:
+                for p in batch["path"]:
+                    for video, i, time, a, meta in decode(p):
+                        yield pd.DataFrame([frame_row(a, i, time, video, meta)], columns=FRAME_SCHEMA.names)
+
+        listed = self.spark.createDataFrame([(p,) for p in self.paths], "path string")
+        return listed.repartition(max(len(self.paths), 1)).mapInPandas(run, FRAME_SCHEMA)
+
+
+def _listed(path: str) -> list[str] | None:
+    """The files of a folder, in order; None for what is no folder."""
+    files, at = file_system(path)
+    if files.get_file_info(at).type != fs.FileType.Directory:
+        return None
+    return [os.path.join(path, f.base_name) for f in sorted(files.get_file_info(fs.FileSelector(at)), key=lambda f: f.base_name) if f.type == fs.FileType.File]
+
+
 def load_video_frames(spark: SparkSession, path: str | list[str], source_video_id: str | None = None, fps: float | None = None) -> DataFrame:
     """Frames of one file, of a list of files, or of every readable file of a folder; a task decodes a file.
 
     A missing file is a ``FileNotFoundError``, one without decoder a
     ``RuntimeError``, both when called. The video id is the file's name unless
-    given. Time is number / rate, 0 if the rate isn't known.
+    given. Time is number / rate, 0 if the rate isn't known. On a cluster paths
+    are of a folder or store that all executors reach.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    if len(paths) == 1 and os.path.isdir(paths[0]):
-        paths = sorted(os.path.join(paths[0], f) for f in os.listdir(paths[0]) if os.path.splitext(f)[1].lower() in DECODERS)
-    for p in paths:
-        if not os.path.exists(p):
-            raise FileNotFoundError(p)
-        _decoder(p)
-    own = dict(DECODERS)
-
-    def run(batches):
-        for batch in batches:
-            for p in batch["path"]:
-                with open(p, "rb") as file:
-                    rate, frames = own[os.path.splitext(p)[1].lower()](file)
-                    rate = fps or rate
-                    for i, a in enumerate(frames):
-                        at = dt.timedelta(seconds=i / rate) if rate > 0 else dt.timedelta(0)
-                        yield pd.DataFrame([frame_row(a, i, at, source_video_id or os.path.basename(p), {"raw_frame_index_from_loader": i})], columns=FRAME_SCHEMA.names)
-
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return listed.repartition(max(len(paths), 1)).mapInPandas(run, FRAME_SCHEMA)
+    return VideoFiles(spark, path, source_video_id, fps).frames()
 
 
 def extract_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -158,16 +204,50 @@ def _swapped():
 
 
 def frames_from(spark: SparkSession, source) -> DataFrame:
-    """Frames of a path, a DataFrame, or any iterable of rows from ``frame_row``; else ``TypeError``."""
+    """Frames of a path, a DataFrame, or any iterable of rows from ``frame_row``; else ``TypeError``.
+
+    An iterator is read a few frames at a time into a table in the shared
+    folder. One that doesn't end is for ``FramePipeline.process_iterator``.
+    """
     if isinstance(source, DataFrame):
         return source
     if isinstance(source, str | os.PathLike):
         return load_video_frames(spark, os.fspath(source))
+    if hasattr(source, "__next__"):
+        return _stored(spark, source)
     if hasattr(source, "__iter__"):
         return spark.createDataFrame(list(source), FRAME_SCHEMA)
     raise TypeError(f"frames can't come from {type(source).__name__}")
 
 
+def _stored(spark: SparkSession, rows: Iterator, held_bytes: int = 64 << 20) -> DataFrame:
+    """The rows of an iterator, written in pieces of bounded size."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = f"{shared_dir(spark)}/reelsift-frames-{uuid.uuid4().hex}"
+    files, at = file_system(folder)
+    files.create_dir(at, recursive=True)
+    pixels = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
+    # A duration isn't what Spark reads as an interval, so microseconds are stored.
+    schema = pa.schema([(VIDEO, pa.string()), (NUMBER, pa.int64()), (TIME, pa.int64()), (FRAME, pixels), (META, pa.map_(pa.string(), pa.string()))])
+    held, size, n = [], 0, 0
+
+    def put():
+        pq.write_table(pa.Table.from_pylist(held, schema), f"{at}/{n:08d}.parquet", filesystem=files)
+
+    for video, number, time, frame, meta in rows:
+        held.append({VIDEO: video, NUMBER: number, TIME: time // dt.timedelta(microseconds=1), FRAME: dict(zip(PIXELS.names, frame, strict=True)), META: list(meta.items())})
+        size += len(frame[3]) + 200
+        if size > held_bytes:
+            put()
+            held, size, n = [], 0, n + 1
+    if held or not n:
+        put()
+    stored = spark.read.parquet(folder)
+    return stored.select(VIDEO, NUMBER, F.make_dt_interval(secs=(F.col(TIME) / F.lit(1000000)).cast("decimal(18,6)")).alias(TIME), FRAME, META)
+
+
 def _planes(a: np.ndarray) -> bytes:
     x = a.astype(float)
     r, g, b = (x[:, :, i] for i in range(3))
@@ -179,47 +259,48 @@ def _planes(a: np.ndarray) -> bytes:
 def write_video(frames: DataFrame, folder: str, fps: int = 30) -> DataFrame:
     """Writes a Y4M file (4:4:4) for each video into ``folder``; rows: video id, path, frames written and skipped.
 
-    Frames are streamed in order, one at a time, by one task for each video.
-    The first frame sets the size and must have three channels; later frames of
-    another size are skipped. No frames at all is a ``ValueError``.
+    Frames are streamed in order, one at a time, by one task for each video,
+    under a temporary name until the file is complete, so a task that is run
+    again replaces its own file. The first frame sets the size and must have
+    three channels; later frames of another size are skipped. No frames at all
+    is a ``ValueError``. On a cluster the folder is one that all executors reach.
     """
     if frames.isEmpty():
         raise ValueError("there are no frames to write")
-    os.makedirs(folder, exist_ok=True)
     n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = frames.select(VIDEO, NUMBER, FRAME).repartition(n, VIDEO).sortWithinPartitions(VIDEO, NUMBER)
 
     def run(batches):
-        video, file, shape, done = None, None, None, {}
-        try:
-            for batch in batches:
-                for name, frame in zip(batch[VIDEO], batch[FRAME], strict=True):
-                    a = to_array(frame)
-                    if name != video:
-                        if file:
-                            file.close()
-                            os.replace(done[video][0] + ".part", done[video][0])
-                        if a.ndim != 3 or a.shape[2] != 3:
-                            raise ValueError(f"the first frame of {name} must be (H, W, 3), not {a.shape}")
-                        path = os.path.join(folder, f"{os.path.splitext(os.path.basename(name))[0]}.y4m")
-                        video, shape, done[name] = name, a.shape, [path, 0, 0]
-                        file = open(path + ".part", "wb")  # noqa: SIM115
-                        file.write(f"YUV4MPEG2 W{shape[1]} H{shape[0]} F{fps}:1 Ip C444\n".encode())
-                    if a.shape != shape:
-                        done[name][2] += 1
-                        continue
-                    file.write(b"FRAME\n" + _planes(a))
-                    done[name][1] += 1
-            if file:
-                file.close()
-                os.replace(done[video][0] + ".part", done[video][0])
-                file = None
-        finally:
-            if file:
+        files, root = file_system(folder)
+        files.create_dir(root, recursive=True)
+        video, file, temp, shape, done = None, None, None, None, {}
+
+        def close():
+            if file is not None:
                 file.close()
+                replace_file(files, temp, f"{root}/{os.path.basename(done[video][0])}")
+
+        for batch in batches:
+            for name, frame in zip(batch[VIDEO], batch[FRAME], strict=True):
+                a = to_array(frame)
+                if name != video:
+                    close()
+                    if a.ndim != 3 or a.shape[2] != 3:
+                        raise ValueError(f"the first frame of {name} must be (H, W, 3), not {a.shape}")
+                    base = f"{os.path.splitext(os.path.basename(name))[0]}.y4m"
+                    video, shape, done[name] = name, a.shape, [f"{folder.rstrip('/')}/{base}", 0, 0]
+                    temp = f"{root}/{base}.{uuid.uuid4().hex}"
+                    file = files.open_output_stream(temp, compression=None)
+                    file.write(f"YUV4MPEG2 W{shape[1]} H{shape[0]} F{fps}:1 Ip C444\n".encode())
+                if a.shape != shape:
+                    done[name][2] += 1
+                    continue
+                file.write(b"FRAME\n" + _planes(a))
+                done[name][1] += 1
+        close()
         yield pd.DataFrame([(k, *v) for k, v in done.items()], columns=[VIDEO, "path", "written", "skipped"])
 
     return ordered.mapInPandas(run, f"{VIDEO} string, path string, written long, skipped long")
 
 
-__all__ = ["META", "TIME", "extract_frames", "frames_from", "load_video_frames", "register_decoder", "write_video"]
+__all__ = ["META", "TIME", "VideoFiles", "extract_frames", "frames_from", "load_video_frames", "register_decoder", "write_video"]

@@ -15,8 +15,8 @@ counts = st.lists(st.integers(0, 1000).map(float), min_size=1, max_size=6)
 
 @pytest.mark.parametrize(
     ("metric", "a", "b", "want"),
-    [("euclidean", [1, 2, 3], [1, 2, 3, 4, 5], math.sqrt(41)), ("cosine", [1, 0, 0], [0, 1, 0], 1.0), ("cosine", [1, 2, 3], [-1, -2, -3], 2.0),
-     ("cosine", [1, 2, 3], [2, 4, 6], 0.0), ("cosine", [0, 0], [1, 2], 1.0), ("manhattan", [1, 2], [4, 0, 5], 10.0), ("euclidean", [3], [8], 5.0)],
+    [("euclidean", [2, -1], [2, 2, 4], 5.0), ("cosine", [0, 7, 0, 0], [3, 0], 1.0), ("cosine", [2, -5], [-4, 10], 2.0),
+     ("cosine", [4, 3], [3, 4], 1 - 24 / 25), ("cosine", [0, 0], [1, 2], 1.0), ("manhattan", [1, 2], [4, 0, 5], 10.0), ("euclidean", [-2], [9], 11.0)],
 )
 def test_embedding_values(metric, a, b, want):
     assert D.EmbeddingDistance(metric).compute(a, b) == pytest.approx(want, abs=1e-12)
@@ -24,8 +24,8 @@ def test_embedding_values(metric, a, b, want):
 
 @pytest.mark.parametrize(
     ("metric", "a", "b", "want"),
-    [("intersection", [100, 0, 0, 0], [0, 0, 0, 100], 1.0), ("intersection", [10, 20, 30, 40], [100, 200, 300, 400], 0.0), ("intersection", [10, 20, 30], [10, 20, 30, 0, 0], 0.0),
-     ("chi_square", [1, 2, 3], [1, 2, 3], 0.0), ("bhattacharyya", [1, 2, 3], [1, 2, 3], 0.0), ("bhattacharyya", [1, 0], [0, 1], -math.log(1e-10))],
+    [("intersection", [8, 0, 8], [0, 5], 1.0), ("intersection", [3, 1], [6, 2], 0.0), ("intersection", [1, 1, 2], [3, 1], 0.5),
+     ("chi_square", [3, 1], [1, 3], 0.5), ("bhattacharyya", [9, 16], [16, 9], -math.log(0.96)), ("bhattacharyya", [0, 4], [7, 0], -math.log(1e-10))],
 )
 def test_histogram_values(metric, a, b, want):
     assert D.HistogramDistance(metric).compute(a, b) == pytest.approx(want, abs=1e-6)

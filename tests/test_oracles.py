@@ -2,7 +2,7 @@
 
 import pytest
 
-from reelsift.plans import catalog
+from reelsift.plans import catalog, frame_catalog  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

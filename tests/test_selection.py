@@ -91,6 +91,18 @@ def test_motion(spark):
             FL.MotionFilter(**bad)
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(*[st.sampled_from([None, NAN, 0.0, 1.0, 2.5, float("inf"), -1.0])] * 2), min_size=1, max_size=30))
+def test_conditions_equal_their_twins(spark, rows):
+    """Every predicate says the same as an expression and beside Python taggers, for null and NaN, too."""
+    df = tags(spark, [(*r, None) for r in rows])
+    predicates = [FL.ThresholdFilter("blur_score", 1.0, op) for op in FL.ThresholdFilter.OPS]
+    predicates += [FL.RangeFilter("entropy", 0.0, 2.5), FL.RangeFilter("entropy", 0.0, 2.5, 1.0), FL.QualityFilter({"blur_score": 1.0, "entropy": 0.0}), FL.QualityFilter({"blur_score": -5.0})]
+    held = {"blur_score": [r[0] for r in rows], "entropy": [r[1] for r in rows]}
+    for p in predicates:
+        assert passed(p.apply(df)) == [i for i, k in enumerate(p.keeps(held.get)) if k], (p.name, vars(p))
+
+
 def simulate(rows, size, least):
     out, buffers = [], {}
     for key, n, v in sorted(rows):
@@ -175,7 +187,7 @@ def test_one_pass_equals_stage_by_stage(spark):
     fused = FramePipeline(stages, lazy_evaluation=False, keep_frames=False).apply(df)
     apart = df
     for s in stages:
-        apart = s.apply(apart)
+        apart = s.apply(apart, label=f"{stages.index(s)}:{s.name}") if isinstance(s, Tagger) else s.apply(apart)
     names = ["frame_number", "blur_score", "entropy", "model_embedding", "_errors"]
     assert "frame" not in fused.columns
     assert sorted(map(repr, fused.select(names).collect())) == sorted(map(repr, apart.select(names).collect()))
@@ -185,7 +197,7 @@ def test_validation():
     for bad in ([FL.BlurFilter()], [FL.BlurFilter(), BlurTagger()], ["stage"], [BlurTagger(), FL.EntropyFilter()]):
         with pytest.raises(ConfigurationError):
             FramePipeline(bad)
-    for bad in (lambda: FramePipeline(n_workers=0), lambda: HashTagger("x"), lambda: S.BlurRemovalStrategy(-1), lambda: S.DuplicateDetectionStrategy(2), lambda: S.SmartSamplingStrategy(duplicate_window=0), lambda: S.AdaptiveSamplingStrategy(0)):
+    for bad in (lambda: FramePipeline(n_workers=0), lambda: HashTagger("x"), lambda: S.BlurRemovalStrategy(-1), lambda: S.DuplicateDetectionStrategy(2), lambda: S.SmartSamplingStrategy(duplicate_window=0), lambda: S.AdaptiveSamplingStrategy(duplicate_threshold=2), lambda: FramePipeline(gpu_batch_size=0)):
         with pytest.raises(ValueError):
             bad()
     for good in (S.HighQualityStrategy(), S.AdaptiveSamplingStrategy(), S.ThresholdStrategy(BlurTagger(), "blur_score", 1), S.TaggedRangeStrategy(EdgeDensityTagger(), "edge_density", 0, 1)):
@@ -195,6 +207,14 @@ def test_validation():
     assert auto.tags() == ["phash", "model_embedding"]
 
 
+class Failing2(Tagger):
+    fields = BlurTagger.fields
+    name = "Failing"
+
+    def compute(self, array):
+        raise ValueError("never works")
+
+
 class Failing(Tagger):
     fields = BlurTagger.fields
 
@@ -211,6 +231,16 @@ def test_failing_taggers_and_models(spark):
     metrics = FramePipeline([Failing(), FL.BlurFilter(0.0)]).stage_metrics(df).orderBy("stage").collect()
     assert [(m.errors, m.frames_passed) for m in metrics] == [(1, 2), (0, 1)]
 
+    # A tagger after a filter sees what the filter left, and two of a class are counted apart.
+    stages = [BlurTagger(), FL.BlurFilter(50.0), Failing(), EdgeDensityTagger(), Failing2(), FL.ThresholdFilter("blur_score", 0.0)]
+    df2 = frames(spark, [sharp(0), BLURRY, BLURRY, BLURRY])
+    p = FramePipeline(stages, lazy_evaluation=False)
+    metrics = p.stage_metrics(df2).orderBy("stage").collect()
+    assert [(m.frames_evaluated, m.errors) for m in metrics] == [(4, 0), (4, 0), (1, 0), (1, 0), (1, 1), (1, 0)]
+    out, result = p.process(df2)
+    assert not result.finished() and out.count() == 0
+    assert [(s["frames_evaluated"], s["errors"]) for s in result.refresh().stages] == [(m.frames_evaluated, m.errors) for m in metrics]
+
     def broken():
         raise RuntimeError("no device")
 
@@ -233,6 +263,55 @@ def test_rows_and_tags(spark):
     assert has_tags(df, ["entropy"]) and not has_tags(df, ["other"]) and tag_category("blur_score") == "metric_only" and tag_category("new") == "diversity_suitable"
 
 
+def test_endless_iterators_and_files(spark, tmp_path):
+    """An iterator that never ends is taken frame by frame; files are decoded in the pass of the stages."""
+    import itertools
+
+    from reelsift.sources.video import VideoFiles, frames_from, load_video_frames
+
+    endless = (frame_row(sharp(i) if i % 3 else BLURRY, i, dt.timedelta(0), "v") for i in itertools.count())
+    got = list(itertools.islice(S.with_smart_sampling().process_iterator(endless), 4))
+    assert [r["frame_number"] for r in got][:2] == [1, 2] and all(r["phash"] for r in got)
+    np.save(tmp_path / "a.npy", np.stack([sharp(0), BLURRY, sharp(1)]))
+    np.save(tmp_path / "b.npy", np.stack([BLURRY, BLURRY, sharp(2)]))
+    for keep in (True, False):
+        p = FramePipeline([BlurTagger(), HashTagger(), FL.BlurFilter(50.0)], keep_frames=keep)
+        files = VideoFiles(spark, str(tmp_path), fps=30)
+        want = sorted((r.source_video_id, r.frame_number, r.timestamp, r.blur_score) for r in p.apply(load_video_frames(spark, str(tmp_path), fps=30)).collect())
+        out, result = p.process(files)
+        rows = out.collect()
+        assert sorted((r.source_video_id, r.frame_number, r.timestamp, r.blur_score) for r in rows) == want and len(want) == 3
+        assert ("frame" in out.columns) == keep and result.refresh().total_frames == 6 and result.selected_frames == 3
+    assert rows[0].additional_metadata["raw_frame_index_from_loader"] == str(rows[0].frame_number)
+    one = frame_row(BLURRY, 7, dt.timedelta(seconds=1, microseconds=5), "v", {"a": "b"})
+    stored = frames_from(spark, iter([one])).first()
+    assert (stored.frame_number, stored.timestamp, stored.additional_metadata, bytes(stored.frame.data)) == (7, one[2], {"a": "b"}, one[3][3])
+
+
+def test_clip_tagger_and_faces(spark):
+    from reelsift.errors import GPUDependencyError
+    from reelsift.operators.taggers import CLIPTagger, FaceDetectionTagger, SaturationTagger
+
+    asked = []
+    tagger = CLIPTagger(lambda *a: asked.append(a) or (lambda arrays: np.ones((len(arrays), 4))))
+    assert tagger.compute(BLURRY)[0] == [0.5] * 4 and asked == [("MobileCLIP-S1", "datacompdr", "cpu")]
+    with pytest.raises(GPUDependencyError):
+        CLIPTagger(lambda *a: None, device="cuda")
+    with pytest.raises(GPUDependencyError):
+        FramePipeline(use_gpu=True)
+    FramePipeline([tagger], gpu_batch_size=3)
+    assert tagger.batch_size == 3
+    assert FaceDetectionTagger(lambda: lambda a: [(1, 2, 3, 4)]).compute(BLURRY) == (1, [[1, 2, 3, 4]], True)
+    assert SaturationTagger().compute(BLURRY) == (0.0,) and SaturationTagger().compute(np.array([[[255, 0, 0]]], np.uint8)) == (1.0,)
+
+
+def test_temporal_smoothing_in_a_pipeline(spark):
+    df = tags(spark, [(x, 0.0, None) for x in (150.0, 160.0, 50.0, 150.0, 150.0, 150.0, None)])
+    assert passed(FL.TemporalSmoothingFilter("blur_score", 100.0, 2).apply(df)) == [1, 4, 5]
+    with pytest.raises(ValueError):
+        FL.TemporalSmoothingFilter(min_consecutive=0)
+
+
 def test_metrics_collector():
     m = MetricsCollector()
     m.start_stage("a")

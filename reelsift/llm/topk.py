@@ -1,37 +1,44 @@
 """Operator 3: exact top-k search by aggregation without random access.
 
-Vectors are dealt into blocks by a hash of their ids; queries, too. Each pair
-of a candidate block and a query block is one piece of work, so neither side is
-ever held whole. A block keeps one list of its vectors for each component, in
-the order of that component. For a query the lists are read from the end that
-contributes most, level by level. What has been read of a vector gives its
-partial score; the rest is bounded by the lists' current contributions and by
-the norms of what is unread in query and vector (Cauchy-Schwarz), from above
-and from below. Reading stops when no vector outside a small set can reach the
-k-th best lower bound; the final scores of that set are then resolved in whole
-numbers.
+Rows are dealt into blocks of candidates, and queries into blocks of their own;
+both are written once, so a task loads one block of candidates and streams
+queries past it, and nothing is shuffled once for every pair of blocks. A block
+keeps one list of its vectors for each component, in the order of that
+component. For a query the lists are read from the end that contributes most,
+depth by depth. What has been read of a vector gives its partial score; the
+rest is bounded by the lists' current contributions and by the norms of what is
+unread in query and vector (Cauchy-Schwarz), from above and from below. Reading
+stops when no vector outside a small set can reach the k-th best lower bound;
+the final scores of that set are then resolved in whole numbers.
+
+Reading lists to their ends is one product of matrices. Where a block's queries
+all come to that, as with components that are alike and independent, those that
+follow read that way at once, and one in ``PROBE`` tries to stop earlier.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import table, written
+from reelsift.llm.common import files_of, release, table, written
+from reelsift.session import replace_file, shared_dir
 
 K = 5
 EVERY = 50
 SCALE = 256
-CANDIDATES = 8192
+#: Vectors of a block of candidates, and queries that go past it together.
+CANDIDATES = 32768
 QUERIES = 1024
-#: Queries of a block that are taken through a level together.
-GROUP = 64
-#: Shares of the lists read at each level; the last is all of them.
-LEVELS = (0.5, 0.75, 1.0)
-HITS = "query_id long, vec_id long, score long"
+#: Shares of the lists read at each depth before all of them, and queries of which one tries these where they don't help.
+DEPTHS = (1 / 64, 1 / 16, 1 / 4)
+PROBE = 64
+HITS = "query_row long, query_id long, vec_row long, vec_id long, score long"
 
 
 def whole(vector: Column) -> Column:
@@ -46,115 +53,176 @@ def usable(vector: Column) -> Column:
 
 
 class SortedLists:
-    """A block's vectors with one sorted list for each component.
-
-    What a level reads of a list depends on the list and the sign of the
-    query's component, not on its size. So the read parts of all lists are two
-    masked matrices, one from each end, and the partial scores of many queries
-    are products with them.
-    """
+    """A block's vectors with one sorted list for each component. ``read`` counts entries of lists, ``whole`` those there are for the queries."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, order, axis=0).astype(np.float64)
-        self.rank = np.empty(order.shape, np.int32)
-        np.put_along_axis(self.rank, order, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         self.values = vectors.astype(np.float64)
         self.norms = (self.values**2).sum(axis=1)
-
-    def level(self, to: int):
-        """Masks of what is read of each list from its high end and its low end, and the edges reached."""
-        n = len(self.ids)
-        return self.rank >= n - to, self.rank < to, self.sorted[n - to], self.sorted[to - 1]
-
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and whole scores of its k best vectors but its own, ties to smaller ids."""
-        out: list = [None] * len(queries)
-        waiting = {i: None for i in range(len(queries))}  # query -> places that can still be among the best
-        n = len(self.ids)
-        for share in LEVELS:
-            to = n if share == 1 else int(n * share)
-            if not to or not waiting or not self.vectors.shape[1]:
+        self.order = None
+        self.read = self.whole = self.asked = 0
+
+    def _sort(self) -> None:
+        self.order = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.lists = np.take_along_axis(self.values.T, self.order, axis=1)
+
+    def _stopped(self, query: np.ndarray, own: int, k: int) -> np.ndarray | None:
+        """Places that can be among the k best, if reading could stop before the lists' ends."""
+        n, width = self.vectors.shape
+        if self.order is None:
+            self._sort()
+        q = query.astype(np.float64)
+        known, seen_v, seen_q = np.zeros(n), np.zeros(n), np.zeros(n)
+        at = 0
+        for share in DEPTHS:
+            to = int(n * share)
+            if to <= at:
                 continue
-            high, low, high_edge, low_edge = self.level(to)
-            read = np.hstack([high, low]).astype(np.float64)
-            values = np.hstack([self.values, self.values]) * read
-            squares = values**2
-            for some in np.array_split(np.fromiter(waiting, int), -(-len(waiting) // GROUP)):
-                q = queries[some].astype(np.float64).T
-                both = np.vstack([np.maximum(q, 0), np.minimum(q, 0)])
-                known = values @ both
-                unread_q = (q**2).sum(axis=0) - read @ both**2
-                unread_v = self.norms[:, None] - squares @ (both != 0)
-                rest = np.sqrt(np.maximum(unread_q, 0) * np.maximum(unread_v, 0))
-                # A component that isn't read yet contributes no more than its list's edge.
-                ahead = np.maximum(np.concatenate([high_edge, low_edge])[:, None] * both, 0).sum(axis=0)
-                lower, upper = known - rest, known + np.minimum(rest, ahead)
-                lower[self.ids[:, None] == own[some]] = -np.inf
-                kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(some), -np.inf)
-                slack = 1 + 1e-9 * np.abs(known).max(axis=0)
-                open_ = upper >= kth - slack
-                for j, i in enumerate(some.tolist()):
-                    left = np.flatnonzero(open_[:, j])
-                    if len(left) <= max(4 * k, n // 64) or to == n:
-                        out[i] = self._resolved(left, queries[i], own[i], k)
-                        del waiting[i]
-        for i in waiting:  # vectors without components, or blocks too small for a level
-            out[i] = self._resolved(np.arange(n), queries[i], own[i], k)
+            edge = np.zeros(width)
+            for j in np.flatnonzero(q).tolist():
+                part = slice(n - to, n - at) if q[j] > 0 else slice(at, to)
+                places, values = self.order[j, part], self.lists[j, part]
+                known[places] += q[j] * values
+                seen_v[places] += values * values
+                seen_q[places] += q[j] * q[j]
+                edge[j] = q[j] * self.lists[j, n - to if q[j] > 0 else to - 1]
+                self.read += to - at
+            at = to
+            rest = np.sqrt(np.maximum((q @ q) - seen_q, 0) * np.maximum(self.norms - seen_v, 0))
+            # A component that isn't read yet contributes no more than its list's edge.
+            lower, upper = known - rest, known + np.minimum(rest, np.maximum(edge, 0).sum())
+            lower[self.rows == own] = -np.inf
+            slack = 1 + 1e-9 * np.sqrt((q @ q) * self.norms.max())
+            open_ = np.flatnonzero(upper >= np.partition(lower, n - k)[n - k] - slack) if n > k else np.arange(n)
+            if len(open_) <= max(4 * k, n // 64):
+                return open_
+        return None
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int = K) -> list[np.ndarray]:
+        """For each query the places of its k best vectors but its own row, ties to smaller ids, then rows."""
+        out: list = [None] * len(queries)
+        n, width = self.vectors.shape
+        helps, left = True, []
+        for i in range(len(queries)):
+            self.asked += 1
+            self.whole += n * width
+            found = self._stopped(queries[i], own[i], k) if helps or self.asked % PROBE == 1 else None
+            helps = found is not None
+            if helps:
+                out[i] = self._resolved(found, queries[i], own[i], k)
+            else:
+                left.append(i)
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            q = queries[some].astype(np.float64)
+            scores = self.values @ q.T
+            self.read += n * width * len(some)
+            scores[self.rows[:, None] == own[some]] = -np.inf
+            slack = 1 + 1e-9 * np.sqrt((q * q).sum(axis=1) * self.norms.max(initial=0.0))
+            kth = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.full(len(some), -np.inf)
+            for j, i in enumerate(some):
+                out[i] = self._resolved(np.flatnonzero(scores[:, j] >= kth[j] - slack[j]), queries[i], own[i], k)
         return out
 
-    def _resolved(self, places: np.ndarray, query: np.ndarray, own: int, k: int):
-        places = places[self.ids[places] != own]
-        scores, ids = self.vectors[places] @ query, self.ids[places]
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
-
-
-def _matrix(vectors: list, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
-def _search(batches):
-    for batch in batches:
-        for rows, queries in zip(batch.column("rows"), batch.column("queries"), strict=True):
-            ids, vectors = (rows.values.field(i) for i in (0, 1))
-            qids, qvectors = (queries.values.field(i) for i in (0, 1))
-            vectors, qvectors = vectors.to_pylist(), qvectors.to_pylist()
-            width = max(map(len, [*vectors, *qvectors]))
-            block = SortedLists(ids.to_numpy(), _matrix(vectors, width))
-            asked = qids.to_numpy()
-            out: list[tuple] = []
-            for qid, (found, scores) in zip(asked.tolist(), block.top(_matrix(qvectors, width), asked), strict=True):
-                out += [(qid, v, s) for v, s in zip(found.tolist(), scores.tolist(), strict=True)]
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+    def scores(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return self.vectors[places] @ query
+
+    def _resolved(self, places: np.ndarray, query: np.ndarray, own: int, k: int) -> np.ndarray:
+        places = places[self.rows[places] != own]
+        return places[np.lexsort((self.rows[places], self.ids[places], -self.scores(places, query)))[:k]]
+
+
+def _stored(rows: DataFrame, blocks: int, label: str) -> str:
+    """Writes (row, vec_id, v) in ``blocks`` Arrow files by a hash of the row; gives the folder."""
+    folder = f"{shared_dir(rows.sparkSession)}/reelsift-{label}-{uuid.uuid4().hex}"
+    dealt = rows.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "row", "vec_id", "v").repartition(blocks, "block").sortWithinPartitions("block", "row")
+
+    def run(batches):
+        files, root = files_of(folder)
+        files.create_dir(root, recursive=True)
+        at, temp, stream, sink = None, None, None, None
+
+        def close():
+            if sink is not None:
+                sink.close()
+                stream.close()
+                replace_file(files, temp, f"{root}/{at}.arrow")
+
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for block in np.unique(of).tolist():
+                if block != at:
+                    close()
+                    at, temp = block, f"{root}/{block}.arrow.{uuid.uuid4().hex}"
+                    stream = files.open_output_stream(temp)
+                    sink = pa.ipc.new_file(stream, batch.select(["row", "vec_id", "v"]).schema)
+                first, last = np.searchsorted(of, [block, block + 1])
+                sink.write_batch(batch.slice(first, last - first).select(["row", "vec_id", "v"]))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["block"])
+
+    dealt.mapInArrow(run, "block int").count()
+    return folder
+
+
+def _loaded(folder: str, block: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, ids and vectors of a block; shorter vectors are filled up with zeros."""
+    files, root = files_of(folder)
+    path = f"{root}/{block}.arrow"
+    if not files.get_file_info(path).size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width), np.int64)
+    with files.open_input_file(path) as file:
+        t = pa.ipc.open_file(file).read_all()
+    column = t["v"].combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
+    return t["row"].to_numpy(), t["vec_id"].to_numpy(), out
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each id divisible by ``every`` its k best vectors.
+    """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k best rows but itself.
 
     vectors: vec_id, embedding. Rows whose id or vector is null, or whose vector
-    holds a null or non-finite component, take no part. An id names one vector:
-    of rows that repeat an id, the one with the greatest vector counts. Shorter
-    vectors count as if filled up with zeros. Scores are exact while sums of
-    products stay below 2^53. An empty table gives no rows.
+    holds a null or non-finite component, take no part. Rows that repeat an id
+    are rows of their own, as queries and as candidates; ties go to smaller ids.
+    Shorter vectors count as if filled up with zeros. Scores are exact; an
+    ``OverflowError`` if components are so large that a score could pass 2^62.
+    Other columns are ignored; an empty table gives no rows.
     """
+    spark = vectors.sparkSession
     good = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    one = good.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
-    ints = written(one.select("vec_id", whole(F.col("embedding")).alias("v")), "topk-vectors")
-    n, asked = ints.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    ints = written(good.select(F.monotonically_increasing_id().alias("row"), "vec_id", whole(F.col("embedding")).alias("v")), "topk-vectors")
+    largest = F.max(F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double")))
+    n, asked, width, most = ints.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v")), largest).first()
+    if (most or 0.0) ** 2 * (width or 0) >= 2.0**62:
+        raise OverflowError("components are too large for exact scores of 64 bits")
     blocks, query_blocks = -(-n // CANDIDATES) or 1, -(-asked // QUERIES) or 1
-    pair = F.struct("vec_id", "v")
-    # Hashing deals out equal shares, so a list below holds about CANDIDATES or QUERIES vectors, whatever n is.
-    held = ints.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(pair).alias("rows"))
-    queries = ints.where(F.col("vec_id") % every == 0).groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("part")).agg(F.collect_list(pair).alias("queries"))
-    work = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(queries, "part")
-    hits = work.select("rows", "queries").repartition(blocks * query_blocks).mapInArrow(_search, HITS)
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    candidates = _stored(ints, blocks, "topk-candidates")
+    queries = _stored(ints.where(F.col("vec_id") % every == 0), query_blocks, "topk-queries")
+    # A task has one block of candidates and a share of the query blocks: as many tasks as there are cores, or one for each block.
+    shares = min(query_blocks, max(1, -(-spark.sparkContext.defaultParallelism // blocks)))
+    work = spark.range(blocks * shares).repartition(blocks * shares, "id")
+
+    def run(batches):
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                at, share = divmod(task, shares)
+                block = SortedLists(*_loaded(candidates, at, width or 0))
+                for part in range(share, query_blocks, shares):
+                    rows, ids, asked = _loaded(queries, part, width or 0)
+                    out: list[list] = [[], [], [], [], []]
+                    for row, qid, q, places in zip(rows.tolist(), ids.tolist(), asked, block.top(asked, rows, k), strict=True):
+                        found = (np.full(len(places), row), np.full(len(places), qid), block.rows[places], block.ids[places], block.scores(places, q))
+                        for held, values in zip(out, found, strict=True):
+                            held.append(values)
+                    if out[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_row", "query_id", "vec_row", "vec_id", "score"])
+                del block
+        release()
+
+    hits = work.mapInArrow(run, HITS)
+    w = W.partitionBy("query_row").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("vec_row"))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -163,17 +231,14 @@ def op3_topk(spark, sf_dir):
 
 
 OP3_SQL = """
-WITH v AS (
-  SELECT vec_id, max(embedding) AS embedding FROM embeddings
+WITH i AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id
-), i AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM v
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda j: q.v[j] * c.v[j])) AS BIGINT) AS score
-  FROM i q JOIN i c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, c.n AS m, CAST(list_sum(list_transform(range(1, 65), lambda j: q.v[j] * c.v[j])) AS BIGINT) AS score
+  FROM i q JOIN i c ON q.n <> c.n WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id, m) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT * FROM r WHERE rank <= 5
 """

@@ -5,9 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import uuid
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +15,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelsift.session import shared_dir
+from reelsift.session import file_system as files_of
+from reelsift.session import replace_file, shared_dir
 
 libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 
@@ -71,54 +70,63 @@ SHARDS = 16
 SHARD_ROWS = 1 << 14
 
 
-def files_of(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder or URI, and the path in it."""
-    return fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
-
-
 def hash_of(key: str) -> int:
     """Spark's ``xxhash64`` of a string."""
     h = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
     return h - (1 << 64) if h >> 63 else h
 
 
-def sharded(df: DataFrame, label: str) -> str:
-    """Writes (key string, further number columns), keys once each, for ``Shards``; returns the folder.
+def sharded(df: DataFrame, label: str, shards: int = SHARDS, make: Callable[[], Callable[[list[str]], list[bytes]]] | None = None) -> str:
+    """Writes (key string, further columns), keys once each, for ``Shards``; returns the folder.
 
     Rows are dealt out by the key's hash and sorted by Spark; a task writes its
-    shard block by block, under a temporary name until it is complete.
+    shard block by block, under a temporary name until it is complete, and the
+    last hash of each block to a file beside it. make: gives a function from
+    distinct keys to their values; keys may repeat then, and have no columns.
     """
     spark = df.sparkSession
     bound_batches(spark)
     folder = f"{shared_dir(spark)}/reelsift-{label}-{uuid.uuid4().hex}"
     names = [n for n in df.columns if n != "key"]
-    rows = df.select(F.xxhash64("key").alias("hash"), "key", *names).where("key IS NOT NULL").withColumn("shard", F.expr(f"CAST(pmod(hash, {SHARDS}) AS INT)"))
-    rows = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "hash", "key")
+    rows = df.select(F.xxhash64("key").alias("hash"), "key", *names).where("key IS NOT NULL").withColumn("shard", F.expr(f"CAST(pmod(hash, {shards}) AS INT)"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "hash", "key")
 
     def run(batches):
         files, root = files_of(folder)
         files.create_dir(root, recursive=True)
-        stream, sink, at, path, temporary = None, None, None, None, None
+        made = make() if make else None
+        stream, sink, at, temporary, lasts, before = None, None, None, None, [], None
 
         def close():
             if sink is not None:
                 sink.close()
                 stream.close()
-                files.move(temporary, path)
+                replace_file(files, temporary, f"{root}/{at}.arrow")
+                with files.open_output_stream(f"{temporary}.last") as out:
+                    out.write(np.array(lasts, np.int64).tobytes())
+                replace_file(files, f"{temporary}.last", f"{root}/{at}.last")
 
         for batch in batches:
             whole = pa.Table.from_batches([batch])
-            shards = whole["shard"].to_numpy()
-            for shard in np.unique(shards).tolist():
+            if made:
+                keys = whole["key"].to_pylist()
+                whole = whole.filter(pa.array([k != p for p, k in zip([before, *keys], keys)], pa.bool_()))
+                before = keys[-1] if keys else before
+            of = whole["shard"].to_numpy()
+            for shard in np.unique(of).tolist():
+                first, last = np.searchsorted(of, [shard, shard + 1])
+                part = whole.slice(first, last - first).drop_columns("shard")
+                if made:
+                    part = part.append_column("value", pa.array(made(part["key"].to_pylist()), pa.binary()))
                 if shard != at:
                     close()
-                    at, path = shard, f"{root}/{shard}.arrow"
-                    temporary = f"{path}.{uuid.uuid4().hex}"
+                    at, lasts = shard, []
+                    temporary = f"{root}/{shard}.{uuid.uuid4().hex}"
                     stream = files.open_output_stream(temporary)
-                    sink = pa.ipc.new_file(stream, whole.drop_columns("shard").schema)
-                first, last = np.searchsorted(shards, [shard, shard + 1])
-                part = whole.slice(first, last - first).drop_columns("shard").combine_chunks()
-                sink.write_table(part, max_chunksize=SHARD_ROWS)
+                    sink = pa.ipc.new_file(stream, part.schema)
+                for block in part.combine_chunks().to_batches(max_chunksize=SHARD_ROWS):
+                    sink.write_batch(block)
+                    lasts.append(block.column(0)[-1].as_py())
         close()
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int32())], ["shard"])
         release()
@@ -128,55 +136,91 @@ def sharded(df: DataFrame, label: str) -> str:
 
 
 class Shards:
-    """Look-ups in a table that ``sharded`` wrote. The files are mapped, not read: memory doesn't grow with the table."""
+    """Look-ups in a table that ``sharded`` wrote.
+
+    Local files are mapped; of others a bounded number of blocks is held. So
+    memory doesn't grow with the table.
+    """
 
-    #: Bits of the map that tells most absent keys at once.
-    MAP_BITS = 1 << 23
+    #: Bits of the map that tells most absent keys at once, and blocks that are held of files that can't be mapped.
+    MAP_BITS, HELD = 1 << 23, 64
 
-    def __init__(self, folder: str):
-        self.folder, self.open, self.copies, self.map = folder, {}, None, None
+    def __init__(self, folder: str, shards: int = SHARDS):
+        self.folder, self.shards, self.open, self.blocks, self.map = folder, shards, {}, {}, None
 
     def _shard(self, shard: int):
+        """The last hash of each block, and the file; no blocks if the shard has no rows."""
         if shard not in self.open:
             files, root = files_of(self.folder)
-            path = f"{root}/{shard}.arrow"
-            blocks = []
+            path, lasts, file = f"{root}/{shard}.arrow", np.zeros(0, np.int64), None
             if files.get_file_info(path).type == fs.FileType.File:
-                if not isinstance(files, fs.LocalFileSystem):  # only local files can be mapped
-                    self.copies = self.copies or tempfile.TemporaryDirectory(prefix="reelsift-")
-                    local = f"{self.copies.name}/{shard}.arrow"
-                    fs.copy_files(path, local, source_filesystem=files, destination_filesystem=fs.LocalFileSystem())
-                    path = local
-                file = pa.ipc.open_file(pa.memory_map(path))
-                batches = map(file.get_batch, range(file.num_record_batches))
-                blocks = [(b.column(0).to_numpy(), b.column(1), [c.to_numpy() for c in b.columns[2:]]) for b in batches if b.num_rows]
-            self.open[shard] = ([int(hashes[-1]) for hashes, *_ in blocks], blocks)
+                with files.open_input_stream(f"{root}/{shard}.last") as f:
+                    lasts = np.frombuffer(f.read(), np.int64)
+                file = pa.ipc.open_file(pa.memory_map(path) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(path))
+            self.open[shard] = (lasts, file, isinstance(files, fs.LocalFileSystem))
         return self.open[shard]
 
+    def _block(self, shard: int, i: int):
+        if (shard, i) not in self.blocks:
+            _, file, mapped = self._shard(shard)
+            if not mapped and len(self.blocks) >= self.HELD:
+                self.blocks.clear()
+            b = file.get_batch(i)
+            self.blocks[shard, i] = (b.column(0).to_numpy(), b.column(1), b.columns[2:])
+        return self.blocks[shard, i]
+
     def get(self, key: str) -> tuple | None:
         """The values of a key."""
         h = hash_of(key)
-        lasts, blocks = self._shard(h % SHARDS)
-        for hashes, keys, values in blocks[bisect_left(lasts, h) : bisect_right(lasts, h) + 1]:
+        shard = h % self.shards
+        lasts = self._shard(shard)[0]
+        for i in range(int(lasts.searchsorted(h)), min(int(lasts.searchsorted(h, "right")) + 1, len(lasts))):
+            hashes, keys, values = self._block(shard, i)
             at = int(hashes.searchsorted(h))
             while at < len(hashes) and hashes[at] == h:  # different keys may have one hash
                 if keys[at].as_py() == key:
-                    return tuple(v[at].item() for v in values)
+                    return tuple(v[at].as_py() for v in values)
                 at += 1
         return None
 
-
-    def get_many(self, keys) -> dict[str, tuple]:
-        """The values of those keys that the table has."""
+    def _possible(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether the table may have keys of these hashes."""
         if self.map is None:
             self.map = np.zeros(self.MAP_BITS, bool)
-            for shard in range(SHARDS):
-                for hashes, *_ in self._shard(shard)[1]:
-                    self.map[hashes & (self.MAP_BITS - 1)] = True
+            for shard in range(self.shards):
+                for i in range(len(self._shard(shard)[0])):
+                    self.map[self._block(shard, i)[0] & (self.MAP_BITS - 1)] = True
+        return self.map[hashes & (self.MAP_BITS - 1)]
+
+    def get_many(self, keys, mostly_absent: bool = True) -> dict[str, tuple]:
+        """The values of those keys that the table has; ``mostly_absent``: a map of all hashes sorts out most others."""
         keys = list(keys)
         digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(k.encode("utf-8", "surrogatepass"), 42) for k in keys), np.uint64, len(keys)).view(np.int64)
-        return {k: v for at in np.flatnonzero(self.map[hashes & (self.MAP_BITS - 1)]).tolist() if (v := self.get(k := keys[at])) is not None}
+        h = np.fromiter((digest(k.encode("utf-8", "surrogatepass"), 42) for k in keys), np.uint64, len(keys)).view(np.int64)
+        at = np.flatnonzero(self._possible(h)) if mostly_absent else np.arange(len(h))
+        of = h[at] % self.shards
+        order = np.lexsort((h[at], of))
+        at, of = at[order], of[order]
+        out: dict[str, tuple] = {}
+        for shard in np.unique(of).tolist():
+            some = at[slice(*np.searchsorted(of, [shard, shard + 1]))]
+            lasts = self._shard(shard)[0]
+            blocks = lasts.searchsorted(h[some])
+            for i in np.unique(blocks).tolist():
+                if i == len(lasts):
+                    continue
+                places = some[slice(*np.searchsorted(blocks, [i, i + 1]))]
+                hashes, names, values = self._block(shard, i)
+                found = np.minimum(hashes.searchsorted(h[places]), len(hashes) - 1)
+                hit = hashes[found] == h[places]
+                take = pa.array(found[hit])
+                columns = [c.take(take).to_pylist() for c in (names, *values)]
+                for place, name, *row in zip(places[hit].tolist(), *columns, strict=True):
+                    if name == keys[place]:
+                        out[name] = tuple(row)
+                    elif (row := self.get(keys[place])) is not None:  # another key of that hash
+                        out[keys[place]] = row
+        return out
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,15 +4,17 @@ In models whose pieces never hold a white space mark after another character,
 no merge crosses from a word to the mark that follows it. The normalized text
 then splits into marked words (marks, then other characters), each of which is
 segmented on its own; the ids of the text are those of its words by position.
-So each worker segments every distinct marked word once, keeps the ids in a
-bounded table, and joins them back by position. The table is kept by worker
-and not shuffled: a row for each word of the corpus would be several times the
-corpus itself.
+So the distinct marked words of all documents, each task's once, are dealt out
+by hash; each is segmented once, by the task that writes it to its place in a
+table of sorted shards. The tasks that encode look their distinct words up in
+the table and join the ids back by position. A row for each word of the corpus,
+several times the corpus itself, never moves.
 """
 
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import ChunkTable, release, sliced, table, texts_of
+from reelsift.llm.common import Shards, release, sharded, sliced, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 SLICE = 256
+#: Files of the table of distinct words.
+SHARDS = 64
 _marked = re.compile(" *[^ ]+| +$").findall
 _models: dict = {}
 
@@ -33,6 +37,9 @@ _models: dict = {}
 class PieceEncoder:
     """A model's encode and decode, with a table of distinct marked words."""
 
+    #: Words that are held, and characters of a word that is in the table; longer ones are segmented where they stand.
+    MOST, LONGEST = 400_000, 256
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -40,28 +47,45 @@ class PieceEncoder:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # The normalizer must change nothing but spaces, else words may not be cut before it ran.
-        probe = "a  b ﬁ\tÅ é "
+        probe = "a  b ﬁ\tÅ é "
         alone = self.model.piece_to_id(MARK)
         self.splits = not crossing and alone != self.model.unk_id() and self.model.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
-        self.words = ChunkTable(self._segment)
         self.alone = np.array([alone], "<u4").tobytes()
-
-    def _segment(self, marked: str) -> bytes:
-        if marked == " ":  # an empty text would have no mark
-            return self.alone
-        # The model puts a mark before what it gets; the word has it already.
-        return np.array(self.model.encode(marked[1:]), "<u4").tobytes()
+        self.words: dict[str, bytes] = {}
+
+    def segmented(self, marked: list[str]) -> list[bytes]:
+        """The ids of marked words. The model puts a mark before what it gets; a word has it already. An empty text would have none."""
+        return [np.array(ids, "<u4").tobytes() if word != " " else self.alone for word, ids in zip(marked, self.model.encode([w[1:] for w in marked], num_threads=1), strict=True)]
+
+    def marked(self, text: str) -> list[str]:
+        return _marked(" " + text.replace(MARK, " ")) if text else []
+
+    def encode_many(self, texts: list[str], known: Shards | None = None) -> list[bytes]:
+        """Ids with begin and end as little-endian unsigned 32-bit integers; ``known``: the table of distinct words."""
+        if not self.splits:
+            bodies = [[np.array(ids, "<u4").tobytes()] for ids in self.model.encode(texts, num_threads=1)]
+            return [b"".join([self.begin, *body, self.end]) for body in bodies]
+        split = [self.marked(t) for t in texts]
+        if len(self.words) > self.MOST:
+            self.words = {}
+        new = set().union(*split).difference(self.words)
+        if known is not None:
+            found = known.get_many((w for w in new if len(w) <= self.LONGEST), mostly_absent=False)
+            self.words.update((w, ids) for w, (ids,) in found.items())
+            new.difference_update(found)
+        new = list(new)
+        whole = self.words
+        if new:
+            made = dict(zip(new, self.segmented(new), strict=True))
+            whole.update((w, ids) for w, ids in made.items() if len(w) <= self.LONGEST)
+            if long := {w: ids for w, ids in made.items() if len(w) > self.LONGEST}:
+                whole = ChainMap(long, whole)  # used but not kept
+        get = whole.__getitem__
+        return [b"".join([self.begin, *map(get, words), self.end]) for words in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids with begin and end as little-endian unsigned 32-bit integers."""
-        if not text:
-            body = []
-        elif self.splits:
-            body = map(self.words.__getitem__, _marked(" " + text.replace(MARK, " ")))
-        else:
-            body = [np.array(self.model.encode(text), "<u4").tobytes()]
-        return b"".join([self.begin, *body, self.end])
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return self.model.decode(np.frombuffer(ids, "<u4").tolist())
@@ -74,24 +98,51 @@ def encoder(path: str) -> PieceEncoder:
     return _models[path]
 
 
+def chunk_table(df: DataFrame, text_col: str, path: str) -> str | None:
+    """Segments every distinct marked word of a column once; gives the table's folder, or None for models whose pieces cross words."""
+    if not encoder(path).splits:
+        return None
+
+    def run(batches):
+        made, held = encoder(path), set()
+
+        def flush():
+            words = list(held)
+            held.clear()
+            for at in range(0, len(words), 1 << 15):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 15)], pa.string())], ["key"])
+
+        for batch in batches:
+            for part in sliced(batch, SLICE):
+                held.update(w for w in set().union(*map(made.marked, texts_of(part.column(0)))) if len(w) <= made.LONGEST)
+                if len(held) > made.MOST:
+                    yield from flush()
+        yield from flush()
+        release()
+
+    return sharded(df.select(text_col).mapInArrow(run, "key string"), "pieces", SHARDS, lambda: encoder(path).segmented)
+
+
 def _added(df: DataFrame, text_col: str | None, ids_col: str, decoded_col: str | None, model: str | None) -> DataFrame:
     """One pass that encodes ``text_col`` (dropped) or reads ``ids_col``, and decodes if asked: one worker for each task."""
     path = model or public_tokenizers.path(MODEL)
     rest = [c for c in df.columns if c != text_col]
     added = ([ids_col] if text_col else []) + ([decoded_col] if decoded_col else [])
+    if clash := set(added) & set(rest):
+        raise ValueError(f"{sorted(clash)} are columns already: name others")
+    folder = chunk_table(df, text_col, path) if text_col else None
 
     def run(batches):
-        made = encoder(path)
+        made, known = encoder(path), Shards(folder, SHARDS) if folder else None
         for batch in batches:
             for part in sliced(batch, SLICE):
-                ids = [made.encode(t) for t in texts_of(part.column(text_col))] if text_col else part.column(ids_col).to_pylist()
+                ids = made.encode_many(texts_of(part.column(text_col)), known) if text_col else part.column(ids_col).to_pylist()
                 columns = [part.column(c) for c in rest] + ([pa.array(ids, pa.binary())] if text_col else [])
                 if decoded_col:
                     columns.append(pa.array([made.decode(i or b"") for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*rest, *added])
-        # Workers serve other stages afterwards, so the model and its table go.
-        del made
-        _models.clear()
+        # Workers serve other stages afterwards, so the words go; the model stays.
+        made.words = {}
         release()
 
     kinds = {ids_col: T.BinaryType(), decoded_col: T.StringType()}
@@ -102,8 +153,10 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
     """Replaces ``text_col`` by ``ids_col``: little-endian unsigned 32-bit ids, begin and end included.
 
     ``decoded_col`` adds the decoding of those ids in the same pass. Null and
-    empty texts have just the begin and end ids. Rows are independent, so
-    repeated rows and other columns stay as they are.
+    empty texts have just the begin and end ids; very long texts and words are
+    encoded whole. Rows are independent, so repeated rows and other columns stay
+    as they are; a ``ValueError`` if one has a name that is to be added. An
+    empty table stays empty. The table of distinct words is written at once.
     """
     return _added(df, text_col, ids_col, decoded_col, model)
 

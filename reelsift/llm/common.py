@@ -67,7 +67,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 #: Files of a sharded table, and rows of one of its blocks.
 SHARDS = 16
-SHARD_ROWS = 1 << 14
+SHARD_ROWS = 1 << 16
 
 
 def hash_of(key: str) -> int:
@@ -88,8 +88,10 @@ def sharded(df: DataFrame, label: str, shards: int = SHARDS, make: Callable[[],
     bound_batches(spark)
     folder = f"{shared_dir(spark)}/reelsift-{label}-{uuid.uuid4().hex}"
     names = [n for n in df.columns if n != "key"]
-    rows = df.select(F.xxhash64("key").alias("hash"), "key", *names).where("key IS NOT NULL").withColumn("shard", F.expr(f"CAST(pmod(hash, {shards}) AS INT)"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "hash", "key")
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    # Hashes don't compress, so they are made again after the shuffle.
+    rows = df.where("key IS NOT NULL").repartition(shards, shard).select(F.xxhash64("key").alias("hash"), "key", *names, shard.alias("shard"))
+    rows = rows.sortWithinPartitions("shard", "hash", "key")
 
     def run(batches):
         files, root = files_of(folder)
@@ -183,6 +185,14 @@ class Shards:
                 at += 1
         return None
 
+    def held(self, limit: int) -> dict[str, tuple] | None:
+        """The whole table, if it has no more than ``limit`` keys."""
+        files = [self._shard(i)[1] for i in range(self.shards)]
+        if sum(f.get_batch(i).num_rows for f in files if f for i in range(f.num_record_batches)) > limit:
+            return None
+        rows = (f.get_batch(i) for f in files if f for i in range(f.num_record_batches))
+        return {k: v for b in rows for k, *v in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True)}
+
     def _possible(self, hashes: np.ndarray) -> np.ndarray:
         """Whether the table may have keys of these hashes."""
         if self.map is None:
@@ -215,6 +225,10 @@ class Shards:
                 hit = hashes[found] == h[places]
                 take = pa.array(found[hit])
                 columns = [c.take(take).to_pylist() for c in (names, *values)]
+                wanted = [keys[p] for p in places[hit].tolist()]
+                if columns[0] == wanted:
+                    out.update(zip(wanted, zip(*columns[1:], strict=True), strict=True))
+                    continue
                 for place, name, *row in zip(places[hit].tolist(), *columns, strict=True):
                     if name == keys[place]:
                         out[name] = tuple(row)

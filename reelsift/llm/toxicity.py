@@ -50,6 +50,9 @@ SINGLES = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+(])(?:[.\-_*]++(?:[^\W_]|[@$!|+(])
 SEPARATORS = re.compile(r"[ .\-_*]+")
 OUTER = "\"'`.,;:?!()[]{}<>*_-~#&%=/\\|^"
 DOUBLE = re.compile(r"([^\W\d_])\1")
+TRIPLE = re.compile(r"(.)\1\1", re.DOTALL)
+#: Doubled letters of a word up to which its readings are listed, and features that a task holds; more are looked up in the shards.
+MOST_DOUBLES, HELD_FEATURES = 3, 300_000
 
 
 def _classes() -> np.ndarray:
@@ -135,12 +138,36 @@ class Restorer:
             return [(" ", 0.0), ("", LOST)]
         return [("", DROPPED), (" ", DROPPED)]
 
+    @staticmethod
+    def readings(word: str) -> list[tuple[str, float]] | None:
+        """All readings of a word of letters, of which some are doubled, with the channel's cost; None if they are many or it isn't such a word."""
+        if not word.isalpha() or TRIPLE.search(word):
+            return None
+        places = [m.start() for m in DOUBLE.finditer(word)]
+        if len(places) > MOST_DOUBLES:
+            return None
+        out = [(word, 0.0)]
+        for at in reversed(places):
+            out += [(w[:at] + w[at + 1 :], cost + COLLAPSED) for w, cost in out]
+        return out
+
+    def _spelled(self, word: str) -> float:
+        """Minus the log of a word's probability under the model."""
+        logs, total, ab = self.logs, 0.0, 0
+        for letter in word:
+            at = ab * CLASSES + class_of(letter)
+            total -= logs[at]
+            ab = at % CLASSES**2
+        return total - logs[ab * CLASSES]
+
     def decode(self, token: str) -> tuple[float, str]:
         """The least cost of a path through the token's lattice, and what it reads.
 
         A state is the last two classes and the last character; what it read is
         a chain of characters, so long tokens take linear time.
         """
+        if (readings := self.readings(token)) is not None:
+            return min(((cost + self._spelled(w), w) for w, cost in readings), key=lambda x: x[0])
         logs = self.logs
         states: dict[tuple[int, str], tuple[float, tuple | None]] = {(0, ""): (0.0, None)}
         for i, raw in enumerate(token):
@@ -181,7 +208,7 @@ class Restorer:
         """The token without outer marks, and the words it is restored to if those are something else."""
         low = token.lower()
         plain = low.strip(OUTER)
-        if plain.isalpha() and not DOUBLE.search(plain) and not (plain != low and any(map(low.__contains__, LEET))):
+        if plain.isalpha() and not DOUBLE.search(plain) and (plain == low or not any(c in LEET for c in low)):
             return (plain,)
         found = [plain] if plain else []
         if plain and self.suspicious(plain):
@@ -302,7 +329,8 @@ class Evidence:
     MOST = 400_000
 
     def __init__(self, logs: np.ndarray, known: Shards | dict[str, tuple[int, int]], base: float):
-        self.restorer, self.known, self.base = Restorer(logs), known, base
+        self.restorer, self.base = Restorer(logs), base
+        self.known = known if isinstance(known, dict) else known.held(HELD_FEATURES) or known
         self.seen: set[str] = set()
         #: Tokens that have evidence, and the counts of the feature that says most.
         self.strong: dict[str, tuple[int, int]] = {}
@@ -316,16 +344,26 @@ class Evidence:
             self.seen, self.strong = set(), {}
         tokens = tokens - self.seen
         self.seen |= tokens
-        new = [(t, self.restorer.read(t)) for t in tokens]
+        new = [(t, self._forms(t)) for t in tokens]
         found = self.known
         if isinstance(found, Shards):
-            found = found.get_many({f for _, words in new for w in words for f in features(w)})
+            found = found.get_many({f for _, forms in new for w in forms for f in features(w)})
         if not found:
             return
-        for token, words in new:
-            held = [c for w in words for f in features(w) if (c := found.get(f))]
-            if held:
-                self.strong[token] = max(held, key=self.weight)
+        for token, forms in new:
+            if any(f in found for w in forms for f in features(w)):
+                if held := [c for w in self.restorer.read(token) for f in features(w) if (c := found.get(f))]:
+                    self.strong[token] = max(held, key=self.weight)
+
+    def _forms(self, token: str) -> list[str] | tuple[str, ...]:
+        """Words among which are all that the token is restored to; for doubled letters every reading, which is sooner told than the best."""
+        low = token.lower()
+        if low.isalpha() and (readings := self.restorer.readings(low)) is not None:
+            return [w for w, _ in readings]
+        plain = low.strip(OUTER)
+        if plain.isalpha() and not any(c in LEET for c in low) and (readings := self.restorer.readings(plain)) is not None:
+            return [w for w, _ in readings]
+        return self.restorer.read(token)
 
     def weight(self, counts: tuple[int, int], own: int | None = None) -> float:
         """Lower bound of the log odds above the base, 0 at least; ``own``: the label of a training text, which is left out."""

@@ -27,7 +27,8 @@ from reelsift.llm.common import Shards, release, sharded, sliced, table, texts_o
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-SLICE = 256
+#: Texts whose words are gathered, and whose words are looked up, at once.
+SLICE, ENCODED = 256, 1024
 #: Files of the table of distinct words.
 SHARDS = 64
 _marked = re.compile(" *[^ ]+| +$").findall
@@ -69,7 +70,8 @@ class PieceEncoder:
         split = [self.marked(t) for t in texts]
         if len(self.words) > self.MOST:
             self.words = {}
-        new = set().union(*split).difference(self.words)
+        new = set().union(*split)
+        new.difference_update(self.words)
         if known is not None:
             found = known.get_many((w for w in new if len(w) <= self.LONGEST), mostly_absent=False)
             self.words.update((w, ids) for w, (ids,) in found.items())
@@ -135,7 +137,7 @@ def _added(df: DataFrame, text_col: str | None, ids_col: str, decoded_col: str |
     def run(batches):
         made, known = encoder(path), Shards(folder, SHARDS) if folder else None
         for batch in batches:
-            for part in sliced(batch, SLICE):
+            for part in sliced(batch, ENCODED):
                 ids = made.encode_many(texts_of(part.column(text_col)), known) if text_col else part.column(ids_col).to_pylist()
                 columns = [part.column(c) for c in rest] + ([pa.array(ids, pa.binary())] if text_col else [])
                 if decoded_col:

@@ -33,6 +33,7 @@ LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¡": "i", "¢": "c", "×": "x",
 }
+MAY_BE_LETTER = frozenset(LEET)
 #: Channel costs, as minus the log of a probability.
 SUBSTITUTED, DROPPED, LOST, COLLAPSED, KEPT_RUN = 1.0, 1.2, 4.0, 0.4, 1.5
 #: The model's classes: a boundary, 26 letters, and other letters by code point.
@@ -208,7 +209,7 @@ class Restorer:
         """The token without outer marks, and the words it is restored to if those are something else."""
         low = token.lower()
         plain = low.strip(OUTER)
-        if plain.isalpha() and not DOUBLE.search(plain) and (plain == low or not any(c in LEET for c in low)):
+        if plain.isalpha() and not DOUBLE.search(plain) and (plain == low or MAY_BE_LETTER.isdisjoint(low)):
             return (plain,)
         found = [plain] if plain else []
         if plain and self.suspicious(plain):
@@ -331,6 +332,7 @@ class Evidence:
     def __init__(self, logs: np.ndarray, known: Shards | dict[str, tuple[int, int]], base: float):
         self.restorer, self.base = Restorer(logs), base
         self.known = known if isinstance(known, dict) else known.held(HELD_FEATURES) or known
+        self.held = self._split(self.known) if isinstance(self.known, dict) else None
         self.seen: set[str] = set()
         #: Tokens that have evidence, and the counts of the feature that says most.
         self.strong: dict[str, tuple[int, int]] = {}
@@ -344,25 +346,33 @@ class Evidence:
             self.seen, self.strong = set(), {}
         tokens = tokens - self.seen
         self.seen |= tokens
-        new = [(t, self._forms(t)) for t in tokens]
-        found = self.known
-        if isinstance(found, Shards):
-            found = found.get_many({f for _, forms in new for w in forms for f in features(w)})
-        if not found:
+        known = self.known
+        if isinstance(known, Shards):
+            known = known.get_many({f for t in tokens for w in self._forms(t) for f in features(w)})
+        if not known:
             return
-        for token, forms in new:
-            if any(f in found for w in forms for f in features(w)):
-                if held := [c for w in self.restorer.read(token) for f in features(w) if (c := found.get(f))]:
-                    self.strong[token] = max(held, key=self.weight)
+        whole, stems = self.held or self._split(known)
+        for token in tokens:
+            for word in self._forms(token):
+                if word in whole or any([word[:n] in stems for n in STEMS]):
+                    if held := [c for w in self.restorer.read(token) for f in features(w) if (c := known.get(f))]:
+                        self.strong[token] = max(held, key=self.weight)
+                    break
+
+    @staticmethod
+    def _split(known: dict) -> tuple[set[str], set[str]]:
+        """Whole words, and beginnings, whose lengths say which they are."""
+        return {f[1:] for f in known if f[0] == "="}, {f[1:] for f in known if f[0] == "^"}
 
     def _forms(self, token: str) -> list[str] | tuple[str, ...]:
         """Words among which are all that the token is restored to; for doubled letters every reading, which is sooner told than the best."""
         low = token.lower()
-        if low.isalpha() and (readings := self.restorer.readings(low)) is not None:
-            return [w for w, _ in readings]
-        plain = low.strip(OUTER)
-        if plain.isalpha() and not any(c in LEET for c in low) and (readings := self.restorer.readings(plain)) is not None:
-            return [w for w, _ in readings]
+        plain = low if low.isalpha() else low.strip(OUTER)
+        if plain.isalpha() and (plain is low or MAY_BE_LETTER.isdisjoint(low)):
+            if not DOUBLE.search(plain):
+                return (plain,)
+            if (readings := self.restorer.readings(plain)) is not None:
+                return [w for w, _ in readings]
         return self.restorer.read(token)
 
     def weight(self, counts: tuple[int, int], own: int | None = None) -> float:

@@ -89,7 +89,7 @@ def mux(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
-    """What the tables of one track say; ``offsets`` and ``sizes`` are by sample."""
+    """What the tables of one track say; ``offsets``, ``sizes`` and ``times`` (in units of the timescale) are by sample."""
 
     kind: str
     codec: str
@@ -97,11 +97,15 @@ class Track:
     duration: int
     offsets: np.ndarray
     sizes: np.ndarray
+    times: np.ndarray
     sync: np.ndarray
 
-    def keyframes(self) -> list[tuple[int, int]]:
-        """(offset, length) of each keyframe's bytes."""
-        return list(zip(self.offsets[self.sync].tolist(), self.sizes[self.sync].tolist(), strict=True))
+    def seconds(self, units: int) -> float | None:
+        return units / self.timescale if self.timescale else None
+
+    def keyframes(self) -> list[tuple[int, int, float | None]]:
+        """(offset, length, time in seconds) of each keyframe's bytes."""
+        return [(o, n, self.seconds(t)) for o, n, t in zip(*(x[self.sync].tolist() for x in (self.offsets, self.sizes, self.times)), strict=True)]
 
 
 def walk(data: memoryview, at: int = 0, end: int | None = None):
@@ -125,7 +129,10 @@ def walk(data: memoryview, at: int = 0, end: int | None = None):
             stack.append((at + head + CONTAINERS[kind], at + n, (*path, kind)))
 
 
-def _ints(data: memoryview, at: int, count: int, kind: str = ">u4") -> np.ndarray:
+def _ints(data: memoryview, at: int, end: int, count: int, kind: str = ">u4") -> np.ndarray:
+    """``count`` numbers that must lie within their box."""
+    if at + count * np.dtype(kind).itemsize > end:
+        raise ValueError(f"a table of {count} entries is longer than its box")
     return np.frombuffer(data, kind, count, at).astype(np.int64)
 
 
@@ -133,50 +140,135 @@ def _u4(data: memoryview, at: int) -> int:
     return struct.unpack_from(">I", data, at)[0]
 
 
+def _sizes(data: memoryview, kind: bytes, at: int, end: int) -> np.ndarray:
+    """Sample sizes of an stsz or stz2 box."""
+    n = _u4(data, at + 8)
+    if kind == b"stz2":
+        bits = _u4(data, at + 4) & 255
+        if bits == 4:
+            pairs = _ints(data, at + 12, end, -(-n // 2), "u1")
+            return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n]
+        return _ints(data, at + 12, end, n, {8: "u1", 16: ">u2"}[bits])
+    if one := _u4(data, at + 4):
+        if one * n > len(data):
+            raise ValueError(f"{n} samples of {one} bytes are more than there is")
+        return np.full(n, one, np.int64)
+    return _ints(data, at + 12, end, n)
+
+
 def read_tracks(media: bytes) -> list[Track]:
-    """The tracks of a container; ``ValueError`` if its boxes or tables don't fit together."""
+    """The tracks of a container, movie fragments included; ``ValueError`` if its boxes or tables don't fit together."""
     data = memoryview(media)
     found: list[dict] = []
+    defaults: dict[int, tuple] = {}
+    moof, part = 0, None
     try:
-        for path, at, _ in walk(data):
+        for path, at, end in walk(data):
             kind = path[-1]
             if kind == b"trak":
-                found.append({})
+                found.append({"parts": []})
+            elif kind == b"moof":
+                moof = at - 8
+            elif kind == b"trex":
+                defaults[_u4(data, at + 4)] = struct.unpack_from(">III", data, at + 12)
+            elif kind == b"tfhd":
+                part = _fragment(data, at, moof, defaults)
+            elif kind == b"trun" and part:
+                owner = next(t for t in found if t.get("id") == part["id"])
+                owner["parts"].append(_run(data, at, end, part))
             elif found and b"trak" in path:
                 t = found[-1]
-                if kind == b"mdhd":
+                if kind == b"tkhd":
+                    t["id"] = _u4(data, at + (20 if data[at] else 12))
+                elif kind == b"mdhd":
                     t["time"] = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
                 elif kind == b"hdlr":
                     t["kind"] = bytes(data[at + 8 : at + 12]).decode("latin-1")
                 elif kind == b"stsd":
                     t["codec"] = bytes(data[at + 12 : at + 16]).decode("latin-1") if _u4(data, at + 4) else ""
+                elif kind == b"stts":
+                    t["steps"] = _ints(data, at + 8, end, 2 * _u4(data, at + 4)).reshape(-1, 2)
                 elif kind == b"stss":
-                    t["sync"] = _ints(data, at + 8, _u4(data, at + 4)) - 1
+                    t["sync"] = _ints(data, at + 8, end, _u4(data, at + 4)) - 1
                 elif kind == b"stsc":
-                    t["runs"] = _ints(data, at + 8, 3 * _u4(data, at + 4)).reshape(-1, 3)
-                elif kind == b"stsz":
-                    one, n = _u4(data, at + 4), _u4(data, at + 8)
-                    t["sizes"] = np.full(n, one, np.int64) if one else _ints(data, at + 12, n)
+                    t["runs"] = _ints(data, at + 8, end, 3 * _u4(data, at + 4)).reshape(-1, 3)
+                elif kind in (b"stsz", b"stz2"):
+                    t["sizes"] = _sizes(data, kind, at, end)
                 elif kind in (b"stco", b"co64"):
-                    t["chunks"] = _ints(data, at + 8, _u4(data, at + 4), ">u4" if kind == b"stco" else ">u8")
+                    t["chunks"] = _ints(data, at + 8, end, _u4(data, at + 4), ">u4" if kind == b"stco" else ">u8")
         return [_track(t) for t in found]
-    except (struct.error, KeyError, IndexError) as e:
-        raise ValueError(f"not a readable container: {e}") from e
+    except (struct.error, KeyError, IndexError, StopIteration, OverflowError) as e:
+        raise ValueError(f"not a readable container: {e!r}") from e
+
+
+def _fragment(data: memoryview, at: int, moof: int, defaults: dict) -> dict:
+    """What a track fragment header says: track, where data begins, and duration, size and flags of a sample."""
+    flags, track = _u4(data, at) & 0xFFFFFF, _u4(data, at + 4)
+    out = {"id": track, "base": moof, "end": None} | dict(zip(("step", "size", "flags"), defaults.get(track, (0, 0, 0)), strict=True))
+    at += 8
+    if flags & 1:
+        out["base"] = struct.unpack_from(">Q", data, at)[0]
+        at += 8
+    for bit, name in ((2, "description"), (8, "step"), (16, "size"), (32, "flags")):
+        if flags & bit:
+            out[name] = _u4(data, at)
+            at += 4
+    return out
+
+
+def _run(data: memoryview, at: int, end: int, part: dict) -> tuple[np.ndarray, ...]:
+    """Offsets, sizes, steps and flags of the samples of a track run."""
+    flags, n = _u4(data, at) & 0xFFFFFF, _u4(data, at + 4)
+    at += 8
+    start = part["base"] if part["end"] is None else part["end"]
+    if flags & 1:
+        start = part["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 4:
+        first = _u4(data, at)
+        at += 4
+    fields = [name for bit, name in ((256, "step"), (512, "size"), (1024, "flags"), (2048, "shift")) if flags & bit]
+    if not fields and n > len(data):
+        raise ValueError(f"{n} samples are more than there is")
+    rows = _ints(data, at, end, n * len(fields)).reshape(n, len(fields))
+    size, step, mark = (rows[:, fields.index(f)] if f in fields else np.full(n, part[f], np.int64) for f in ("size", "step", "flags"))
+    if first is not None and n:
+        mark = np.concatenate([[first], mark[1:]])
+    offsets = start + np.concatenate([[0], np.cumsum(size)])
+    part["end"] = int(offsets[-1])
+    return offsets[:-1], size, step, mark
 
 
 def _track(t: dict) -> Track:
     sizes, chunks, runs = t["sizes"], t["chunks"], t["runs"]
     ends = np.append(runs[1:, 0], len(chunks) + 1) if len(runs) else np.zeros(0, np.int64)
+    if len(runs) and (runs[0, 0] != 1 or (ends < runs[:, 0]).any()):
+        raise ValueError("the runs of chunks are out of order")
     per_chunk = np.repeat(runs[:, 1], ends - runs[:, 0])
     if per_chunk.sum() != len(sizes):
         raise ValueError("the chunk table and the size table count different samples")
     # A sample starts where its chunk does, plus the sizes before it in that chunk.
     before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    first = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
-    offsets = before + np.repeat(chunks[: len(per_chunk)] - before[first] if len(sizes) else chunks[:0], per_chunk)
-    sync = t.get("sync", np.arange(len(sizes)))
+    filled = per_chunk > 0
+    first = np.concatenate([[0], np.cumsum(per_chunk)])[:-1][filled]
+    offsets = before + np.repeat(chunks[: len(per_chunk)][filled] - before[first] if len(sizes) else chunks[:0], per_chunk[filled])
     scale, duration = t["time"]
-    return Track(t.get("kind", ""), t["codec"], scale, duration, offsets, sizes, sync)
+    steps = t.get("steps")
+    if steps is not None:
+        if steps[:, 0].sum() != len(sizes):
+            raise ValueError("the time table and the size table count different samples")
+        each = np.repeat(steps[:, 1], steps[:, 0])
+    else:
+        each = np.zeros(len(sizes), np.int64)
+    sync = t.get("sync", np.arange(len(sizes)))
+    if len(sync) and (sync.min() < 0 or sync.max() >= len(sizes)):
+        raise ValueError("a keyframe is no sample")
+    for more, size, step, mark in t["parts"]:
+        sync = np.concatenate([sync, len(sizes) + np.flatnonzero(mark >> 16 & 1 == 0)])
+        offsets, sizes, each = np.concatenate([offsets, more]), np.concatenate([sizes, size]), np.concatenate([each, step])
+    times = np.concatenate([[0], np.cumsum(each)])
+    return Track(t.get("kind", ""), t["codec"], scale, int(times[-1]) or duration, offsets, sizes, times[:-1], sync)
 
 
 def demux(media: bytes, track: Track) -> bytes:
@@ -184,7 +276,7 @@ def demux(media: bytes, track: Track) -> bytes:
     if not len(track.sizes):
         return b""
     ends = track.offsets + track.sizes
-    if ends.max() > len(media):
+    if ends.max() > len(media) or track.offsets.min() < 0 or track.sizes.min() < 0:
         raise ValueError("samples lie beyond the end")
     cuts = np.flatnonzero(track.offsets[1:] != ends[:-1]) + 1
     view = memoryview(media)
@@ -193,24 +285,22 @@ def demux(media: bytes, track: Track) -> bytes:
 
 
 MUXED = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-PROBED = T.StructType(
-    [
-        T.StructField("codec", T.StringType()),
-        T.StructField("duration_s", T.DoubleType()),
-        T.StructField("n_samples", T.LongType()),
-        T.StructField("keyframes", T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))),
-        T.StructField("media_error", T.StringType()),
-    ]
-)
+_KEYFRAME = T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType()), T.StructField("time_s", T.DoubleType())])
+_TRACK = [T.StructField("codec", T.StringType()), T.StructField("duration_s", T.DoubleType()), T.StructField("n_samples", T.LongType()), T.StructField("keyframes", T.ArrayType(_KEYFRAME))]
+#: The first track, all of them, and what is wrong with media that can't be read.
+PROBED = T.StructType([*_TRACK, T.StructField("tracks", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *_TRACK]))), T.StructField("media_error", T.StringType())])
 
 
 def media_column(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replaces ``text_col`` by ``n_bytes`` (before padding) and ``media``.
 
     Null counts as empty, and an empty text is one sample of bytes 255. Equal
-    texts give equal media. Rows are independent.
+    texts give equal media. Rows are independent, so repeated rows, very long
+    texts and other columns are as they are; a ``ValueError`` if one of those
+    has a name that is added. An empty table stays empty.
     """
     rest = [c for c in df.columns if c != text_col]
+    _free(rest, MUXED.names)
 
     def run(batches):
         for batch in batches:
@@ -222,24 +312,35 @@ def media_column(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(run, T.StructType([df.schema[c] for c in rest] + MUXED.fields))
 
 
-def describe(media: bytes | None) -> tuple:
+def _free(columns: list[str], added: list[str]) -> None:
+    if clash := set(columns) & set(added):
+        raise ValueError(f"{sorted(clash)} are columns already")
+
+
+def _described(t: Track) -> dict:
+    keyframes = [dict(zip(_KEYFRAME.names, k, strict=True)) for k in t.keyframes()]
+    return {"codec": t.codec, "duration_s": t.seconds(t.duration), "n_samples": len(t.sizes), "keyframes": keyframes}
+
+
+def describe(media: bytes | None) -> dict:
     """A row of ``PROBED``; unreadable media have an error and nulls."""
     try:
         tracks = read_tracks(media or b"")
         if not tracks:
             raise ValueError("no track")
-        t = tracks[0]
-        return t.codec, t.duration / t.timescale if t.timescale else None, len(t.sizes), t.keyframes(), None
+        return _described(tracks[0]) | {"tracks": [{"kind": t.kind} | _described(t) for t in tracks]}
     except ValueError as e:
-        return None, None, None, None, str(e)
+        return {"media_error": str(e)}
 
 
 def probe(df: DataFrame, media_col: str = "media", read_back: bool = False) -> DataFrame:
-    """Adds codec, duration, sample count and keyframe ranges of stored media.
+    """Adds codec, duration, sample count and keyframe ranges of stored media, of the first track and in ``tracks`` of all.
 
     Null, empty and broken media have nulls and ``media_error``. With
-    ``read_back`` the samples are read as well, for ``payload_bytes``,
-    ``payload_sha256`` and ``tail_crc32``; ``media`` is dropped then.
+    ``read_back`` the samples of the first track are read as well, for
+    ``payload_bytes``, ``payload_sha256`` and ``tail_crc32``; ``media`` is
+    dropped then. Rows are independent; a ``ValueError`` if another column has
+    a name that is added. An empty table stays empty.
     """
     keep = [c for c in df.columns if not (read_back and c == media_col)]
     fields = [df.schema[c] for c in keep] + PROBED.fields
@@ -247,8 +348,7 @@ def probe(df: DataFrame, media_col: str = "media", read_back: bool = False) -> D
         fields += [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
         fields += [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType())]
     schema = T.StructType(fields)
-    kinds = [pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.string()]
-    kinds += [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()] if read_back else []
+    _free(keep, schema.names[len(keep) :])
 
     def back(media: bytes | None) -> tuple:
         media = media or b""
@@ -259,16 +359,16 @@ def probe(df: DataFrame, media_col: str = "media", read_back: bool = False) -> D
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()
 
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
         for batch in batches:
             for part in sliced(batch, SLICE):
                 media = part.column(media_col).to_pylist()
-                rows = [(*describe(m), *(back(m) if read_back else ())) for m in media]
-                made = []
-                for i, kind in enumerate(kinds):
-                    values = [r[i] for r in rows]
-                    if i == 3:
-                        values = [None if v is None else [{"offset": a, "length": n} for a, n in v] for v in values]
-                    made.append(pa.array(values, kind))
+                rows = [describe(m) for m in media]
+                made = [pa.array([r.get(f.name) for r in rows], to_arrow_type(f.dataType)) for f in PROBED]
+                if read_back:
+                    found = list(zip(*(back(m) for m in media), strict=True))
+                    made += [pa.array(v, to_arrow_type(f.dataType)) for v, f in zip(found, fields[len(keep) + len(PROBED) :], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, schema.names)
 
     return df.mapInArrow(run, schema)

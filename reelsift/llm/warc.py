@@ -43,36 +43,52 @@ CHUNK_COLUMNS = "page_id long, url string, record_type string, refers_to long, c
 def decided(pages: DataFrame) -> DataFrame:
     """Adds ``_digest`` (hex SHA-1) and ``_refers_to`` (null: a response) to pages (page_id, url, html).
 
-    Null html counts as empty. Rows without an id are responses and nothing
-    refers to them; rows that repeat the largest id are responses, too.
+    ``_again`` and ``_target_again`` say that other rows have the row's id, or
+    that of the response. Null html counts as empty. Rows without an id are
+    responses and nothing refers to them; rows that repeat the largest id are
+    responses, too.
     """
     html = F.coalesce("html", F.lit("")).cast("binary")
     narrow = written(pages.select("page_id", F.sha1(html).alias("_digest"), F.octet_length(html).alias("_n")).where(F.col("_n") >= LEAST), "warc-digests")
     kept = narrow.groupBy("_digest", "_n").agg(F.max("page_id").alias("_refers_to"), F.count("*").alias("_c")).where("_c > 1")
     revisits = narrow.join(kept, ["_digest", "_n"]).where("page_id < _refers_to").select("page_id", "_digest", "_refers_to").distinct()
     revisits = small_side(written(revisits, "warc-revisits"))
-    return pages.withColumn("_digest", F.sha1(html)).join(revisits, ["page_id", "_digest"], "left")
+    again = small_side(written(pages.groupBy("page_id").agg(F.count("*").alias("_c")).where("_c > 1 OR page_id IS NULL").select("page_id"), "warc-repeated"))
+    own, target = (again.select(F.col("page_id").alias(c), F.lit(True).alias(f)) for c, f in (("_id", "_again"), ("_id2", "_target_again")))
+    out = pages.withColumn("_digest", F.sha1(html)).join(revisits, ["page_id", "_digest"], "left")
+    return out.join(own, F.col("page_id").eqNullSafe(F.col("_id")), "left").join(target, F.col("_refers_to") == F.col("_id2"), "left").drop("_id", "_id2")
 
 
-def header(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None) -> bytes:
-    """Header and HTTP head of a record; the payload follows if it is a response."""
+def header(page_id: int | None, url: str | None, digest: str, size: int, refers_to: int | None, place: str = "", target_again: bool = False) -> bytes:
+    """Header and HTTP head of a record; the payload follows if it is a response.
+
+    place: what tells its id from those of other records of the page. A URI is
+    written as it is but for characters that no header can hold; those are
+    escaped for other readers, and the URI's own bytes follow in a field that
+    ``read_chunks`` knows.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = len(http) + (size if refers_to is None else 0)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ID}{page_id}>"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ID}{page_id}{place}>"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
+        shown = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+        lines.append(f"WARC-Target-URI: {shown}")
+        if shown != url:
+            lines.append("X-Target-URI-Base64: " + base64.b64encode(url.encode()).decode())
     # The date is fixed, so equal inputs give equal archives.
     lines += ["WARC-Date: 1970-01-01T00:00:00Z", "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <{ID}{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        if not target_again:  # else no one record is meant
+            lines.append(f"WARC-Refers-To: <{ID}{refers_to}>")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}", "", ""]
     return "\r\n".join(lines).encode() + http
 
 
-def write_record(out, page_id, url, payload: bytes, digest: str, refers_to) -> None:
+def write_record(out, page_id, url, payload: bytes, digest: str, refers_to, place: str = "", target_again: bool = False) -> None:
     """One gzip member; the payload is fed to it in slices."""
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-    out.write(pack.compress(header(page_id, url, digest, len(payload), refers_to)))
+    out.write(pack.compress(header(page_id, url, digest, len(payload), refers_to, place, target_again)))
     view = memoryview(payload)
     for at in range(0, len(view) if refers_to is None else 0, READ):
         out.write(pack.compress(view[at : at + READ]))
@@ -83,10 +99,12 @@ def write_record(out, page_id, url, payload: bytes, digest: str, refers_to) -> N
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of pages in ``folder``; one row per archive: shard, n_records.
 
-    A task that is run again replaces its archive by the same records. An
-    empty table writes empty archives or none.
+    A task that is run again replaces its archive by the same records. Record
+    ids are unique: where rows repeat an id, or have none, theirs name the shard
+    and the place in it. Very long payloads are written in slices. Other columns
+    are ignored. An empty table writes empty archives or none.
     """
-    rows = decided(pages.select("page_id", "url", "html")).select("page_id", "url", "html", "_digest", "_refers_to")
+    rows = decided(pages.select("page_id", "url", "html")).select("page_id", "url", "html", "_digest", "_refers_to", "_again", "_target_again")
 
     def run(batches):
         shard, n = TaskContext.get().partitionId(), 0
@@ -97,9 +115,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         with fs.open_output_stream(temp, compression=None) as out:
             for batch in batches:
                 for part in sliced(batch, 256):
-                    columns = [part.column(0), part.column(1), part.column(2).cast(pa.binary()), part.column(3), part.column(4)]
-                    for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in columns), strict=True):
-                        write_record(out, page_id, url, html or b"", digest, refers_to)
+                    columns = [part.column(0), part.column(1), part.column(2).cast(pa.binary()), *part.columns[3:]]
+                    for page_id, url, html, digest, refers_to, again, target_again in zip(*(c.to_pylist() for c in columns), strict=True):
+                        write_record(out, page_id, url, html or b"", digest, refers_to, f":{shard}-{n}" if again else "", bool(target_again))
                         n += 1
         try:
             fs.move(temp, final)
@@ -159,7 +177,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page(record_id: str | None) -> int | None:
-    text = (record_id or "").strip("<>").removeprefix(ID)
+    text = (record_id or "").strip("<>").removeprefix(ID).partition(":")[0]
     return int(text) if re.fullmatch(r"-?\d+", text) else None
 
 
@@ -170,8 +188,8 @@ def read_chunks(file, data: bool = True):
         h = _fields(head)
         http = source.until(b"\r\n\r\n")
         kind, declared = h["warc-type"], base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-        url = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), h["warc-target-uri"]) if "warc-target-uri" in h else None
-        row = {"page_id": _page(h["warc-record-id"]), "url": url, "record_type": kind, "refers_to": _page(h.get("warc-refers-to"))}
+        url = base64.b64decode(h["x-target-uri-base64"]).decode() if "x-target-uri-base64" in h else h.get("warc-target-uri")
+        row = {"page_id": _page(h["warc-record-id"]), "url": url, "record_type": kind, "refers_to": _page(h.get("x-refers-to-page") or h.get("warc-refers-to"))}
         if kind == "revisit":
             yield row | {"chunk": 0, "data": None, "bytes_so_far": int(_fields(http)["content-length"]), "sha1_so_far": declared, "last": True}
         else:

@@ -37,6 +37,23 @@ def test_round_trip_equals_brute_force(spark, tmp_path):
     assert {r.url for r in chunks if r.page_id == 7} == {"bad\r\nurl %41"} and {r.url for r in chunks if r.page_id == 9} == {None}
 
 
+def test_headers_are_read_alike_by_others(spark, tmp_path):
+    """URIs are written as they are, and no two records have one id, nor does any refer to one that isn't there."""
+    import gzip
+    import re
+
+    same = "same page " * 200
+    rows = [(1, "http://a/x%20y?q=%C3%A9", same), (9, "http://a/ b", same), (9, "u", same), (9, "u", "other"), (None, "u", "x"), (None, "u", "x"), (3, "u", "z" * 1000), (4, "u", "z" * 1000)]
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], PAGES).repartition(2)
+    shards = A.write(df, str(tmp_path / "w")).collect()
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz"))).decode()
+    ids = re.findall("WARC-Record-ID: (<.*>)", text)
+    assert len(set(ids)) == len(ids) == len(rows) and set(re.findall("WARC-Refers-To: (<.*>)", text)) == {"<urn:x-page:4>"}
+    assert "WARC-Target-URI: http://a/x%20y?q=%C3%A9\r\n" in text and "WARC-Target-URI: http://a/%20b\r\n" in text
+    got = [(r.page_id, r.url) for r in A.read(spark, str(tmp_path / "w"), shards, data=False).where("last").collect()]
+    assert sorted(got, key=repr) == sorted(((i, u) for i, u, _ in rows), key=repr)
+
+
 def test_empty_table(spark, tmp_path):
     shards = A.write(spark.createDataFrame([], PAGES), str(tmp_path / "e")).collect()
     assert A.read(spark, str(tmp_path / "e"), shards).count() == 0

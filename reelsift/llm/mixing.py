@@ -6,9 +6,11 @@ weight. In the order of ascending keys within a source, prefix sums of sizes
 are held against the source's budget of words. Budgets above the source's size
 take complete epochs first; the rest is the fractional selection.
 
-No source is sorted in one task: keys fall into ``BUCKETS`` ranges of about
-equal counts, only sums of (source, range) are put in order, and rows are
-sorted only within the one range in which a source's budget ends.
+No source is sorted in one task: keys fall into ``BUCKETS`` ranges, only sums of
+(source, range) are put in order, and rows are sorted only within the one range
+in which a source's budget ends. Weights make ranges uneven, so a range of more
+than ``SORTED`` rows is cut again, between its least and its greatest key, as
+often as that takes.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SHARE = 1.5
 CAP = 2
 SEED = "mix-1"
 BUCKETS = 4096
+#: Rows of one source that a task sorts.
+SORTED = 1 << 16
 #: Characters that count against a document's quality weight.
 JUNK = "#$%&*|!0123456789_=<>{}[]~^\\"
 
@@ -87,26 +91,49 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     return level.select("_source", "source_size", target.alias("target"))
 
 
+def _ending(sums: DataFrame, sources: DataFrame) -> DataFrame:
+    """Of each source's ranges the one in which its budget ends: ``_lo`` and ``_hi``, its keys' ends, the words before it, and its rows.
+
+    sums: _source, _bucket, _sum, _n, _lo, _hi and ``_before``, the words before all of them.
+    """
+    w = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = sums.withColumn("_offset", F.col("_before") + F.coalesce(F.sum("_sum").over(w), F.lit(0)))
+    at = placed.alias("p").join(sources.alias("s"), F.col("p._source").eqNullSafe(F.col("s._source")))
+    ends = (F.col("p._offset") < F.col("s._left")) & (F.col("s._left") <= F.col("p._offset") + F.col("p._sum"))
+    return at.where(ends).select(*(F.col(f"p.{c}").alias(c) for c in ("_source", "_lo", "_hi", "_offset", "_n")))
+
+
+def _sums(rows: DataFrame, before: Column, cut: Column) -> DataFrame:
+    sums = rows.groupBy("_source", before.alias("_before"), cut.alias("_bucket"))
+    return written(sums.agg(F.sum("_size").alias("_sum"), F.count("*").alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")), "mix-sums")
+
+
 def plan(narrow: DataFrame) -> DataFrame:
-    """One row for each source: target, epochs, words left for the fraction, and the range where they end."""
-    sums = written(
-        narrow.groupBy("_source", bucket(F.col("_key")).alias("_bucket")).agg(F.sum("_size").alias("_sum")), "mix-sums"
-    )
+    """One row for each source: target, epochs, words left for the fraction, and the range of keys where they end."""
+    sums = _sums(narrow, F.lit(0).cast("long"), bucket(F.col("_key")))
     sources = targets(sums.groupBy("_source").agg(F.sum("_sum").alias("source_size")))
     budget = F.floor(F.col("target") + 0.5).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(budget / F.col("source_size")), F.lit(CAP))).otherwise(0).cast("long")
     sources = sources.withColumn("_epochs", epochs).withColumn(
         "_left", F.when(F.col("source_size") > 0, F.least(budget - F.col("_epochs") * F.col("source_size"), F.col("source_size"))).otherwise(0).cast("long")
     )
-    w = W.partitionBy("_source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    placed = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
-    at = placed.alias("p").join(sources.alias("s"), F.col("p._source").eqNullSafe(F.col("s._source")))
-    ends = (F.col("p._offset") < F.col("s._left")) & (F.col("s._left") <= F.col("p._offset") + F.col("p._sum"))
-    end = at.where(ends).select(F.col("s._source").alias("_end_source"), F.col("p._bucket").alias("_end"), F.col("p._offset").alias("_offset"))
+    sources = written(sources, "mix-sources")
+    end = written(_ending(sums, sources), "mix-ends")
+    while True:
+        large = (F.col("_n") > SORTED) & (F.col("_lo") < F.col("_hi"))
+        if end.where(large).isEmpty():
+            break
+        cuts = small_side(end.where(large).select(F.col("_source").alias("_of"), F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), "_offset"))
+        within = narrow.join(cuts, F.col("_source").eqNullSafe(F.col("_of")) & F.col("_key").between(F.col("_from"), F.col("_to")))
+        place = F.floor((F.col("_key") - F.col("_from")) / (F.col("_to") - F.col("_from")) * BUCKETS)
+        finer = _ending(_sums(within, F.col("_offset"), F.least(place, F.lit(BUCKETS - 1)).cast("int")), sources)
+        end = written(end.where(~large).unionByName(finer), "mix-ends")
+    end = end.withColumnRenamed("_source", "_end_source")
     joined = sources.join(end, F.col("_source").eqNullSafe(F.col("_end_source")), "left")
+    nowhere = F.lit(float("-inf"))
     return joined.select(
         F.col("_source").alias("_plan_source"), "source_size", "target", "_epochs", "_left",
-        F.coalesce("_end", F.lit(-1)).alias("_end"), F.coalesce("_offset", F.lit(0)).alias("_offset"),
+        F.coalesce("_lo", nowhere).alias("_lo"), F.coalesce("_hi", nowhere).alias("_hi"), F.coalesce("_offset", F.lit(0)).alias("_offset"),
     )
 
 
@@ -117,8 +144,9 @@ def apply(annotated: DataFrame, planned: DataFrame, whole: bool = False) -> Data
     whole, whichever is nearer; otherwise the mix takes just the words left.
     """
     sources = small_side(written(planned, "mix-plan"))
-    rows = annotated.join(sources, F.col("_source").eqNullSafe(F.col("_plan_source"))).withColumn("_bucket", bucket(F.col("_key")))
-    inner, ending = rows.where(F.col("_bucket") != F.col("_end")), rows.where(F.col("_bucket") == F.col("_end"))
+    rows = annotated.join(sources, F.col("_source").eqNullSafe(F.col("_plan_source")))
+    ends = F.col("_key").between(F.col("_lo"), F.col("_hi"))
+    inner, ending = rows.where(~ends), rows.where(ends)
     w = W.partitionBy("_source").orderBy("_key", "doc_id", "_size").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum("_size").over(w), F.lit(0))
     if whole:
@@ -126,9 +154,9 @@ def apply(annotated: DataFrame, planned: DataFrame, whole: bool = False) -> Data
     else:
         part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_left") - F.col("_before")))
     ending = ending.withColumn("_before", before).withColumn("_part", part.cast("long")).drop("_before")
-    inner = inner.withColumn("_part", F.when(F.col("_bucket") < F.col("_end"), F.col("_size")).otherwise(0).cast("long"))
+    inner = inner.withColumn("_part", F.when(F.col("_key") < F.col("_lo"), F.col("_size")).otherwise(0).cast("long"))
     taken = (F.col("_epochs") * F.col("_size") + F.col("_part")).cast("long")
-    return inner.unionByName(ending).withColumn("taken", taken).drop("_plan_source", "_epochs", "_left", "_end", "_offset", "_bucket", "_part")
+    return inner.unionByName(ending).withColumn("taken", taken).drop("_plan_source", "_epochs", "_left", "_lo", "_hi", "_offset", "_part")
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:

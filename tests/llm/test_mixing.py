@@ -100,3 +100,18 @@ def test_the_mix_holds_whole_documents(spark):
     for r in mixed:
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
     assert max(copies.values()) <= 2
+
+
+def test_a_source_of_junk_is_cut_finely(spark, monkeypatch):
+    """Weights of 0.05 put two thirds of a source into one range; it is cut until a task sorts few rows, and the rows are those of one sort."""
+    rows = [(i, "#" * 30 + f" 0{i % 7} 1", "junk" if i % 3 else "b") for i in range(3000)] + [(7, "1 2 3", "junk")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = sorted(tuple(r) for r in M.mix(df).collect())
+    monkeypatch.setattr(M, "SORTED", 5)
+    monkeypatch.setattr(M, "BUCKETS", 16)
+    assert sorted(tuple(r) for r in M.mix(df).collect()) == want
+    narrow = M.written(M.annotate(df).select("doc_id", "_source", "_size", "_key"), "x")
+    ends = M.F.col("_key").between(M.F.col("_lo"), M.F.col("_hi"))
+    planned = M.plan(narrow)
+    counts = narrow.join(planned, M.F.col("_source") == M.F.col("_plan_source")).where(ends).groupBy("_source").count().collect()
+    assert counts and all(r["count"] <= 6 for r in counts)

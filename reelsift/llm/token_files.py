@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import sliced, table, texts_of
-from reelsift.session import shared_dir
+from reelsift.session import file_system, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 LENGTH = 2048
 PER_BATCH = 64
+#: Bytes of the source's files for each shard.
+SHARD_BYTES = 128 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 SHARDS = "shard int, n_docs long, n_tokens long"
 _tokenizers: dict = {}
@@ -180,15 +182,6 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def _place(folder: str):
-    """A file system and the path in it; local folders need nothing but themselves."""
-    from pyarrow import fs
-
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
-
-
 def _names(path: str, shard: int) -> tuple[str, str]:
     return f"{path}/shard-{shard:06d}.arrow", f"{path}/shard-{shard:06d}.index.arrow"
 
@@ -201,7 +194,7 @@ class ShardWriter:
     """Writes one shard, holding one batch of sequences at most."""
 
     def __init__(self, folder: str, shard: int, dtype: np.dtype, length: int = LENGTH, per_batch: int = PER_BATCH):
-        self.fs, path = _place(folder)
+        self.fs, path = file_system(folder)
         self.fs.create_dir(path, recursive=True)
         self.final, own = _names(path, shard), uuid.uuid4().hex
         self.temp = tuple(f"{p}.{own}" for p in self.final)
@@ -254,31 +247,63 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to a shard: sequences and masks are views of the file's map."""
+    """Random access to a shard, one batch at a time: of a local file sequences and masks are views of its map, of others one batch is read."""
 
     def __init__(self, folder: str, shard: int):
         from pyarrow import fs
 
-        self.fs, path = _place(folder)
+        files, path = file_system(folder)
         tokens, index = _names(path, shard)
-        local = isinstance(self.fs, fs.LocalFileSystem)
-        opened = (lambda p: pa.memory_map(p)) if local else (lambda p: pa.BufferReader(self.fs.open_input_stream(p).read()))
-        with pa.ipc.open_stream(opened(tokens)) as stream:
-            self.length = stream.schema.field("ids").type.list_size
-            self.batches = list(stream)
-        with pa.ipc.open_stream(opened(index)) as stream:
-            self.index = stream.read_all()
-        self.flat = [b.column(0).values.to_numpy(zero_copy_only=True) for b in self.batches]
-        self.step = len(self.flat[0]) if self.flat else 1
+        local = isinstance(files, fs.LocalFileSystem)
+        opened = pa.memory_map if local else files.open_input_file
+        self.file = opened(tokens)
+        self.schema = pa.ipc.read_schema(self.file)
+        self.length = self.schema.field("ids").type.list_size
+        # All batches but the last take as many bytes as the first, so each is found by its number.
+        self.start, size = self.file.tell(), self.file.size()
+        self.held: tuple[int, pa.RecordBatch] | None = None
+        first = self._read(self.start)
+        self.bytes = self.file.tell() - self.start
+        self.per = first.num_rows if first is not None else 1
+        self.step = self.per * self.length
+        self.count = max(size - self.start - 1, 0) // self.bytes + 1 if first is not None else 0
+        last = self._batch(self.count - 1) if first is not None else None
+        if first is not None and last is None:  # what is left after the last full one is the mark of the end
+            self.count -= 1
+            last = self._batch(self.count - 1)
+        self.rows = (self.count - 1) * self.per + last.num_rows if first is not None else 0
+        self._index = lambda: pa.ipc.open_stream(opened(index))
+
+    def documents(self):
+        """Batches of (doc_id, start, n_tokens), one at a time."""
+        with self._index() as stream:
+            yield from stream
+
+    def _read(self, at: int) -> pa.RecordBatch | None:
+        self.file.seek(at)
+        try:
+            return pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+        except (EOFError, pa.ArrowInvalid):
+            return None
+
+    def _batch(self, i: int) -> pa.RecordBatch | None:
+        if self.held is None or self.held[0] != i:
+            self.held = (i, self._read(self.start + i * self.bytes))
+        return self.held[1]
+
+    def _flat(self, i: int) -> np.ndarray:
+        return self._batch(i).column(0).values.to_numpy(zero_copy_only=True)
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.rows
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
-        """Ids and mask of sequence i; the ids aren't copied."""
-        per = self.batches[0].num_rows
-        b, at = divmod(i, per)
-        return self.flat[b][at * self.length : (at + 1) * self.length], self.batches[b].column(1)[at].values
+        """Ids and mask of sequence i; the ids of a mapped file aren't copied."""
+        if not 0 <= i < self.rows:
+            raise IndexError(i)
+        b, at = divmod(i, self.per)
+        batch = self._batch(b)
+        return self._flat(b)[at * self.length : (at + 1) * self.length], batch.column(1)[at].values
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """n ids from the shard's token ``start`` on; a view if one batch holds them."""
@@ -287,7 +312,7 @@ class ShardReader:
         b, at = divmod(start, self.step)
         parts = []
         while n > 0:
-            parts.append(self.flat[b][at : at + n])
+            parts.append(self._flat(b)[at : at + n])
             n -= len(parts[-1])
             b, at = b + 1, 0
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -297,12 +322,19 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
     """Writes documents (doc_id, text) in ascending doc_id and gives one row per shard: shard, n_docs, n_tokens.
 
     Null texts count as empty and have just the end id; null ids come first;
-    equal ids are ordered by text. An empty table writes empty shards.
+    rows of equal ids are ordered by a hash of their texts, then by these, so a
+    hot id is spread over shards. Other columns are ignored, and very long texts
+    are one document of many sequences. An empty table writes empty shards.
+    shards: how many; else as many as shuffles have partitions, or more, so that
+    none holds much more than ``SHARD_BYTES`` of the source's files.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path(TOKENIZER)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    rows = docs.select("doc_id", "text")
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-min(size, 1 << 50) // SHARD_BYTES) if size < 1 << 60 else 0)
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, F.asc_nulls_first("text"))
 
     def run(batches):
         made = tokenizer(path)
@@ -337,7 +369,7 @@ def read(spark, folder: str, shards: list) -> DataFrame:
         for batch in batches:
             for shard, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = ShardReader(folder, shard)
-                for part in reader.index.to_batches(max_chunksize=2048):
+                for part in reader.documents():
                     starts, counts = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
                     crcs = [zlib.crc32(reader.tokens(a, n).astype("<u4").tobytes()) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(starts + base), part.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -22,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import sliced, small_side, table, written
-from reelsift.llm.token_files import _place
-from reelsift.session import shared_dir
+from reelsift.session import file_system, replace_file, shared_dir
 
 LEAST = 1000
 CHUNK = 1 << 20
@@ -108,7 +107,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         shard, n = TaskContext.get().partitionId(), 0
-        fs, path = _place(folder)
+        fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
         final = f"{path}/pages-{shard:06d}.warc.gz"
         temp = f"{final}.{uuid.uuid4().hex}"
@@ -119,11 +118,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     for page_id, url, html, digest, refers_to, again, target_again in zip(*(c.to_pylist() for c in columns), strict=True):
                         write_record(out, page_id, url, html or b"", digest, refers_to, f":{shard}-{n}" if again else "", bool(target_again))
                         n += 1
-        try:
-            fs.move(temp, final)
-        except OSError:
-            fs.delete_file(final)
-            fs.move(temp, final)
+        replace_file(fs, temp, final)
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n_records": n}], pa.schema([("shard", pa.int32()), ("n_records", pa.int64())]))
 
     return rows.mapInArrow(run, SHARDS)
@@ -218,7 +213,7 @@ def read(spark, folder: str, shards: list, data: bool = True) -> DataFrame:
     def run(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                fs, path = _place(folder)
+                fs, path = file_system(folder)
                 held, size = [], 0
                 with fs.open_input_stream(f"{path}/pages-{shard:06d}.warc.gz", compression=None) as file:
                     for row in read_chunks(file, data):

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from reelsift.llm import sentencepieces as S
 from reelsift.llm import token_files as K
+from reelsift.llm.common import hash_of
 
 TEXTS = [
     None, "", " ", "  ", "a", " a  b ", "▁x ▁", "a\tb\nc", "\x00 <s> </s> <0x41>", "ﬁ Å é é", "x" * 5000, "word " * 3000, "the the the", "İI ΣΑΣ ΟΔΟΣ",
@@ -69,7 +70,7 @@ def test_pieces_query(spark, pieces):
 
 def expected(rows, words):
     at, out = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, 42 if r[1] is None else hash_of(r[1]), r[1] or "")):
         ids = [*words.inner.encode(t or "", add_special_tokens=False).ids, 1]
         out.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -96,8 +97,42 @@ def test_shards_give_sequences_without_copies(tmp_path):
     assert len(back) == 10 and np.concatenate([back.sequence(i)[0] for i in range(10)])[:77].tolist() == ids.tolist()
     assert sum(back.sequence(i)[1].to_pylist().count(True) for i in range(10)) == 77
     flat, _ = back.sequence(3)
-    assert not flat.flags.owndata and np.shares_memory(flat, back.flat[1])
-    for s, n in zip(back.index["start"].to_pylist(), back.index["n_tokens"].to_pylist(), strict=True):
+    assert not flat.flags.owndata and np.shares_memory(flat, back._flat(1)) and back.held[0] == 1
+    for s, n in ((r["start"], r["n_tokens"]) for b in back.documents() for r in b.to_pylist()):
         assert back.tokens(s, n).tolist() == ids[s : s + n].tolist()
+    with pytest.raises(IndexError):
+        back.sequence(10)
+    for n, per in ((16, 2), (17, 2), (8, 1), (0, 2), (1, 4)):  # the last batch full, short, the only one, or none
+        out = K.ShardWriter(str(tmp_path / f"n{n}"), 0, np.dtype("<u2"), length=8, per_batch=per)
+        out.add(1, ids[:n].tobytes())
+        out.close()
+        one = K.ShardReader(str(tmp_path / f"n{n}"), 0)
+        assert len(one) == -(-n // 8) and one.tokens(0, n).tolist() == ids[:n].tolist()
     with pa.ipc.open_stream(pa.memory_map(str(tmp_path / "shard-000000.arrow"))) as stream:
         assert stream.schema.field("ids").type == pa.list_(pa.uint16(), 8)
+
+
+def test_a_hot_id_is_spread(spark, tmp_path):
+    """Rows without an id are more than one shard's; all are read back in one order."""
+    df = spark.range(0, 4000, 1, 4).selectExpr("CAST(NULL AS LONG) AS doc_id", "CONCAT('text ', id) AS text")
+    shards = K.write(df, str(tmp_path / "h"), shards=4).collect()
+    assert max(s.n_docs for s in shards) < 2000
+    got = sorted(r.start for r in K.read(spark, str(tmp_path / "h"), shards).collect())
+    assert len(got) == 4000 and got == sorted(set(got))
+
+
+def test_clashing_columns_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, ids string")
+    with pytest.raises(ValueError, match="columns already"):
+        S.encode(df)
+
+
+def test_words_are_segmented_by_the_table(spark, pieces):
+    """Every distinct marked word is in the table once; words too long for it are segmented where they stand."""
+    from reelsift.llm.common import Shards
+
+    df = spark.createDataFrame([("a b  b c.",), ("b a", ), (None,), ("x" * 300 + " a",)], "text string").repartition(3)
+    folder = S.chunk_table(df, "text", public_tokenizers.path(S.MODEL))
+    known = Shards(folder, S.SHARDS)
+    words = [" a", " b", "  b", " c."]
+    assert known.get_many([*words, " x", " " + "x" * 300], mostly_absent=False) == {w: (ids,) for w, ids in zip(words, pieces.segmented(words), strict=True)}

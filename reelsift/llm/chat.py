@@ -45,12 +45,21 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def distinct_nodes(messages: DataFrame) -> DataFrame:
+    """Messages with an id, one of each: of rows that repeat one, the least by tree, parent, role, text and score counts."""
+    named = messages.where("node IS NOT NULL")
+    if named.groupBy("node").agg(F.count("*").alias("_c")).where("_c > 1").isEmpty():
+        return named
+    row = F.min(F.struct("tree", "parent", "role", "text", "score")).alias("_row")
+    return written(named.groupBy("node").agg(row).select("node", "_row.*"), "chat-nodes")
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up) for each message of each root-to-leaf path; ``up`` is its distance from the leaf.
 
-    messages: tree, node, parent, with node ids that are unique in the table.
-    A parent that is null or absent makes a root. ``ValueError`` if messages
-    are their own ancestors.
+    messages: tree, node, parent, with node ids that ``distinct_nodes`` made
+    unique. A parent that is null or absent makes a root. ``ValueError`` if
+    messages are their own ancestors. An empty table has no paths.
     """
     known = messages.select(F.col("node").alias("parent"))
     jump = written(messages.select("node", "parent").where("parent IS NOT NULL").join(known, "parent", "left_semi").select("node", F.col("parent").alias("above")), "chat-jumps")
@@ -72,8 +81,9 @@ def paths(messages: DataFrame) -> DataFrame:
 def chosen(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """The messages of each tree's ``per_tree`` best branches, with ``rank`` and ``up``.
 
-    A branch's score is the sum of its messages' scores (null counts 0); ties go
-    to the smaller leaf id.
+    messages: tree, node, parent, role, text, score. A branch's score is the sum
+    of its messages' scores (null counts 0); ties go to the smaller leaf id. A
+    null tree is a tree. Other columns are ignored.
     """
     found = paths(messages)
     content = messages.select("node", "role", "text", F.coalesce("score", F.lit(0.0)).alias("_score"))
@@ -159,7 +169,8 @@ def chain(conversations: DataFrame) -> DataFrame:
     """Conversations (conv_id, turn, role, text) as trees of one branch: each turn replies to the one before.
 
     Turns are ordered by turn, role and text, nulls first; a null conv_id is a
-    conversation. Repeated rows are turns of their own.
+    conversation. Repeated rows are turns of their own. Other columns are
+    ignored, and texts of any length stay whole; an empty table has no trees.
     """
     rows = written(conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.monotonically_increasing_id()), "chat-rows")
     w = W.partitionBy("conv_id").orderBy(*(F.asc_nulls_first(c) for c in ("turn", "role", "text")), F.asc("node"))

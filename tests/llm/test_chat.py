@@ -71,3 +71,10 @@ def test_circles_are_an_error(spark):
     rows = [(1, 1, 2, "user", "", 0.0), (1, 2, 1, "user", "", 0.0), (1, 3, 2, "user", "", 0.0)]
     with pytest.raises(ValueError, match="ancestors"):
         C.paths(spark.createDataFrame(rows, TREE))
+
+
+def test_repeated_and_missing_nodes(spark):
+    rows = [(1, 1, None, "user", "q", None), (1, 1, None, "user", "a later q", None), (1, 2, 1, "assistant", "a", 1.0), (1, 2, 1, "assistant", "a", 1.0), (1, None, 1, "user", "lost", 9.0)]
+    df = spark.createDataFrame(rows, TREE)
+    (only,) = C.format_paths(C.chosen(C.distinct_nodes(df))).collect()
+    assert [t for _, t in C.parse(only.formatted)] == ["a later q", "a"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import ChunkTable, bound_batches, files_of, release, sliced, small_side, table, texts_of, written
-from reelsift.session import shared_dir
+from reelsift.session import replace_file, shared_dir
 
 ORDER = 4
 #: Symbols: 26 letters, 14 classes of other letters, and those below.
@@ -40,8 +40,8 @@ SYMBOLS = 50
 QUANTILE = 0.999
 #: ... and a document is rejected if its mean information is above the threshold by this factor.
 MARGIN = 1.05
-#: Languages with fewer trusted documents use the threshold of all.
-LEAST_TRUSTED = 30
+#: Trusted documents by which a language's threshold is drawn to that of all.
+PRIOR_TRUSTED = 30
 #: Symbols of average text that are added to each document, so few symbols decide little.
 PRIOR = 100
 FOLDS = 5
@@ -49,8 +49,8 @@ FOLDS = 5
 PAIR_PRIOR = 5.0
 #: Share of the word model; the rest is the probability of a word's symbols.
 WORD_SHARE = 0.5
-#: Files of the table of words and pairs, and words that a task counts before it passes their sums on.
-SHARDS = 128
+#: Files of the table of words and pairs at least, bytes of the source's files for each, and words that a task counts before it passes their sums on.
+SHARDS, SHARD_BYTES = 128, 4 << 20
 MOST_HELD = 1 << 20
 
 
@@ -231,12 +231,17 @@ def keys_of(text: str, table: ChunkTable) -> tuple[np.ndarray, np.ndarray, np.nd
     return own.view(np.int64), (mixed & ~np.uint64(1)).view(np.int64), size
 
 
-def word_counts(texts: DataFrame) -> tuple[str, int, int]:
-    """Counts the words and pairs of all texts: the folder of the shards, the words in all and the different ones.
+def word_counts(texts: DataFrame) -> tuple[str, int, int, int]:
+    """Counts the words and pairs of all texts: the folder of the shards, the words in all, the different ones, and the number of shards.
 
-    Each shard is a file of sorted keys and one of their counts, of 32 bits: a larger count is an error.
+    A task sends sorted keys and counts of each shard as one value, so keys move
+    as they are. A shard is three files: sorted keys, their counts in a byte,
+    and (place, count) of those of 255 and more. There are more shards for
+    larger sources, so one task can hold a shard's keys.
     """
     spark = texts.sparkSession
+    size = int(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shards = max(SHARDS, -(-size // SHARD_BYTES)) if size < 1 << 60 else SHARDS
     bound_batches(spark)
     folder = f"{shared_dir(spark)}/reelsift-words-{uuid.uuid4().hex}"
 
@@ -247,8 +252,13 @@ def word_counts(texts: DataFrame) -> tuple[str, int, int]:
             nonlocal held, size
             if held:
                 keys, n = np.unique(np.concatenate(held), return_counts=True)
-                for at in range(0, len(keys), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)].astype(np.int64))], ["key", "n"])
+                of = (keys >> 1) % shards
+                order = np.argsort(of, kind="stable")
+                keys, n, ends = keys[order], n[order].astype(np.int64), np.searchsorted(of[order], np.arange(shards + 1))
+                for at in range(0, shards, 64):
+                    some = [(i, slice(ends[i], ends[i + 1])) for i in range(at, min(at + 64, shards)) if ends[i] < ends[i + 1]]
+                    columns = [pa.array([i for i, _ in some], pa.int32()), *(pa.array([x[part].tobytes() for _, part in some], pa.binary()) for x in (keys, n))]
+                    yield pa.RecordBatch.from_arrays(columns, ["shard", "keys", "counts"])
             held, size = [], 0
 
         for batch in batches:
@@ -265,52 +275,53 @@ def word_counts(texts: DataFrame) -> tuple[str, int, int]:
     def write(batches):
         files, root = files_of(folder)
         files.create_dir(root, recursive=True)
-        streams, at, name = [], None, ""
         words = kinds = 0
+        at, held = None, []
 
         def close():
-            for stream, end in zip(streams, ("keys", "counts"), strict=False):
-                stream.close()
-                files.move(f"{root}/{name}.{end}", f"{root}/{at}.{end}")
+            nonlocal words, kinds
+            keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, back, np.concatenate([c for _, c in held]))
+            is_word = (keys & 1 == 1) & (keys != START.view(np.int64))
+            words, kinds = words + int(n[is_word].sum()), kinds + int(is_word.sum())
+            more = np.flatnonzero(n >= 255)
+            for end, values in (("keys", keys), ("counts", np.minimum(n, 255).astype(np.uint8)), ("more", np.concatenate([more, n[more]]).astype(np.int64))):
+                temp = f"{root}/{at}.{end}.{uuid.uuid4().hex}"
+                with files.open_output_stream(temp, compression=None) as stream:
+                    stream.write(values.tobytes())
+                replace_file(files, temp, f"{root}/{at}.{end}")
 
         for batch in batches:
-            shards, keys, n = (c.to_numpy() for c in batch.columns)
-            is_word = (keys & 1 == 1) & (keys != START.view(np.int64))
-            if n.max(initial=0) >= 1 << 32:
-                raise OverflowError("a word or pair is counted 2^32 times or more")
-            words += int(n[is_word].sum())
-            kinds += int(is_word.sum())
-            for shard in np.unique(shards).tolist():
+            for shard, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != at:
-                    close()
-                    at, name = shard, f"{shard}-{uuid.uuid4().hex}"
-                    streams = [files.open_output_stream(f"{root}/{name}.{end}") for end in ("keys", "counts")]
-                of = shards == shard
-                for stream, values in zip(streams, (keys[of], n[of].astype(np.uint32)), strict=True):
-                    stream.write(np.ascontiguousarray(values).tobytes())
-        close()
+                    if held:
+                        close()
+                    at, held = shard, []
+                held.append((np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)))
+        if held:
+            close()
         yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([kinds])], ["words", "kinds"])
         release()
 
-    rows = texts.select("text").mapInArrow(count, "key long, n long").withColumn("shard", F.expr(f"CAST(pmod(shiftright(key, 1), {SHARDS}) AS INT)"))
-    summed = rows.repartition(SHARDS, "shard").groupBy("shard", "key").agg(F.sum("n").alias("n"))
-    summed = summed.select("shard", "key", "n").sortWithinPartitions("shard", "key")
-    words, kinds = summed.mapInArrow(write, "words long, kinds long").agg(F.sum("words"), F.sum("kinds")).first()
-    return folder, words or 0, kinds or 0
+    rows = texts.select("text").mapInArrow(count, "shard int, keys binary, counts binary")
+    dealt = rows.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard")
+    words, kinds = dealt.mapInArrow(write, "words long, kinds long").agg(F.sum("words"), F.sum("kinds")).first()
+    return folder, words or 0, kinds or 0, shards
 
 
 class WordModel:
     """Information of words, by look-ups in the shards of ``word_counts``; files are mapped, so memory doesn't grow with them."""
 
-    def __init__(self, folder: str, words: int, kinds: int):
-        self.folder, self.words, self.kinds = folder, words, kinds
+    def __init__(self, folder: str, words: int, kinds: int, shards: int = SHARDS):
+        self.folder, self.words, self.kinds, self.n_shards = folder, words, kinds, shards
         self.table, self.shards = word_table(), {}
 
-    def _shard(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    def _shard(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if shard not in self.shards:
             files, root = files_of(self.folder)
             found = []
-            for end, kind in (("keys", np.int64), ("counts", np.uint32)):
+            for end, kind in (("keys", np.int64), ("counts", np.uint8), ("more", np.int64)):
                 path = f"{root}/{shard}.{end}"
                 if not files.get_file_info(path).size:
                     found.append(np.zeros(0, kind))
@@ -325,13 +336,17 @@ class WordModel:
         """The counts of keys, 0 for those that weren't seen."""
         keys, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
-        of = (keys >> 1) % SHARDS
-        for shard in np.unique(of).tolist():
-            held, n = self._shard(shard)
-            where = np.flatnonzero(of == shard)
+        of = (keys >> 1) % self.n_shards
+        order = np.argsort(of, kind="stable")
+        for where in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            held, n, more = self._shard(int(of[where[0]])) if len(where) else ((), (), ())
             if len(held):
                 at = np.minimum(held.searchsorted(keys[where]), len(held) - 1)
-                out[where] = np.where(held[at] == keys[where], n[at], 0)
+                found = np.where(held[at] == keys[where], n[at], 0).astype(np.int64)
+                large = np.flatnonzero(found == 255)
+                if len(large):  # the byte is full: the count is in the table of large ones
+                    found[large] = more[len(more) // 2 + np.searchsorted(more[: len(more) // 2], at[large])]
+                out[where] = found
         return out[back]
 
     def information(self, texts: list[str], symbols_: list[np.ndarray], own: list[bool]) -> list[float]:
@@ -368,7 +383,7 @@ class WordModel:
         return out
 
 
-def score(docs: DataFrame, logs: np.ndarray, words: tuple[str, int, int], counted: DataFrame) -> DataFrame:
+def score(docs: DataFrame, logs: np.ndarray, words: tuple[str, int, int, int], counted: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols and information (minus the sum of log p) of each document; ``counted``: ids whose texts were."""
     sent = docs.sparkSession.sparkContext.broadcast((logs, words))
 
@@ -401,7 +416,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: doc_id, quality (1: trusted). Documents without text have a null
     perplexity and are kept: nothing speaks against them. A null language is a
-    language. Without any trusted documents every document is kept. Rows that
+    language; one without trusted documents has the threshold of all, and one
+    with few of them is drawn to it. A fifth of the trusted documents, by a hash
+    of their ids, is not counted in the models, but has its part in thresholds.
+    Without any trusted documents every document is kept. Very long texts are
+    scored whole; an empty table gives no rows. Rows that
     repeat an id are judged by their own texts. Other columns are ignored.
     """
     trained = small_side(written(trusted_ids(labels, train=True), "trusted"))
@@ -414,8 +433,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bits = (F.col("information") + PRIOR * mean) / (F.col("n_symbols") + PRIOR)
     cut = F.percentile_approx(bits, QUANTILE, 10000)
     every = trusted.agg(cut).first()[0]
-    by_lang = trusted.groupBy("lang").agg(cut.alias("_own"), F.count("*").alias("_n")).where(F.col("_n") >= LEAST_TRUSTED)
-    by_lang = small_side(written(by_lang.select(F.col("lang").alias("_lang"), "_own"), "thresholds"))
+    by_lang = trusted.groupBy("lang").agg(cut.alias("_cut"), F.count("*").alias("_n"))
+    drawn = (F.col("_n") * F.col("_cut") + PRIOR_TRUSTED * F.lit(every).cast("double")) / (F.col("_n") + PRIOR_TRUSTED)
+    by_lang = small_side(written(by_lang.select(F.col("lang").alias("_lang"), drawn.alias("_own")), "thresholds"))
     rows = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     limit = F.coalesce(F.col("_own"), F.lit(every).cast("double")) * MARGIN
     keep = F.coalesce(bits <= limit, F.lit(True)) | (F.col("n_symbols") == 0)

@@ -120,11 +120,11 @@ def word_brute(texts, words, kinds, uni, pairs, starts, logs, own):
 def test_word_model_equals_brute_force(spark):
     frame = spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3)
     logs = Q.array_of(Q.estimate(Q.counts(frame)))
-    folder, words, kinds = Q.word_counts(frame)
+    folder, words, kinds, shards = Q.word_counts(frame)
     tokens = [t.split(" ") for t in TEXTS]
     uni, pairs = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip([None, *t], t))
     assert (words, kinds) == (sum(uni.values()), len(uni))
-    model = Q.WordModel(folder, words, kinds)
+    model = Q.WordModel(folder, words, kinds, shards)
     for own, texts in ((True, TEXTS), (False, [*TEXTS, "the dog sat zz", "Ω 😀", " a  b"])):
         got = model.information(texts, [logs[Q.grams(t)] for t in texts], [own] * len(texts))
         assert np.allclose(got, word_brute(texts, words, kinds, uni, pairs, len(TEXTS), logs, int(own)), rtol=1e-6)
@@ -148,3 +148,40 @@ def test_shuffled_words_are_rejected(spark):
     docs, labels = spark.createDataFrame(rows, DOCS).repartition(4), spark.createDataFrame([(i, 1, 0, "") for i in range(200)], LABELS)
     got = Q.classify(docs, labels).collect()
     assert all(g.keep for g in got if g.doc_id < 1000) and not any(g.keep for g in got if g.doc_id >= 1000)
+
+
+def test_large_counts_are_kept(spark):
+    """Counts beyond a byte, for words and pairs, over several tasks."""
+    frame = spark.createDataFrame([("a b " * 150,), ("a b " * 150,), ("c",), ("a",)], "text string").repartition(4)
+    folder, words, kinds, shards = Q.word_counts(frame)
+    model = Q.WordModel(folder, words, kinds, shards)
+    own, pairs, _ = Q.keys_of("a b a c", Q.word_table())
+    assert model.counts(own).tolist() == [301, 300, 301, 1] and model.counts(pairs).tolist() == [3, 300, 298, 0]
+    assert (words, kinds) == (604, 4)  # the empty word after a last space counts
+
+
+def test_thresholds_and_decisions_equal_brute_force(spark, folder):
+    """From each document's information and length: quantiles of the trusted by language, drawn to that of all."""
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    trained = Q.trusted_ids(labels, train=True)
+    texts = docs.join(trained, "doc_id", "left_semi")
+    logs = Q.array_of(Q.estimate(Q.written(Q.counts(texts), "test-grams")))
+    rows = [(r.doc_id, r.lang, r.n_symbols, r.information) for r in Q.score(docs, logs, Q.word_counts(texts), trained).collect()]
+    trusted = {r.doc_id for r in Q.trusted_ids(labels).collect()}
+    good = [(lang, n, x) for i, lang, n, x in rows if i in trusted and n]
+    mean = sum(x for *_, x in good) / sum(n for _, n, _ in good)
+    bits = lambda n, x: (x + Q.PRIOR * mean) / (n + Q.PRIOR)
+
+    def cut(values):  # the least value that is not below the quantile's rank
+        return sorted(values)[max(math.ceil(Q.QUANTILE * len(values)) - 1, 0)]
+
+    every = cut([bits(n, x) for _, n, x in good])
+    limit = {}
+    for lang in {r[1] for r in rows}:
+        own = [bits(n, x) for g, n, x in good if g == lang]
+        limit[lang] = ((len(own) * cut(own) + Q.PRIOR_TRUSTED * every) / (len(own) + Q.PRIOR_TRUSTED) if own else every) * Q.MARGIN
+    got = {r.doc_id: r for r in Q.classify(docs, labels).collect()}
+    assert len(got) == len(rows) and any(not r.keep for r in got.values())
+    for i, lang, n, x in rows:
+        assert math.isclose(got[i].threshold, math.exp(limit[lang]), rel_tol=1e-9)
+        assert got[i].keep == (not n or bits(n, x) <= limit[lang]) and (not n or math.isclose(got[i].perplexity, math.exp(bits(n, x)), rel_tol=1e-9))

@@ -44,7 +44,6 @@ MARGIN = 1.05
 PRIOR_TRUSTED = 30
 #: Symbols of average text that are added to each document, so few symbols decide little.
 PRIOR = 100
-FOLDS = 5
 #: Observations that the word's own probability is worth after another word.
 PAIR_PRIOR = 5.0
 #: Share of the word model; the rest is the probability of a word's symbols.
@@ -405,10 +404,9 @@ def score(docs: DataFrame, logs: np.ndarray, words: tuple[str, int, int, int], c
     return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, information double")
 
 
-def trusted_ids(labels: DataFrame, train: bool = False) -> DataFrame:
-    """Ids that are labelled good and never bad; ``train``: without the fold kept for tests."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    return good.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0) if train else good
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids that are labelled good and never bad."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -417,18 +415,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels: doc_id, quality (1: trusted). Documents without text have a null
     perplexity and are kept: nothing speaks against them. A null language is a
     language; one without trusted documents has the threshold of all, and one
-    with few of them is drawn to it. A fifth of the trusted documents, by a hash
-    of their ids, is not counted in the models, but has its part in thresholds.
+    with few of them is drawn to it.
     Without any trusted documents every document is kept. Very long texts are
     scored whole; an empty table gives no rows. Rows that
     repeat an id are judged by their own texts. Other columns are ignored.
     """
-    trained = small_side(written(trusted_ids(labels, train=True), "trusted"))
+    trained = small_side(written(trusted_ids(labels), "trusted"))
     texts = docs.select("doc_id", "text").join(trained, "doc_id", "left_semi")
     counted = written(counts(texts), "grams")
     scored = written(score(docs, array_of(estimate(counted)), word_counts(texts), trained), "scores")
 
-    trusted = written(scored.join(trusted_ids(labels), "doc_id", "left_semi").where("n_symbols > 0"), "trusted-scores")
+    trusted = written(scored.join(trained, "doc_id", "left_semi").where("n_symbols > 0"), "trusted-scores")
     mean = trusted.agg(F.sum("information") / F.sum("n_symbols")).first()[0] or 0.0
     bits = (F.col("information") + PRIOR * mean) / (F.col("n_symbols") + PRIOR)
     cut = F.percentile_approx(bits, QUANTILE, 10000)

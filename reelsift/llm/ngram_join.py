@@ -328,8 +328,10 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     finer = 1
     while True:
         made = written(sets_of(docs, width, percent, finer), "sets")
-        if finer > 2**20 or not made.where("short").limit(1).count():
+        if not made.where("short").limit(1).count():
             break
+        if finer > 2**20:
+            raise RuntimeError("a set fills too few parts, however fine they are: its hashes aren't spread")
         finer *= 4
     filled = made.where("n > 0 AND doc_id IS NOT NULL")
     sets = written(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "distinct-sets")

@@ -144,7 +144,7 @@ def _channel_means(name: str, weights: str, device: str):
 _MEANS = "m AS (SELECT vec_id, avg(red) AS r, avg(green) AS g, avg(blue) AS b FROM f GROUP BY vec_id)"
 
 
-@register("frame_clip", f"WITH {F16}, {_MEANS} SELECT vec_id, " + ", ".join(f"round({c} / sqrt(r * r + g * g + b * b), 4) AS {c}" for c in "rgb") + " FROM m")
+@register("frame_clip", f"WITH {F16}, {_MEANS} SELECT vec_id, " + ", ".join(f"round(CAST(CAST({c} / sqrt(r * r + g * g + b * b) AS FLOAT) AS DOUBLE), 4) AS {c}" for c in "rgb") + " FROM m")
 def frame_clip(spark, d):
     found = _tag(lambda: TG.CLIPTagger(_channel_means, batch_size=7), (16, 16), "clip_embedding")(spark, d)
     return found.select("vec_id", *(F.round(F.col("clip_embedding")[i].cast("double"), 4).alias(c) for i, c in enumerate("rgb")))

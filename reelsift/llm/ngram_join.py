@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelsift.llm.common import ChunkTable, release, sliced, small_side, table, written
@@ -336,11 +335,13 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     filled = made.where("n > 0 AND doc_id IS NOT NULL")
     sets = written(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "distinct-sets")
 
-    # Tiles: what is alone with its key is dropped at once, then copies become their representative.
-    w = W.partitionBy("key").orderBy("doc_id")
+    # Tiles: keys of one document are dropped at once, then copies become their representative. Tasks sum up a key's
+    # documents before they move, so a part that a third of all documents share is no more than a row of each task.
     sent = made.where(F.size("keys") > 0)
-    listed = sent.select(F.explode("keys").alias("key"), "doc_id").withColumns({"_before": F.lag("doc_id").over(w), "_after": F.lead("doc_id").over(w)})
-    shared = listed.where("_before IS NOT NULL OR _after IS NOT NULL").select("key", "doc_id")
+    listed = sent.select(F.explode("keys").alias("key"), "doc_id")
+    ends = listed.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    several = small_side(written(ends.where("_first < _last").select("key"), "shared-keys"))
+    shared = listed.join(several, "key", "left_semi")
     senders = sent.select("doc_id", "d1", "d2").join(sets.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
     members = written(shared.join(senders, "doc_id").select("key", "rep").distinct(), "tile-members")
     heads = members.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("_last")).where("head < _last").select("key", "head")

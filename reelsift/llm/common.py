@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -236,6 +237,76 @@ class Shards:
                         out[keys[place]] = row
         return out
 
+    def values_of(self, keys: pa.Array) -> pa.Array:
+        """The value of each of the different ``keys``, in their order, null for those that the table lacks; its keys have one binary value."""
+        digest = xxhash.xxh64_intdigest
+        h = np.fromiter((digest(k, 42) for k in keys.cast(pa.large_binary()).to_pylist()), np.uint64, len(keys)).view(np.int64)
+        of = h % self.shards
+        order = np.lexsort((h, of))
+        h, of, keys = h[order], of[order], keys.take(pa.array(order))
+        parts = []
+        for shard in np.unique(of).tolist():
+            start, end = np.searchsorted(of, [shard, shard + 1]).tolist()
+            lasts = self._shard(shard)[0]
+            blocks = lasts.searchsorted(h[start:end])
+            for i in np.unique(blocks).tolist():
+                first, last = (start + np.searchsorted(blocks, [i, i + 1])).tolist()
+                if i == len(lasts):
+                    parts.append(pa.nulls(last - first, pa.binary()))
+                    continue
+                hashes, names, values = self._block(shard, i)
+                take = pa.array(np.minimum(hashes.searchsorted(h[first:last]), len(hashes) - 1))
+                part, wanted = values[0].take(take), keys.slice(first, last - first)
+                same = pc.equal(names.take(take).cast(wanted.type), wanted)
+                if same.false_count:  # absent, or another key of that hash
+                    rows = zip(same.to_pylist(), part.to_pylist(), wanted.to_pylist(), strict=True)
+                    part = pa.array([v if hit else (self.get(k) or (None,))[0] for hit, v, k in rows], pa.binary())
+                parts.append(part)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return pa.concat_arrays([p.cast(pa.large_binary()) for p in parts] or [pa.array([], pa.large_binary())]).take(pa.array(back))
+
+
+def cut_at_spaces(column: pa.Array, space: str, runs: bool) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts, each with the space before it, and how many words are before each text and at the end.
+
+    A space is put before every text; the character ``space`` counts as one
+    too. ``runs``: spaces in a row stay with the word after them, or are a word
+    at the end, and empty texts have no words; else every space begins one.
+    """
+    texts = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), space, " ")
+    front = pa.scalar(" ", pa.large_string())
+    if runs:
+        front = pc.if_else(pc.equal(texts, ""), pa.scalar("", pa.large_string()), front)
+    texts = pc.binary_join_element_wise(front, texts, pa.scalar("", pa.large_string()))
+    if not len(texts) or texts.buffers()[2] is None:
+        return pa.array([], pa.large_string()), np.zeros(len(texts) + 1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    blank = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]] == 32
+    starts = blank
+    if runs:
+        starts = blank.copy()
+        starts[1:] &= ~blank[:-1]
+        starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    at = np.flatnonzero(starts)
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, offsets[-1]).astype(np.int64)), texts.buffers()[2])
+    return words, np.searchsorted(at, offsets)
+
+
+def joined_words(values: pa.Array, word: np.ndarray, before: np.ndarray, begin: bytes = b"", end: bytes = b"") -> pa.Array:
+    """The ``values`` of each text's words in a row, between ``begin`` and ``end``; before: as ``cut_at_spaces`` gives it."""
+    n = len(before) - 1
+    shift = 2 * np.arange(n)
+    of = np.repeat(np.arange(n), np.diff(before))
+    places = np.empty(len(word) + 2 * n, np.int64)
+    places[np.arange(len(word)) + 2 * of + 1] = word
+    places[before[:-1] + shift] = len(values)
+    places[before[1:] + shift + 1] = len(values) + 1
+    row = pa.concat_arrays([values, pa.array([begin, end], pa.large_binary())]).take(pa.array(places))
+    offsets = np.frombuffer(row.buffers()[1], np.int64)[row.offset : row.offset + len(row) + 1]
+    ends = offsets[np.append(before[:-1] + shift, len(places))] if n else np.zeros(1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), row.buffers()[2]])
+
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is.

@@ -14,16 +14,16 @@ several times the corpus itself, never moves.
 from __future__ import annotations
 
 import re
-from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelsift.llm.common import Shards, release, sharded, sliced, table, texts_of
+from reelsift.llm.common import Shards, cut_at_spaces, joined_words, release, sharded, sliced, table, texts_of
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -31,14 +31,13 @@ MARK = "▁"
 SLICE, ENCODED = 256, 1024
 #: Files of the table of distinct words.
 SHARDS = 64
-_marked = re.compile(" *[^ ]+| +$").findall
 _models: dict = {}
 
 
 class PieceEncoder:
-    """A model's encode and decode, with a table of distinct marked words."""
+    """A model's encode and decode; marked words that a table of distinct ones lacks are segmented where they stand."""
 
-    #: Words that are held, and characters of a word that is in the table; longer ones are segmented where they stand.
+    #: Words that a task gathers, and characters of a word that is in the table; longer ones are segmented where they stand.
     MOST, LONGEST = 400_000, 256
 
     def __init__(self, path: str):
@@ -53,38 +52,37 @@ class PieceEncoder:
         self.splits = not crossing and alone != self.model.unk_id() and self.model.normalize(probe) == MARK + probe.replace(" ", MARK)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (self.model.bos_id(), self.model.eos_id()))
         self.alone = np.array([alone], "<u4").tobytes()
-        self.words: dict[str, bytes] = {}
 
     def segmented(self, marked: list[str]) -> list[bytes]:
         """The ids of marked words. The model puts a mark before what it gets; a word has it already. An empty text would have none."""
         return [np.array(ids, "<u4").tobytes() if word != " " else self.alone for word, ids in zip(marked, self.model.encode([w[1:] for w in marked], num_threads=1), strict=True)]
 
-    def marked(self, text: str) -> list[str]:
-        return _marked(" " + text.replace(MARK, " ")) if text else []
-
-    def encode_many(self, texts: list[str], known: Shards | None = None) -> list[bytes]:
+    def encode_column(self, column: pa.Array, known: Shards | None = None) -> pa.Array:
         """Ids with begin and end as little-endian unsigned 32-bit integers; ``known``: the table of distinct words."""
         if not self.splits:
-            bodies = [[np.array(ids, "<u4").tobytes()] for ids in self.model.encode(texts, num_threads=1)]
-            return [b"".join([self.begin, *body, self.end]) for body in bodies]
-        split = [self.marked(t) for t in texts]
-        if len(self.words) > self.MOST:
-            self.words = {}
-        new = set().union(*split)
-        new.difference_update(self.words)
+            bodies = self.model.encode(texts_of(column), num_threads=1)
+            return pa.array([self.begin + np.array(ids, "<u4").tobytes() + self.end for ids in bodies], pa.large_binary())
+        words, before = cut_at_spaces(column, MARK, runs=True)
+        words = words.dictionary_encode()
+        distinct, at = words.dictionary, words.indices.to_numpy()
+        values = pa.nulls(len(distinct), pa.large_binary())
         if known is not None:
-            found = known.get_many((w for w in new if len(w) <= self.LONGEST), mostly_absent=False)
-            self.words.update((w, ids) for w, (ids,) in found.items())
-            new.difference_update(found)
-        new = list(new)
-        whole = self.words
-        if new:
-            made = dict(zip(new, self.segmented(new), strict=True))
-            whole.update((w, ids) for w, ids in made.items() if len(w) <= self.LONGEST)
-            if long := {w: ids for w, ids in made.items() if len(w) > self.LONGEST}:
-                whole = ChainMap(long, whole)  # used but not kept
-        get = whole.__getitem__
-        return [b"".join([self.begin, *map(get, words), self.end]) for words in split]
+            short = np.flatnonzero(self.short(distinct))
+            values = pa.concat_arrays([known.values_of(distinct.take(pa.array(short))), pa.nulls(1, pa.large_binary())])
+            where = np.full(len(distinct), len(short))
+            where[short] = np.arange(len(short))
+            values = values.take(pa.array(where))
+        if values.null_count:
+            new = values.is_null()
+            values = pc.replace_with_mask(values, new, pa.array(self.segmented(distinct.filter(new).to_pylist()), pa.large_binary()))
+        return joined_words(values, at, before, self.begin, self.end)
+
+    def short(self, words: pa.Array) -> np.ndarray:
+        """Whether words may be in the table."""
+        return pc.less_equal(pc.utf8_length(words), self.LONGEST).to_numpy(zero_copy_only=False)
+
+    def encode_many(self, texts: list[str], known: Shards | None = None) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.large_string()), known).to_pylist()
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -106,20 +104,28 @@ def chunk_table(df: DataFrame, text_col: str, path: str) -> str | None:
         return None
 
     def run(batches):
-        made, held = encoder(path), set()
+        made, held, n = encoder(path), [], 0
 
         def flush():
-            words = list(held)
+            words = held.pop()
             held.clear()
             for at in range(0, len(words), 1 << 15):
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + (1 << 15)], pa.string())], ["key"])
+                yield pa.RecordBatch.from_arrays([words.slice(at, 1 << 15).cast(pa.string())], ["key"])
 
         for batch in batches:
             for part in sliced(batch, SLICE):
-                held.update(w for w in set().union(*map(made.marked, texts_of(part.column(0)))) if len(w) <= made.LONGEST)
-                if len(held) > made.MOST:
-                    yield from flush()
-        yield from flush()
+                words = cut_at_spaces(part.column(0), MARK, runs=True)[0].unique()
+                held.append(words.filter(pa.array(made.short(words))))
+                n += len(held[-1])
+                if n > 2 * made.MOST:
+                    held[:] = [pa.chunked_array(held).unique()]
+                    n = len(held[0])
+                    if n > made.MOST:
+                        yield from flush()
+                        n = 0
+        if held:
+            held[:] = [pa.chunked_array(held).unique()]
+            yield from flush()
         release()
 
     return sharded(df.select(text_col).mapInArrow(run, "key string"), "pieces", SHARDS, lambda: encoder(path).segmented)
@@ -138,13 +144,12 @@ def _added(df: DataFrame, text_col: str | None, ids_col: str, decoded_col: str |
         made, known = encoder(path), Shards(folder, SHARDS) if folder else None
         for batch in batches:
             for part in sliced(batch, ENCODED):
-                ids = made.encode_many(texts_of(part.column(text_col)), known) if text_col else part.column(ids_col).to_pylist()
-                columns = [part.column(c) for c in rest] + ([pa.array(ids, pa.binary())] if text_col else [])
+                ids = made.encode_column(part.column(text_col), known) if text_col else part.column(ids_col)
+                columns = [part.column(c) for c in rest] + ([ids.cast(pa.binary())] if text_col else [])
                 if decoded_col:
-                    columns.append(pa.array([made.decode(i or b"") for i in ids], pa.string()))
+                    columns.append(pa.array([made.decode(i or b"") for i in ids.to_pylist()], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*rest, *added])
-        # Workers serve other stages afterwards, so the words go; the model stays.
-        made.words = {}
+        # Workers serve other stages afterwards; the model stays.
         release()
 
     kinds = {ids_col: T.BinaryType(), decoded_col: T.StringType()}

@@ -13,19 +13,20 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from array import array
-from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelsift.llm.common import sliced, table, texts_of
+from reelsift.llm.common import cut_at_spaces, joined_words, sliced, table, texts_of
 from reelsift.session import file_system, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +37,8 @@ PER_BATCH = 64
 SHARD_BYTES = 128 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 SHARDS = "shard int, n_docs long, n_tokens long"
+#: Letters of Latin-1, and marks that are cut off after one.
+LETTERS, MARKS = "".join(c for c in map(chr, range(256)) if c.isalpha()), ",.;:!?"
 _tokenizers: dict = {}
 
 
@@ -61,7 +64,6 @@ class WordTokenizer:
     """
 
     MOST, LONGEST = 600_000, 64
-    MARKS = frozenset(",.;:!?")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism here
@@ -94,15 +96,20 @@ class WordTokenizer:
     def _encode(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _plain(self, chunk: str) -> tuple[str, str]:
-        """A chunk with the same ids but for a mark at its end, and that mark."""
-        mark = ""
+    def _plain(self, chunks: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Chunks with the same ids but for a mark at the end, and where in ``MARKS`` that mark is (null: none)."""
         # Beyond Latin-1 a letter may be written with marks of its own, which would join the one at the end.
-        if len(chunk) > 1 and chunk[-1] in self.MARKS and chunk[-2] <= "\xff" and chunk[-2].isalpha():
-            chunk, mark = chunk[:-1], chunk[-1]
-        if self.folds and _narrow(chunk):
-            chunk = chunk.lower()
-        return chunk, mark
+        ends = pc.match_substring_regex(chunks, f"[{LETTERS}][{re.escape(MARKS)}]$")
+        mark = pc.if_else(ends, pc.index_in(pc.utf8_slice_codeunits(chunks, -1), pa.array(list(MARKS), pa.large_string())), pa.scalar(None, pa.int32()))
+        chunks = pc.if_else(ends, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        if self.folds:
+            # Within Latin-1 case folds by character and nothing is composed; special tokens are found before case is folded.
+            lower = pc.utf8_lower(chunks)
+            fold = pc.match_substring_regex(chunks, r"^[\x{00}-\x{FF}]*$")
+            for special in self.special:
+                fold = pc.and_(fold, pc.invert(pc.match_substring(lower, special.lower())))
+            chunks = pc.if_else(fold, lower, chunks)
+        return chunks, mark
 
     def _encode_many(self, chunks: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
@@ -136,40 +143,36 @@ class WordTokenizer:
                 start = end + 1
         return out
 
-    def _table(self, chunks: list[list[str]]) -> dict[str, bytes]:
-        """A table with all the chunks."""
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks; long ones are used but not kept."""
         if len(self.words) > self.MOST:
             self.words, self.older = {}, self.words
-        words, older = self.words, self.older
-        reduced = {}
-        for c in set().union(*chunks).difference(words):
-            if (ids := older.get(c)) is not None:
-                words[c] = ids
-            else:
-                reduced[c] = self._plain(c)
-        needed = set().union(*reduced.values()).difference(words)
-        for c in list(needed):
-            if c in older:
-                words[c] = older[c]
-                needed.discard(c)
-        made = self._encode_many(list(needed))
-        words.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
-        whole = words
-        for c, (plain, mark) in reduced.items():
-            ids = (made.get(plain) or words.get(plain, b"")) + (made.get(mark) or words.get(mark, b""))
-            if len(c) <= self.LONGEST:
-                words[c] = ids
-            else:  # long chunks are used but not kept
-                whole = ChainMap({}, words) if whole is words else whole
-                whole[c] = ids
-        return whole
+        values = list(map(self.words.get, chunks))
+        absent = [i for i, v in enumerate(values) if v is None]
+        found = {c: ids for c in (chunks[i] for i in absent) if (ids := self.older.get(c)) is not None} if self.older else {}
+        made = self._encode_many([c for c in (chunks[i] for i in absent) if c not in found])
+        self.words.update(found)
+        self.words.update((c, ids) for c, ids in made.items() if len(c) <= self.LONGEST)
+        made.update(found)
+        for i in absent:
+            values[i] = made[chunks[i]]
+        return values
+
+    def encode_column(self, column: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of texts as bytes, and ``end`` after each."""
+        if not self.cuts:
+            return pa.array([self._encode(t) + end for t in texts_of(column)], pa.large_binary())
+        words, before = cut_at_spaces(column, "\n", runs=False)
+        words = words.dictionary_encode()
+        plain, mark = self._plain(pc.utf8_slice_codeunits(words.dictionary, 1))
+        plain = plain.dictionary_encode()
+        ids = pa.array(self._values(plain.dictionary.to_pylist()), pa.large_binary()).take(plain.indices)
+        marks = pa.array(self._values(list(MARKS)), pa.large_binary()).take(mark)
+        whole = pc.binary_join_element_wise(ids, pc.fill_null(marks, b""), pa.scalar(b"", pa.large_binary()))
+        return joined_words(whole, words.indices.to_numpy(), before, end=end)
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return [self._encode(t) for t in texts]
-        chunks = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self._table(chunks).__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        return self.encode_column(pa.array(texts, pa.large_string())).to_pylist()
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -342,9 +345,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
         shard = TaskContext.get().partitionId()
         out = ShardWriter(folder, shard, made.dtype)
         for batch in batches:
-            for part in sliced(batch, 512):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), made.encode_many(texts_of(part.column("text"))), strict=True):
-                    out.add(doc_id, ids + end)
+            for part in sliced(batch, 1024):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), made.encode_column(part.column("text"), end).to_pylist(), strict=True):
+                    out.add(doc_id, ids)
         out.close()
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": out.n_docs, "n_tokens": out.n_tokens}], pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 

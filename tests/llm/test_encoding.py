@@ -173,3 +173,32 @@ def test_encoding_costs_less_than_a_look_up_for_each_word(pieces):
 
     assert pieces.encode_many(texts) == by_word()
     assert cost(lambda: pieces.encode_many(texts)) < 0.8 * cost(by_word)
+
+
+@pytest.mark.parametrize("text", ["<|ENDOFTEXT|>", "a <|EndOfText|>. B<|STARTOFTEXT|>", "ª. µ! É; Ω, x. ×, ÷.", "ab́, É.", ",", ".,", "\n\n a\n"])
+def test_special_tokens_are_found_before_case_is_folded(words, text):
+    assert np.frombuffer(words.encode(text), words.dtype).tolist() == words.inner.encode(text, add_special_tokens=False).ids
+
+
+def test_words_cost_less_than_a_look_up_for_each(words):
+    """Known chunks are made distinct and their ids joined by Arrow, not one Python string for each chunk."""
+    import time
+
+    texts = [" ".join(f"w{'abcdefghij'[(i + j) % 10]}{'klmnopqrst'[(i * j) % 10]}" for j in range(400)) for i in range(600)]
+    ids = {w: words.encode(w) for w in {w for t in texts for w in t.split(" ")}}
+
+    def by_word():
+        chunks = [t.replace("\n", " ").split(" ") for t in texts]
+        assert not set().union(*chunks).difference(ids)
+        return [b"".join(map(ids.__getitem__, c)) for c in chunks]
+
+    def cost(f):
+        def once():
+            start = time.process_time()
+            f()
+            return time.process_time() - start
+
+        return min(once() for _ in range(5))
+
+    assert words.encode_many(texts) == by_word()
+    assert cost(lambda: words.encode_many(texts)) < 0.8 * cost(by_word)
